@@ -42,16 +42,17 @@ def parse_labels(answers: DataFrame, column: str = "answer") -> DataFrame:
     """
     answer = F.from_json(
         column,
-        "is_climate_policy boolean, uncertainty_type string, certainty_level string, reasoning string",
+        "is_climate_policy boolean, uncertainty_type string, certainty_level int, "
+        "reasoning string, _bad string",
+        {"columnNameOfCorruptRecord": "_bad"},
     )
     kind = F.coalesce("_a.uncertainty_type", F.lit("none"))
-    level_text = F.coalesce("_a.certainty_level", F.lit("3"))
-    level = F.when(level_text.rlike(r"^-?\d+$"), level_text.try_cast("int"))
+    level = F.coalesce("_a.certainty_level", F.lit(3))
     error = (
-        F.when(F.col(column).isNull() | F.col("_a").isNull(), "unreadable answer")
+        F.when(F.col("_a").isNull() | F.col("_a._bad").isNotNull(), "unreadable answer")
         .when(~kind.isin(fixed.UNCERTAINTY_TYPES), F.concat(F.lit("invalid uncertainty_type: "), kind))
-        .when(~F.coalesce(level.between(1, 5), F.lit(False)),
-              F.concat(F.lit("certainty_level must be 1-5, got: "), level_text))
+        .when(~level.between(1, 5),
+              F.concat(F.lit("certainty_level must be 1-5, got: "), level.cast("string")))
     )
     parsed = answers.withColumn("_a", answer).withColumn("error", error)
     valid = F.col("error").isNull()

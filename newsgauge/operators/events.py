@@ -88,8 +88,8 @@ def check_previous(
 
 def event_accuracy(checked: DataFrame, empty: float | None = None) -> DataFrame:
     """Events with data, events passed, and their ratio (``empty`` when nothing was checked)."""
-    tested = F.count_if("status in ('passed', 'failed')")
-    passed = F.count_if("status = 'passed'")
+    tested = F.count_if(F.expr("status in ('passed', 'failed')"))
+    passed = F.count_if(F.expr("status = 'passed'"))
     return checked.agg(
         tested.alias("events_checked"),
         passed.alias("events_passed"),

@@ -110,7 +110,7 @@ def outlet_correlations(series: DataFrame, full_matrix: bool = False) -> DataFra
     """
     pairs = _joint_series(series, "true" if full_matrix else "outlet1 < outlet2")
     grouped = pairs.groupBy("outlet1", "outlet2").agg(
-        F.count_if("v1 is not null and v2 is not null").alias("n_months"),
+        F.count_if(F.expr("v1 is not null and v2 is not null")).alias("n_months"),
         pearson(F.col("v1"), F.col("v2")).alias("correlation"),
     )
     if not full_matrix:

@@ -102,7 +102,7 @@ def ols_scatter(panel: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
         for x, y in pairs
     ])))
     return long.groupBy("x_name", "y_name").agg(
-        F.count_if("_x is not null and _y is not null").alias("n"),
+        F.count_if(F.expr("_x is not null and _y is not null")).alias("n"),
         F.regr_slope("_y", "_x").alias("slope"),
         F.regr_intercept("_y", "_x").alias("intercept"),
         pearson(F.col("_x"), F.col("_y")).alias("r"),

@@ -89,7 +89,7 @@ def sector_sensitivity(
     ccf = cross_correlation(panel, all_keys, max_lag=max_lag)
     best = optimal_lag(ccf, all_keys).drop("n_observations")
     sizes = panel.groupBy(*all_keys).agg(
-        F.count_if("s1 is not null and s2 is not null").alias("n_observations")
+        F.count_if(F.expr("s1 is not null and s2 is not null")).alias("n_observations")
     )
     found = sizes.join(best, all_keys, "left")
     corr = F.col("max_correlation")
@@ -232,11 +232,11 @@ def classifier_agreement(ranked: DataFrame, top: int = 3) -> DataFrame:
     )
     return shared.agg(
         F.max("n_classifiers").alias("n_classifiers"),
-        F.count_if("votes = n_classifiers").alias("shared_sectors"),
+        F.count_if(F.expr("votes = n_classifiers")).alias("shared_sectors"),
         F.count("*").alias("all_sectors"),
         F.when(
             F.max("n_classifiers") >= 2,
-            F.try_divide(F.count_if("votes = n_classifiers"), F.count("*")),
+            F.try_divide(F.count_if(F.expr("votes = n_classifiers")), F.count("*")),
         ).alias("agreement_score"),
     )
 

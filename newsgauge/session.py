@@ -20,6 +20,7 @@ def build_session(app: str = "newsgauge", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     defaults.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in defaults.items():

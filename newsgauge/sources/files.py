@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from newsgauge import fixed_values as fixed
 from newsgauge.functions.calendar import month_start
 from newsgauge.operators.deals import derive_deal_columns, filter_deals, parse_amount
-from newsgauge.schemas import INDEX_SERIES, SEARCH_PAGE
+from newsgauge.schemas import SEARCH_PAGE
 
 CSV_OPTIONS = {"quote": '"', "escape": '"'}
 
@@ -84,10 +84,8 @@ def _lenient_date(column: str):
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index series with months as dates ('yyyy-MM' or 'yyyy-MM-dd' in the file)."""
     names = spark.read.option("header", True).csv(path).columns
-    known = {f.name: f.dataType for f in INDEX_SERIES.fields}
     schema = T.StructType([
-        T.StructField(n, T.StringType() if n == "month" else known.get(n, T.DoubleType()))
-        for n in names
+        T.StructField(n, T.StringType() if n == "month" else T.DoubleType()) for n in names
     ])
     rows = spark.read.schema(schema).option("header", True).csv(path)
     month = F.substring("month", 1, 7)
