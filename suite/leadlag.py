@@ -1 +1,365 @@
-"""Queries."""
+"""Queries on the relation of index and activity: lags, sectors, stationarity, causality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsgauge.operators import causality as ca
+from newsgauge.operators import leadlag as ll
+from newsgauge.operators import sector as sc
+from newsgauge.operators import stationarity as st
+from newsgauge.plans.reports import LEADLAG_PAIRS
+from suite import inputs as i
+from suite.registry import query, r, rounded
+
+PANEL = "WITH " + i.PANEL
+
+
+def ccf_sql(source: str, keys: str, lags: int = 12) -> str:
+    """CTEs ccf(keys, lag, correlation, n_observations) and best(keys, ...) of source(keys, month, s1, s2)."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    picked = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""al AS (
+  SELECT {keys}, s1, s2, row_number() OVER (PARTITION BY {keys} ORDER BY month) AS pos,
+         count(*) OVER (PARTITION BY {keys}) AS n FROM {source} WHERE s1 IS NOT NULL AND s2 IS NOT NULL),
+lag_list AS (SELECT CAST(unnest(range({-lags}, {lags + 1})) AS INTEGER) AS lag),
+ccf AS (
+  SELECT {picked}, lag, count(*) AS n_observations,
+         CASE WHEN count(*) >= 3 AND stddev_pop(a.s1) > 0 AND stddev_pop(b.s2) > 0 THEN corr(a.s1, b.s2) END
+           AS correlation
+  FROM al a, lag_list, al b WHERE {on} AND b.pos = a.pos + lag AND a.n >= 24 GROUP BY {picked}, lag),
+best AS (
+  SELECT {keys}, lag AS optimal_lag, correlation AS max_correlation FROM ccf WHERE correlation IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(abs(correlation), 12) DESC, lag) = 1)"""
+
+
+LABEL = """CASE WHEN correlation IS NULL THEN 'insufficient_data'
+  WHEN lag > 0 THEN 'series1_leads_by_' || lag || '_periods'
+  WHEN lag < 0 THEN 'series2_leads_by_' || -lag || '_periods' ELSE 'contemporaneous' END AS interpretation"""
+ONE = """one AS (SELECT 'all' AS grp, month, cpu_index AS s1, deal_count AS s2 FROM merged)"""
+
+
+@query("ccf", PANEL + f",\n{ONE},\n{ccf_sql('one', 'grp')}" + f"""
+SELECT lag, {r('correlation')} AS correlation, n_observations, {LABEL} FROM ccf""")
+def _(spark, sf):
+    return rounded(ll.cross_correlation(i.panel(spark, sf), (), "cpu_index", "deal_count"))
+
+
+@query("optimal_lag", PANEL + f",\n{ONE},\n{ccf_sql('one', 'grp')}" + f"""
+SELECT optimal_lag, {r('max_correlation')} AS max_correlation, abs(max_correlation) >= 0.1 AS is_significant,
+       CASE WHEN max_correlation > 0 THEN 'positive' ELSE 'negative' END AS direction,
+       CASE WHEN optimal_lag > 0 THEN 'series1' WHEN optimal_lag < 0 THEN 'series2' ELSE 'contemporaneous' END
+         AS lead_series, n_observations, {r('correlation')} AS contemporaneous
+FROM best JOIN ccf ON lag = 0""")
+def _(spark, sf):
+    ccf = ll.cross_correlation(i.panel(spark, sf), (), "cpu_index", "deal_count")
+    return rounded(ll.optimal_lag(ccf, (), 0.1))
+
+
+@query("ccf_significance", PANEL + f",\n{ONE},\n{ccf_sql('one', 'grp')}" + f""",
+b AS (SELECT *, 1.959963984540054 / sqrt(first(n_observations) OVER (ORDER BY lag)) AS bound FROM ccf)
+SELECT lag, {r('correlation')} AS correlation, n_observations, {LABEL}, {r('bound')} AS bound,
+       coalesce(abs(correlation) > bound, false) AS significant FROM b""")
+def _(spark, sf):
+    ccf = ll.cross_correlation(i.panel(spark, sf), (), "cpu_index", "deal_count")
+    return rounded(ll.ccf_significance(ccf))
+
+
+PAIRS = "pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{a}_vs_{b}' AS pair, month, {a} AS s1, CAST({b} AS DOUBLE) AS s2 FROM merged" for a, b in LEADLAG_PAIRS
+) + ")"
+
+
+@query("leadlag_pairs", PANEL + f",\n{PAIRS},\n{ccf_sql('pairs', 'pair')}" + f"""
+SELECT best.pair, optimal_lag, {r('max_correlation')} AS max_correlation, true AS is_significant,
+       CASE WHEN max_correlation > 0 THEN 'positive' ELSE 'negative' END AS direction,
+       CASE WHEN optimal_lag > 0 THEN 'series1' WHEN optimal_lag < 0 THEN 'series2' ELSE 'contemporaneous' END
+         AS lead_series, n_observations, {r('correlation')} AS contemporaneous
+FROM best JOIN ccf ON best.pair = ccf.pair AND lag = 0""")
+def _(spark, sf):
+    return rounded(ll.leadlag_pairs(i.panel(spark, sf), LEADLAG_PAIRS))
+
+
+# --- sectors ------------------------------------------------------------------------------------------------
+
+
+def sector_sql(keys: str, source: str, metric: str = "count(company_id)", start: str = i.SECTOR_START,
+               columns: str = "'cpu_index' AS index_column, cpu_index AS s1") -> str:
+    """CTEs up to sens(index_column, keys, ...) over companies-like rows with the given key columns."""
+    first = f"CASE WHEN DATE '{start}' = date_trunc('month', DATE '{start}') THEN DATE '{start}' " \
+            f"ELSE date_trunc('month', DATE '{start}') + INTERVAL 1 MONTH END"
+    on = " AND ".join(f"k.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
+    picked = ", ".join(f"k.{k.strip()}" for k in keys.split(","))
+    return f"""era AS (SELECT month, unnest([{{columns}}], recursive := true) FROM ser WHERE month >= DATE '{start}'),
+cnt AS (SELECT {keys}, month, CAST({metric} AS DOUBLE) AS v FROM {source}
+        WHERE last_financing_date >= DATE '{start}' GROUP BY {keys}, month),
+calendar AS (SELECT CAST(unnest(generate_series({first}, (SELECT max(month) FROM era), INTERVAL 1 MONTH)) AS DATE) AS month),
+aligned AS (
+  SELECT index_column, {picked}, calendar.month, s1, coalesce(v, 0) AS s2
+  FROM (SELECT DISTINCT {keys} FROM cnt) k CROSS JOIN calendar
+  LEFT JOIN cnt c ON {on} AND c.month = calendar.month JOIN era ON era.month = calendar.month),
+{ccf_sql('aligned', 'index_column, ' + keys)},
+sizes AS (SELECT index_column, {keys}, count(s1) AS n_observations FROM aligned GROUP BY ALL),
+sens AS (
+  SELECT index_column, {keys}, optimal_lag, max_correlation AS correlation,
+         CASE WHEN max_correlation <> 0 THEN abs(max_correlation) END AS abs_correlation,
+         CASE WHEN max_correlation > 0 THEN 'positive' WHEN max_correlation IS NOT NULL THEN 'negative' END AS direction,
+         n_observations FROM sizes LEFT JOIN best USING (index_column, {keys}))""".replace("{columns}", columns)
+
+
+ONE_INDEX = "{index_column: 'cpu_index', s1: cpu_index}"
+TWO_INDEX = "{index_column: 'cpu_impl', s1: cpu_impl}, {index_column: 'cpu_reversal', s1: cpu_reversal}"
+BASE = i.with_(i.COUNTS, i.INDEX_SERIES, i.COMPANIES)
+JUDGED = "judged AS (SELECT *, deepseek_category AS sector FROM companies WHERE deepseek_category IS NOT NULL AND deepseek_category <> 'Others')"
+INTERPRET = """CASE WHEN optimal_lag IS NOT NULL THEN printf('%s: %s by %d months, r=%.3f (%s)', sector,
+  CASE WHEN optimal_lag > 0 THEN 'CPU leads VC' WHEN optimal_lag < 0 THEN 'VC leads CPU' ELSE 'Contemporaneous' END,
+  abs(optimal_lag), correlation, direction) END AS interpretation"""
+STATS = f"optimal_lag, {r('correlation')} AS correlation, {r('abs_correlation')} AS abs_correlation, direction, n_observations"
+
+
+def _sector(keys: str, source: str, columns: str = ONE_INDEX, **options) -> str:
+    return sector_sql(keys, source, columns=columns, **options)
+
+
+SECTOR = BASE + ",\n" + JUDGED + ",\n"
+
+
+@query("sector_ranking", SECTOR + _sector("sector", "judged") + f"SELECT sector, {STATS}, {INTERPRET} FROM sens")
+def _(spark, sf):
+    ranked = sc.sector_ranking(
+        i.companies(spark, sf), i.index_series(spark, sf), category="deepseek_category", start_date=i.SECTOR_START
+    )
+    return rounded(ranked)
+
+
+@query("sector_ranking_amount", SECTOR + _sector("sector", "judged", metric="coalesce(sum(total_raised), 0)")
+       + f"SELECT sector, {STATS}, {INTERPRET} FROM sens")
+def _(spark, sf):
+    ranked = sc.sector_ranking(
+        i.companies(spark, sf), i.index_series(spark, sf), metric="total_amount",
+        category="deepseek_category", start_date=i.SECTOR_START,
+    )
+    return rounded(ranked)
+
+
+@query("ccf_by_sector", SECTOR + _sector("sector", "judged") + f"""
+SELECT index_column, sector, lag, {r('correlation')} AS correlation, n_observations, {LABEL} FROM ccf""")
+def _(spark, sf):
+    return rounded(_sector_ccf(spark, sf))
+
+
+def _sector_ccf(spark, sf):
+    rows = i.companies(spark, sf).withColumnRenamed("deepseek_category", "sector").where(
+        "sector is not null and sector != 'Others'"
+    )
+    panel = sc.aligned_panel(
+        rows, i.index_series(spark, sf), ["sector"], ["cpu_index"], "deal_count", i.SECTOR_START
+    )
+    return ll.cross_correlation(panel, ["index_column", "sector"])
+
+
+@query("sector_lag_matrix", SECTOR + _sector("sector", "judged") + "SELECT sector, " + ", ".join(
+    r(f"max(correlation) FILTER (WHERE lag = {k})") + f" AS lag_{'m' if k < 0 else 'p'}{abs(k)}" for k in range(-12, 13)
+) + " FROM ccf GROUP BY sector")
+def _(spark, sf):
+    return rounded(sc.lag_matrix(_sector_ccf(spark, sf)))
+
+
+@query("sector_monthly", SECTOR + f"""
+k AS (SELECT DISTINCT sector FROM judged WHERE last_financing_date BETWEEN DATE '1996-01-01' AND DATE '1998-05-20'),
+cal AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1998-05-20', INTERVAL 1 MONTH)) AS DATE) AS month)
+SELECT k.sector, cal.month, count(company_id) AS deal_count FROM k CROSS JOIN cal
+LEFT JOIN judged j ON j.sector = k.sector AND j.month = cal.month AND j.last_financing_date <= DATE '1998-05-20'
+GROUP BY 1, 2""")
+def _(spark, sf):
+    return sc.sector_monthly(i.companies(spark, sf), "1996-01-01", "1998-05-20", "deepseek_category")
+
+
+DECOMPOSED = SECTOR + _sector("sector", "judged", TWO_INDEX) + """,
+wide AS (SELECT sector,
+  max(correlation) FILTER (WHERE index_column = 'cpu_impl') AS ic, max(optimal_lag) FILTER (WHERE index_column = 'cpu_impl') AS il,
+  max(abs_correlation) FILTER (WHERE index_column = 'cpu_impl') AS ia,
+  max(correlation) FILTER (WHERE index_column = 'cpu_reversal') AS rc,
+  max(optimal_lag) FILTER (WHERE index_column = 'cpu_reversal') AS rl,
+  max(abs_correlation) FILTER (WHERE index_column = 'cpu_reversal') AS ra FROM sens GROUP BY sector),
+dec AS (SELECT *, CASE WHEN ia + ra > 0 THEN (ia - ra) / (ia + ra) END AS asym FROM wide)
+"""
+DECOMPOSITION = f"""SELECT sector, {r('ic')} AS impl_correlation, il AS impl_lag, {r('ia')} AS impl_abs,
+  {r('rc')} AS reversal_correlation, rl AS reversal_lag, {r('ra')} AS reversal_abs, {r('asym')} AS asymmetry_ratio,
+  CASE WHEN asym > 0.1 THEN 'implementation' WHEN asym < -0.1 THEN 'reversal' ELSE 'balanced' END AS dominant_type FROM dec"""
+
+
+def _decomposition(spark, sf):
+    return sc.decomposition(
+        i.companies(spark, sf), i.index_series(spark, sf), "deepseek_category", start_date=i.SECTOR_START
+    )
+
+
+@query("decomposition", DECOMPOSED + DECOMPOSITION)
+def _(spark, sf):
+    return rounded(_decomposition(spark, sf))
+
+
+@query("decomposition_known", DECOMPOSED + DECOMPOSITION + " WHERE ic IS NOT NULL AND rc IS NOT NULL")
+def _(spark, sf):
+    return rounded(sc.both_components_known(_decomposition(spark, sf)))
+
+
+BANDED = """banded AS (SELECT *, CASE WHEN ira_index >= 6 THEN 'high' ELSE 'low' END AS band FROM companies
+  WHERE ira_index >= 6 OR ira_index <= 3)"""
+STRATA = BASE + ",\n" + BANDED + ",\n" + _sector("band", "banded") + f""",
+firms AS (SELECT band, count(DISTINCT company_id) AS n_companies FROM banded
+          WHERE last_financing_date >= DATE '{i.SECTOR_START}' GROUP BY band),
+strata AS (SELECT * FROM sens JOIN firms USING (band))
+"""
+
+
+def _strata(spark, sf):
+    return sc.exposure_strata(i.companies(spark, sf), i.index_series(spark, sf), start_date=i.SECTOR_START)
+
+
+@query("exposure_strata", STRATA + f"SELECT band, {STATS}, n_companies FROM strata")
+def _(spark, sf):
+    return rounded(_strata(spark, sf))
+
+
+@query("exposure_comparison", STRATA + f"""
+SELECT h.n_companies AS high_n_companies, l.n_companies AS low_n_companies, {r('h.correlation')} AS high_correlation,
+       {r('l.correlation')} AS low_correlation, {r('h.abs_correlation - l.abs_correlation')} AS difference,
+       h.abs_correlation - l.abs_correlation > 0 AS high_more_sensitive
+FROM strata h, strata l WHERE h.band = 'high' AND l.band = 'low'""")
+def _(spark, sf):
+    return rounded(sc.exposure_comparison(_strata(spark, sf)))
+
+
+STACKED = "stacked AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS classifier, {c} AS sector, company_id, last_financing_date, month, total_raised FROM companies "
+    f"WHERE {c} IS NOT NULL AND {c} <> 'Others'" for c, name in i.CLASSIFIERS.items()
+) + ")"
+ROBUST = BASE + ",\n" + STACKED + ",\n" + _sector("classifier, sector", "stacked") + """,
+robust AS (SELECT *, CAST(row_number() OVER (PARTITION BY classifier ORDER BY abs_correlation DESC NULLS LAST, sector)
+           AS INTEGER) AS rank FROM sens)
+"""
+
+
+def _robust(spark, sf):
+    return sc.classifier_robustness(
+        i.companies(spark, sf), i.index_series(spark, sf), i.CLASSIFIERS, start_date=i.SECTOR_START
+    )
+
+
+@query("classifier_robustness", ROBUST + f"SELECT classifier, sector, {STATS}, {INTERPRET}, rank FROM robust")
+def _(spark, sf):
+    return rounded(_robust(spark, sf))
+
+
+@query("classifier_agreement", ROBUST + f"""
+SELECT CAST(4 AS BIGINT) AS n_classifiers, count(*) FILTER (WHERE votes = 4) AS shared_sectors, count(*) AS all_sectors,
+       {r('count(*) FILTER (WHERE votes = 4) / count(*)')} AS agreement_score
+FROM (SELECT sector, count(DISTINCT classifier) AS votes FROM robust WHERE rank <= 3 GROUP BY sector)""")
+def _(spark, sf):
+    return rounded(sc.classifier_agreement(_robust(spark, sf)))
+
+
+def _era_ctes(prefix: str, start: str) -> str:
+    """The sector CTEs once more under other names."""
+    import re
+
+    text = _sector("sector", "judged", start=start)
+    names = ["era", "cnt", "calendar", "aligned", "al", "lag_list", "ccf", "best", "sizes", "sens"]
+    for name in names:
+        text = re.sub(rf"\b{name}\b", f"{prefix}_{name}", text)
+    return text
+
+
+@query("era_comparison", SECTOR + _era_ctes("r", i.ERA_START) + ",\n" + _era_ctes("f", i.SECTOR_START) + f"""
+SELECT sector, {r('r.correlation')} AS corr_ira_era, r.optimal_lag AS lag_ira_era,
+       {r('f.correlation')} AS corr_full_sample, f.optimal_lag AS lag_full_sample,
+       {r('r.correlation - f.correlation')} AS corr_change,
+       coalesce(r.correlation > 0, false) <> coalesce(f.correlation > 0, false) AS direction_flip
+FROM r_sens r JOIN f_sens f USING (sector)""")
+def _(spark, sf):
+    companies, index = i.companies(spark, sf), i.index_series(spark, sf)
+    recent, full = (
+        sc.sector_ranking(companies, index, category="deepseek_category", start_date=start)
+        for start in (i.ERA_START, i.SECTOR_START)
+    )
+    return rounded(sc.era_comparison(recent, full))
+
+
+# --- stationarity and causality --------------------------------------------------------------------------------
+
+
+def _outlet_series(spark, sf):
+    """Ratio series of every outlet, as one panel of many keys."""
+    from newsgauge.operators.outlets import outlet_ratio
+
+    return outlet_ratio(i.outlet_panel(spark, sf)).select(
+        "outlet", F.to_date(F.concat("month", F.lit("-01"))).alias("month"), "value"
+    )
+
+
+@query("kpss_panel", i.with_(i.OUTLETS) + f""",
+s AS (SELECT outlet, month, numerator / denominator AS v FROM panel),
+d AS (SELECT outlet, month, v - avg(v) OVER (PARTITION BY outlet) AS e, count(*) OVER (PARTITION BY outlet) AS n,
+      row_number() OVER (PARTITION BY outlet ORDER BY month) AS pos FROM s),
+wk AS (SELECT *, sum(e) OVER (PARTITION BY outlet ORDER BY pos) AS walk FROM d WHERE n >= 24),
+g AS (SELECT outlet, any_value(n) AS n, sum(walk * walk) AS w2, sum(e * e) AS e2 FROM wk GROUP BY outlet),
+cv AS (SELECT a.outlet, b.pos - a.pos AS k, sum(a.e * b.e) AS c FROM wk a JOIN wk b ON a.outlet = b.outlet AND b.pos > a.pos
+       GROUP BY 1, 2),
+s01 AS (SELECT g.outlet, any_value(g.n) AS n, any_value(w2) AS w2, any_value(e2) AS e2,
+        any_value(e2) / any_value(g.n) + sum(CASE WHEN k <= floor(g.n ^ (2 / 9)) THEN c / (g.n / 2) ELSE 0 END) AS s0,
+        sum(CASE WHEN k <= floor(g.n ^ (2 / 9)) THEN k * c / (g.n / 2) ELSE 0 END) AS s1
+        FROM g JOIN cv ON g.outlet = cv.outlet GROUP BY g.outlet),
+bw AS (SELECT *, least(floor(1.1447 * ((s1 / s0) ^ 2) ^ (1 / 3) * n ^ (1 / 3)), n - 1) AS l FROM s01),
+var AS (SELECT bw.outlet, any_value(bw.n) AS n, any_value(l) AS l, any_value(w2) AS w2,
+        (any_value(e2) + 2 * sum(CASE WHEN k <= l THEN c * (1 - k / (l + 1)) ELSE 0 END)) / any_value(bw.n) AS s2
+        FROM bw JOIN cv ON bw.outlet = cv.outlet GROUP BY bw.outlet),
+res AS (SELECT outlet, n, l, w2 / (n * n) / s2 AS stat FROM var)
+SELECT outlet, n, CAST(l AS INTEGER) AS kpss_lags, {r('stat')} AS kpss_statistic,
+  {r('''CASE WHEN stat <= 0.347 THEN 0.10 WHEN stat <= 0.463 THEN 0.10 - (stat - 0.347) * 0.05 / 0.116
+        WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) * 0.025 / 0.111
+        WHEN stat <= 0.739 THEN 0.025 - (stat - 0.574) * 0.015 / 0.165 ELSE 0.01 END''')} AS kpss_pvalue FROM res""")
+def _(spark, sf):
+    return rounded(st.kpss_panel(_outlet_series(spark, sf), ["outlet"]))
+
+
+@query("adf_panel")
+def _(spark, sf):
+    return rounded(st.adf_panel(_outlet_series(spark, sf), ["outlet"]))
+
+
+@query("stationarity_verdict")
+def _(spark, sf):
+    return rounded(st.stationarity(_outlet_series(spark, sf), ["outlet"]))
+
+
+@query("make_stationary")
+def _(spark, sf):
+    return rounded(st.make_stationary(_outlet_series(spark, sf), ["outlet"]))
+
+
+def _pairs(spark, sf):
+    return ll.stack_pairs(i.panel(spark, sf), LEADLAG_PAIRS)
+
+
+@query("granger_panel")
+def _(spark, sf):
+    return rounded(ca.granger_panel(_pairs(spark, sf), ["pair"])).withColumn(
+        "pvalues", F.transform("pvalues", lambda p: F.round(p, 6))
+    )
+
+
+@query("granger_bidirectional")
+def _(spark, sf):
+    return rounded(ca.granger_bidirectional(_pairs(spark, sf), ["pair"]))
+
+
+@query("var_panel")
+def _(spark, sf):
+    return rounded(ca.var_panel(_pairs(spark, sf), ["pair"], ["s1", "s2"]))
+
+
+@query("leadlag_report")
+def _(spark, sf):
+    return rounded(ca.leadlag_report(_pairs(spark, sf), ["pair"]))
