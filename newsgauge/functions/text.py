@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +68,11 @@ def term_present(text: Column, words: Column, term: str) -> Column:
     return text.rlike(_edge(term[0], True) + escaped + _edge(term[-1], False))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also in filters, which repeat plain columns."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_term(text: Column, words: Column, terms: Sequence[str]) -> Column:
     """Does at least one of the terms occur?"""
     plain = word_terms(terms)

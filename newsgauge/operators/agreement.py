@@ -141,7 +141,9 @@ def adaptive_validation(
         "id", F.explode(F.sequence("entered", F.lit(max_expansions).cast("bigint"))).alias("round")
     )
     sizes = samples.groupBy("round").agg(F.count("*").alias("sample_size"))
-    rows = compared(keyword_labels(articles, category), labels).join(samples, "id")
+    # Cut the articles to the sample first, so that their tags are computed for it alone.
+    sampled = articles.join(rounds.select("id"), "id", "left_semi")
+    rows = compared(keyword_labels(sampled, category), labels).join(samples, "id")
     by_round = sizes.join(rows.groupBy("round").agg(*_agreement()), "round", "left").fillna(
         0.0, ["overall", "climate_policy_accuracy", "uncertainty_type_accuracy"]
     ).fillna(0, ["total_compared"])

@@ -30,19 +30,6 @@ def unclassified_sample(
     return sample_random(articles.join(done, "id", "left_anti"), n, seed)
 
 
-def _first_of_stratum(rows: DataFrame, n: int) -> DataFrame:
-    """Rank rows within their stratum up to ``n``; a large stratum is first cut down in salted parts."""
-    salted = Window.partitionBy("_stratum", "_salt").orderBy("_order", "id")
-    whole = Window.partitionBy("_stratum").orderBy("_order", "id")
-    return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        .withColumn("_part", F.row_number().over(salted))
-        .where(F.col("_part") <= n)
-        .withColumn("_rank", F.row_number().over(whole))
-        .drop("_salt", "_part")
-    )
-
-
 def stratified_ids(
     articles: DataFrame, stratum: str, n: int = fixed.SAMPLE_SIZE, seed: int = 0
 ) -> DataFrame:
@@ -50,28 +37,36 @@ def stratified_ids(
 
     Each stratum gives floor(n * share) rows but at least 1; rows missing to ``n`` are topped up
     from the remainder in hashed order, and surplus from the minimum of 1 is cut at ``n``.
+
+    One pass over the articles: a stratum is ranked and counted in salted parts, so a large one is
+    spread over many tasks; after that at most ``n`` rows per part are left.
     """
+    part = Window.partitionBy("_stratum", "_salt")
+    whole = Window.partitionBy("_stratum")
     rows = articles.select(
-        "id", F.coalesce(F.col(stratum), F.lit("unknown")).alias("_stratum"),
+        "id",
+        F.coalesce(F.col(stratum), F.lit("unknown")).alias("_stratum"),
         hashed_order(seed).alias("_order"),
+        F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"),
     )
-    sizes = rows.groupBy("_stratum").agg(F.count("*").alias("_size"))
-    quotas = sizes.withColumn("_total", F.sum("_size").over(series_window(()))).select(
-        "_stratum", "_total",
-        F.least(
-            F.col("_size"), F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / F.col("_total"))))
-        ).alias("_quota"),
-    )
-    ranked = _first_of_stratum(rows, n).join(quotas, "_stratum")
-    # At most n rows per stratum reach this point; the sample itself has n rows.
-    picked = F.when(F.col("_rank") <= F.col("_quota"), 0).otherwise(1)
-    final = ranked.withColumn("_tier", picked).withColumn(
-        "_place",
-        F.row_number().over(series_window((), [
-            "_tier", F.when(F.col("_tier") == 0, F.col("_stratum")), "_order", "id",
-        ])),
+    trimmed = rows.withColumns({
+        "_place": F.row_number().over(part.orderBy("_order", "id")),
+        "_size": F.count("*").over(part),
+    }).where(F.col("_place") <= n)
+    sized = trimmed.withColumns({
+        "_rank": F.row_number().over(whole.orderBy("_order", "id")),
+        "_size": F.sum(F.when(F.col("_place") == 1, F.col("_size"))).over(whole),
+    }).where(F.col("_rank") <= n)
+    # From here on there are at most n rows per stratum; the result has n rows.
+    total = F.sum(F.when(F.col("_rank") == 1, F.col("_size"))).over(series_window(()))
+    quota = F.least(
+        F.col("_size"), F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / total)))
     )
-    return final.where(F.col("_place") <= n).select("id")
+    tiers = sized.withColumn("_tier", F.when(F.col("_rank") <= quota, 0).otherwise(1))
+    placed = tiers.withColumn("_place", F.row_number().over(series_window((), [
+        "_tier", F.when(F.col("_tier") == 0, F.col("_stratum")), "_order", "id",
+    ])))
+    return placed.where(F.col("_place") <= n).select("id")
 
 
 def sample_stratified(

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.functions.text import any_term, join_text, matched_terms, present_words
+from newsgauge.functions.text import (
+    any_term, bind, join_text, matched_terms, present_words,
+)
 from newsgauge.lexicon import DEFAULT_LEXICON, FLAGS, Lexicon
 
 TEXT, WORDS = "_text", "_words"
@@ -107,11 +109,18 @@ def placebo_flags(
 
 
 def corpus_predicate(lexicon: Lexicon, *categories: str) -> Column:
-    """AND over categories of OR over terms; for rows prepared by :func:`with_tokens`."""
-    hit = F.lit(True)
-    for category in categories:
-        hit = hit & category_hit(lexicon, category)
-    return hit
+    """AND over categories of OR over terms, on title and snippet."""
+    def all_hit(parts: Column) -> Column:
+        hit = F.lit(True)
+        for category in categories:
+            hit = hit & any_term(parts["text"], parts["words"], lexicon.terms(category))
+        return hit
+
+    def look_up(text: Column) -> Column:
+        words = present_words(text, lexicon.vocabulary(*categories))
+        return bind(F.struct(text.alias("text"), words.alias("words")), all_hit)
+
+    return bind(join_text(F.col("title"), F.col("snippet")), look_up)
 
 
 def corpus_query(
@@ -119,11 +128,7 @@ def corpus_query(
     categories: Sequence[str] = ("climate", "policy"),
 ) -> DataFrame:
     """Articles that hold at least one term of every category."""
-    return (
-        with_tokens(articles, lexicon, categories)
-        .where(corpus_predicate(lexicon, *categories))
-        .drop(TEXT, WORDS)
-    )
+    return articles.where(corpus_predicate(lexicon, *categories))
 
 
 def monthly_counts(
@@ -144,18 +149,13 @@ def monthly_counts(
     )
 
 
-def class_counts(
-    articles: DataFrame, classifications: DataFrame, keys: Sequence[str] = ("month",),
-    by_outlet: bool = False,
+def count_tagged(
+    tagged: DataFrame, keys: Sequence[str] = ("month",), by_outlet: bool = False
 ) -> DataFrame:
-    """Filtered counts over articles left-joined with their classification.
+    """Filtered counts per key of articles that carry their flags (NULL where not classified).
 
-    Articles without a classification count in the total only. The outlet form has no upside or
-    regime counts.
+    The outlet form has no upside or regime counts.
     """
-    joined = articles.select("id", *keys).join(
-        classifications.withColumnRenamed("article_id", "id"), "id", "left"
-    )
     uncertain = F.col("has_uncertainty")
     counts = [
         F.count("*").alias("total_articles"),
@@ -170,4 +170,18 @@ def class_counts(
             F.count_if("has_ira_mention").alias("ira_count"),
             F.count_if("has_obbba_mention").alias("obbba_count"),
         ]
-    return joined.groupBy(*keys).agg(*counts)
+    return tagged.groupBy(*keys).agg(*counts)
+
+
+def class_counts(
+    articles: DataFrame, classifications: DataFrame, keys: Sequence[str] = ("month",),
+    by_outlet: bool = False,
+) -> DataFrame:
+    """Filtered counts over articles left-joined with a stored classification.
+
+    Articles without a classification count in the total only.
+    """
+    joined = articles.select("id", *keys).join(
+        classifications.withColumnRenamed("article_id", "id"), "id", "left"
+    )
+    return count_tagged(joined, keys, by_outlet)

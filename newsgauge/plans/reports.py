@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge import fixed_values as fixed
@@ -18,6 +18,7 @@ from newsgauge.operators import panel as pn
 from newsgauge.operators import sector as sc
 from newsgauge.operators import tagging as tg
 from newsgauge.sources import exports as ex
+from newsgauge.sources.files import read_deals
 
 LEADLAG_PAIRS = [
     ("cpu_index", "deal_count"), ("cpu_impl", "deal_count"),
@@ -30,10 +31,8 @@ def article_index(
     base_start: str | None = None, base_end: str | None = None,
 ) -> DataFrame:
     """Corpus to the long index table in one plan."""
-    classified = tg.classify_articles(
-        articles, lexicon, include_matched_terms=False, keep=["id", "month"]
-    )
-    counts = tg.class_counts(articles, classified.drop("month"))
+    tagged = tg.classify_articles(articles, lexicon, include_matched_terms=False, keep=["month"])
+    counts = tg.count_tagged(tagged)
     return ix.build_index(ix.raw_counts(None, counts), base_start, base_end)
 
 
@@ -47,18 +46,27 @@ def count_index(
 
 
 def outlet_indices(
-    articles: DataFrame, classified: DataFrame, base: tuple[str, str] = fixed.OUTLET_BASE
+    articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON,
+    base: tuple[str, str] = fixed.OUTLET_BASE,
 ) -> DataFrame:
-    """Every outlet's own index from tagged articles."""
-    rows = articles.withColumnRenamed("source", "outlet")
-    counts = tg.class_counts(rows, classified, ["outlet", "month"], by_outlet=True)
-    panel = counts.select(
+    """Every outlet's own index over the tagged corpus."""
+    tagged = tg.classify_articles(
+        articles, lexicon, include_matched_terms=False, keep=["source", "month"]
+    ).withColumnRenamed("source", "outlet")
+    panel = tg.count_tagged(tagged, ["outlet", "month"], by_outlet=True).select(
         "outlet", "month", F.col("uncertainty_count").alias("numerator"),
         F.col("total_articles").alias("denominator"),
     )
     return ou.outlet_index(panel, *base)
 
 
+def monthly_metrics(
+    spark: SparkSession, path: str, min_date: str = fixed.DEAL_MIN_DATE
+) -> DataFrame:
+    """Deals export to calendar-complete monthly activity."""
+    return dl.monthly_activity(read_deals(spark, path, min_date))
+
+
 def deals_panel(deals: DataFrame, index: DataFrame) -> DataFrame:
     """Monthly activity next to the index components."""
     return pn.panel_overlap(dl.monthly_activity(deals), index)

@@ -54,3 +54,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of the executor that computed them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table with fewer input splits than cores; larger tables stay as they are.
+
+    Expensive text expressions over one small file would otherwise run in a single task. The check
+    looks at the planned splits only, so a table of many files is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

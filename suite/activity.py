@@ -20,12 +20,8 @@ COLUMNS = "deal_id, company_id, deal_date, deal_size, deal_type, deal_status, ye
 # --- loading and filtering ----------------------------------------------------------------------------
 
 
-@query("deals_load", DEALS + """
-SELECT CAST(deal_id AS VARCHAR) AS deal_id, CAST(company_id AS VARCHAR) AS company_id, deal_date,
-       CASE WHEN deal_id % 10 = 3 THEN NULL ELSE floor(deal_size) END AS deal_size, deal_type, sector,
-       year, month_number, month, stage FROM deals WHERE deal_id % 50 <> 7""")
-def _(spark, sf):
-    """Write an export with six preamble lines, quoted amounts and bad dates, and read it back."""
+def _export(spark, sf):
+    """Write a deals export with six preamble lines, quoted amounts and some unreadable dates."""
     from newsgauge.session import scratch_path
 
     path = scratch_path(spark, "deals-csv")
@@ -43,8 +39,26 @@ def _(spark, sf):
     lines = i.raw_deals(spark, sf).select(F.concat_ws(",", *quoted).alias("value"))
     spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.text(path)
     lines.write.mode("append").text(path)
-    loaded = files.read_deals(spark, path, "1995-02-10")
-    return loaded.drop("deal_status")
+    return path
+
+
+@query("deals_load", DEALS + """
+SELECT CAST(deal_id AS VARCHAR) AS deal_id, CAST(company_id AS VARCHAR) AS company_id, deal_date,
+       CASE WHEN deal_id % 10 = 3 THEN NULL ELSE floor(deal_size) END AS deal_size, deal_type, sector,
+       year, month_number, month, stage FROM deals WHERE deal_id % 50 <> 7""")
+def _(spark, sf):
+    return files.read_deals(spark, _export(spark, sf), "1995-02-10").drop("deal_status")
+
+
+@query("monthly_metrics", DEALS + f"""
+SELECT month, count(*) AS deal_count, {r('sum(CASE WHEN deal_id % 10 <> 3 THEN floor(deal_size) END)', 2)} AS total_amount,
+       {r('median(CASE WHEN deal_id % 10 <> 3 THEN floor(deal_size) END)', 4)} AS median_amount,
+       count(*) FILTER (WHERE deal_id % 10 <> 3) AS deals_with_size FROM deals WHERE deal_id % 50 <> 7 GROUP BY month""")
+def _(spark, sf):
+    from newsgauge.plans.reports import monthly_metrics
+
+    metrics = monthly_metrics(spark, _export(spark, sf), "1995-02-10").where("deal_count > 0")
+    return rounded(metrics.select("month", "deal_count", "total_amount", "median_amount", "deals_with_size"), 4)
 
 
 @query("judged_load", W(i.COMPANIES) + f"""

@@ -323,7 +323,7 @@ SELECT outlet, month, {r('CASE WHEN m IS NULL THEN v WHEN m <> 0 THEN v / m * 10
 def _(spark, sf):
     from newsgauge.plans.reports import outlet_indices
 
-    series = outlet_indices(i.articles(spark, sf), _classified(spark, sf, ["id"]))
+    series = outlet_indices(i.articles(spark, sf), i.LEXICON)
     return rounded(series.select("outlet", "month", "value"))
 
 
@@ -401,8 +401,8 @@ def _(spark, sf):
 
 
 def _source_ratios(spark, sf):
-    rows = i.articles(spark, sf).withColumnRenamed("source", "outlet")
-    counts = tg.class_counts(rows, _classified(spark, sf, ["id"]), ["outlet", "month"], by_outlet=True)
+    tagged = _classified(spark, sf, ["source", "month"]).withColumnRenamed("source", "outlet")
+    counts = tg.count_tagged(tagged, ["outlet", "month"], by_outlet=True)
     return ou.outlet_ratio(counts.select(
         "outlet", "month", F.col("uncertainty_count").alias("numerator"),
         F.col("total_articles").alias("denominator"),

@@ -11,6 +11,7 @@ from newsgauge.functions.text import SPACE, normalize_term
 from newsgauge.lexicon import Lexicon
 from newsgauge.operators import deals as dl
 from newsgauge.operators import index as ix
+from newsgauge.session import spread
 
 # Words that occur in the generated documents.
 TERMS = {
@@ -65,7 +66,7 @@ def _case(column: str, mapping: dict[str, str], default: str) -> str:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.date_add(F.lit("2021-01-01").cast("date"), (F.col("doc_id") % 1460).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("snippet"),

@@ -471,6 +471,14 @@ def _(spark, sf):
     return merged.withColumn("no_terms", F.col("matched_terms").isNull()).drop("matched_terms")
 
 
+@query("upsert_labels", W(i.LABELS) + """
+SELECT article_id, is_climate_policy, uncertainty_type, certainty_level FROM llm""")
+def _(spark, sf):
+    current = i.labels(spark, sf)
+    stale = current.withColumns({"uncertainty_type": F.lit("none"), "certainty_level": F.lit(1)})
+    return tb.upsert(stale, current, ["article_id"])
+
+
 # --- samples and labels -------------------------------------------------------------------------------
 
 
@@ -673,6 +681,11 @@ def _(spark, sf):
     return dd.fuzzy_dedup(i.articles(spark, sf).drop("snippet"))
 
 
+@query("dedup_fuzzy_lev")
+def _(spark, sf):
+    return dd.fuzzy_dedup(i.articles(spark, sf).drop("snippet"), measure="levenshtein")
+
+
 @query("dedup_same_day")
 def _(spark, sf):
     return dd.same_day_dedup(i.articles(spark, sf).drop("snippet"))
