@@ -16,6 +16,7 @@ from newsgauge.functions import inference as inf
 from newsgauge.operators.leadlag import cross_correlation, optimal_lag
 from newsgauge.operators.panel import difference
 from newsgauge.operators.stationarity import ALPHA, stationarity
+from newsgauge.session import cut_lineage
 
 MAX_GRANGER_LAG = 4
 
@@ -89,6 +90,7 @@ def granger_bidirectional(
             F.col("optimal_lag").alias(f"{name}_lag"),
         )
 
+    pairs = cut_lineage(pairs.select(*keys, "month", x, y))
     both = side(x, y, "forward").join(side(y, x, "backward"), list(keys))
     return both.withColumn(
         "relationship",
@@ -166,7 +168,8 @@ def leadlag_report(
     than 24 joint rows have status 'error' and nothing else.
     """
     keys = list(keys)
-    joint = pairs.dropna(subset=[x, y])
+    # One row per key and month, read by every test below: computed once and kept.
+    joint = cut_lineage(pairs.select(*keys, "month", x, y).dropna(subset=[x, y]))
     sizes = joint.groupBy(*keys).agg(
         F.count("*").alias("n_observations"),
         F.min("month").alias("first_month"), F.max("month").alias("last_month"),

@@ -12,6 +12,7 @@ from newsgauge.functions.calendar import fill_months, month_start
 from newsgauge.functions.stats import series_window
 from newsgauge.operators.deals import exposure_band
 from newsgauge.operators.leadlag import cross_correlation, lead_label, optimal_lag
+from newsgauge.session import cut_lineage
 
 METRICS = ("deal_count", "total_amount")
 
@@ -84,7 +85,8 @@ def sector_sensitivity(
 
     Groups with too few joint months stay in the result with NULL statistics.
     """
-    panel = aligned_panel(companies, index, keys, columns, metric, start_date)
+    # Small, and read twice: keep it instead of aggregating the records again.
+    panel = cut_lineage(aligned_panel(companies, index, keys, columns, metric, start_date))
     all_keys = ["index_column", *keys]
     ccf = cross_correlation(panel, all_keys, max_lag=max_lag)
     best = optimal_lag(ccf, all_keys).drop("n_observations")

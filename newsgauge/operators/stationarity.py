@@ -14,6 +14,7 @@ from newsgauge import fixed_values as fixed
 from newsgauge.functions import inference as inf
 from newsgauge.functions.stats import series_window
 from newsgauge.operators.panel import difference
+from newsgauge.session import cut_lineage
 
 ALPHA = 0.05
 
@@ -197,9 +198,9 @@ def make_stationary(
     All orders are tested together. The search ends early at an order that is too short or
     cannot be tested; the last order is the best effort.
     """
-    levels = series.where(F.col(value).isNotNull()).select(
+    levels = cut_lineage(series.where(F.col(value).isNotNull()).select(
         *keys, "month", F.col(value).cast("double").alias("value")
-    )
+    ))
     orders = None
     for d in range(max_differences + 1):
         differenced = difference(levels, ["value"], d, keys).withColumn("d", F.lit(d))

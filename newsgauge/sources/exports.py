@@ -56,19 +56,23 @@ def outlet_export(series: DataFrame, outlets: Sequence[str]) -> DataFrame:
     ).orderBy("date")
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """Monthly tables fit one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> str:
+    """Monthly tables fit one file; larger ones keep their partitions."""
+    rows = df.coalesce(1) if one_file else df
+    rows.write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
-def export_index(values: DataFrame, path: str, **choice) -> int:
+def export_index(
+    values: DataFrame, path: str, index_types: Sequence[str] | None = None,
+    include_all: bool = False,
+) -> int:
     """Write the index table; an empty selection is an error. Returns the number of rows."""
-    rows = export_index_rows(values, **choice)
+    rows = export_index_rows(values, index_types, include_all)
     count = rows.count()
     if count == 0:
         raise ValueError("no index values to export")
-    write_csv(rows, path)
+    write_csv(rows, path, one_file=not include_all)
     return count
 
 

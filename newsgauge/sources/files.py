@@ -94,9 +94,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
     """A merged monthly panel whose first column is the month, under whatever name."""
-    first = spark.read.option("header", True).csv(path).columns[0]
-    rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return rows.withColumn(first, F.col(f"`{first}`").cast("date")).withColumnRenamed(first, "month")
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType(
+        [T.StructField("month", T.DateType())]
+        + [T.StructField(n, T.DoubleType()) for n in names[1:]]
+    )
+    return spark.read.schema(schema).options(header=True, enforceSchema=True).csv(path)
 
 
 def read_judged(spark: SparkSession, path: str) -> DataFrame:

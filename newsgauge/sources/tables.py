@@ -34,9 +34,14 @@ def merge_counts(existing: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(new, existing, ["month"]).orderBy("month")
 
 
+def balanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows grouped by the folders they go to; AQE splits a hot folder and merges tiny ones."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def write_batch(df: DataFrame, path: str, batch: int, partition_by: Sequence[str] = ()) -> None:
     """Write one batch; the same number again replaces it."""
-    writer = df.write.mode("overwrite")
+    writer = balanced(df, partition_by).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(os.path.join(path, f"batch={batch:010d}"))
@@ -51,6 +56,14 @@ def read_latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame
     return latest(read_batches(spark, path), key, ["batch"]).drop("batch")
 
 
+def compact(
+    spark: SparkSession, path: str, target: str, key: Sequence[str],
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Write the resolved table as the first batch of a new one, so that later reads stay cheap."""
+    write_batch(read_latest(spark, path, key), target, 0, partition_by)
+
+
 def classification_rows(classified: DataFrame) -> DataFrame:
     """Classified articles in table layout: matched terms as JSON, NULL when nothing matched."""
     names = [f.name for f in classified.schema["matched_terms"].dataType.fields]
@@ -63,7 +76,8 @@ def classification_rows(classified: DataFrame) -> DataFrame:
 
 def append_raw_response(responses: DataFrame, path: str) -> None:
     """Audit log of raw answers: (month, query, response_json), appended by month."""
-    responses.select(
+    rows = responses.select(
         F.sha2("query", 256).alias("query_hash"), "month", "response_json",
         F.current_timestamp().alias("fetched_at"),
-    ).write.mode("append").partitionBy("month").parquet(path)
+    )
+    balanced(rows, ["month"]).write.mode("append").partitionBy("month").parquet(path)

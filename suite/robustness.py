@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsgauge import fixed_values as fixed
 from newsgauge.functions.stats import pearson
 from newsgauge.operators import events as ev
 from newsgauge.operators import variants as va
@@ -180,7 +181,15 @@ def _(spark, sf):
     ))
 
 
-@query("variant_event_accuracy")
+@query("variant_event_accuracy", INDEXED + f""",
+e(month, event, expected) AS (VALUES {', '.join(f"('{m}', '{n}', '{x}')" for m, n, x in fixed.REGISTERED_EVENTS)}),
+l AS (SELECT month, value, lag(value) OVER (ORDER BY month) AS pv FROM vi WHERE variant = 'baseline'),
+s AS (SELECT l.month IS NOT NULL AS has, pv IS NOT NULL AND CASE
+        WHEN expected IN ('spike', 'spike_then_drop') THEN CASE WHEN pv <> 0 THEN (value - pv) / pv * 100 ELSE 0 END >= 5
+        WHEN expected = 'increase' THEN value > pv WHEN expected = 'decrease' THEN value < pv ELSE false END AS ok
+      FROM e LEFT JOIN l ON e.month = l.month)
+SELECT count(*) FILTER (WHERE has) AS events_checked, count(*) FILTER (WHERE has AND ok) AS events_passed,
+       {r('count(*) FILTER (WHERE has AND ok) / nullif(count(*) FILTER (WHERE has), 0)')} AS accuracy FROM s""")
 def _(spark, sf):
     """Event rule of the previous month on the baseline series of the variants run."""
     series = _series(spark, sf).where("variant = 'baseline'").select("month", "value")

@@ -688,7 +688,9 @@ def _(spark, sf):
 
 @query("dedup_same_day")
 def _(spark, sf):
-    return dd.same_day_dedup(i.articles(spark, sf).drop("snippet"))
+    """All documents fall on 60 days, so that a source has many articles per day."""
+    day = F.date_add(F.lit("2021-01-01").cast("date"), (F.col("id") % 60).cast("int"))
+    return dd.same_day_dedup(i.articles(spark, sf).drop("snippet").withColumn("date", day))
 
 
 @query("dedup_compare")
