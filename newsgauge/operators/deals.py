@@ -49,9 +49,12 @@ def derive_deal_columns(deals: DataFrame) -> DataFrame:
 
 def aggregate_activity(
     deals: DataFrame, keys: Sequence[str], amount: str = "deal_size", record: str = "deal_id",
-    mean: bool = True,
+    mean: bool = True, median: bool = True,
 ) -> DataFrame:
-    """Counts, amounts and stages per key; partial sums are merged, the median is exact."""
+    """Counts, amounts and stages per key; partial sums are merged, the median is exact.
+
+    The median reads the records once more; leave it out where nobody looks at it.
+    """
     size = F.col(amount)
     measures = [
         F.count(record).alias("deal_count"),
@@ -71,17 +74,19 @@ def aggregate_activity(
     if not mean:
         measures.pop(2)
     counted = deals.groupBy(*keys).agg(*measures)
-    medians = exact_median(deals, keys, amount, "median_amount")
+    if median:
+        medians = exact_median(deals, keys, amount, "median_amount")
+        counted = counted.join(medians, list(keys), "left")
     coverage = F.when(
         F.col("deal_count") > 0,
         F.try_divide(100.0 * F.col("deals_with_size"), F.col("deal_count")),
     ).otherwise(F.lit(0.0))
-    return counted.join(medians, list(keys), "left").withColumn("size_coverage_pct", coverage)
+    return counted.withColumn("size_coverage_pct", coverage)
 
 
-def monthly_activity(deals: DataFrame) -> DataFrame:
+def monthly_activity(deals: DataFrame, median: bool = True) -> DataFrame:
     """Monthly totals from the first to the last month; absent months are 0 in every column."""
-    monthly = aggregate_activity(deals, ["month"])
+    monthly = aggregate_activity(deals, ["month"], median=median)
     values = [c for c in monthly.columns if c != "month"]
     return fill_months(monthly, [], values)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -85,30 +86,30 @@ def variant_list(
     return [v for v in variants if v.phase <= phase]
 
 
+RECORD = (
+    "array<struct<variant: string, phase: int, terms_out: array<string>, outlets_out: array<string>, "
+    "sets_out: array<string>, require_uncertainty: boolean, use_labels: boolean, confidence: double, "
+    "base_start: string, base_end: string, skip_volume_scaling: boolean, "
+    "skip_standardization: boolean, index_types: array<string>, placebo: string>>"
+)
+
+
 def variant_structs(variants: Sequence[Variant]) -> Column:
-    """The catalogue as one literal array of records, small by construction."""
-    def strings(values: Sequence[str]) -> Column:
-        return F.array(*map(F.lit, values)).cast("array<string>")
-
-    return F.array(*[
-        F.struct(
-            F.lit(v.name).alias("variant"),
-            F.lit(v.phase).alias("phase"),
-            strings([t.lower() for t in v.exclude_keywords]).alias("terms_out"),
-            strings([o.lower() for o in v.exclude_outlets]).alias("outlets_out"),
-            strings(v.exclude_sets).alias("sets_out"),
-            F.lit(v.require_uncertainty).alias("require_uncertainty"),
-            F.lit(v.use_labels).alias("use_labels"),
-            F.lit(v.confidence).alias("confidence"),
-            F.lit(v.base_start).cast("string").alias("base_start"),
-            F.lit(v.base_end).cast("string").alias("base_end"),
-            F.lit(v.skip_volume_scaling).alias("skip_volume_scaling"),
-            F.lit(v.skip_standardization).alias("skip_standardization"),
-            strings(v.index_types).alias("index_types"),
-            F.lit(v.placebo).cast("string").alias("placebo"),
-        )
+    """The catalogue as one constant array of records, small by construction."""
+    records = [
+        {
+            "variant": v.name, "phase": v.phase,
+            "terms_out": [t.lower() for t in v.exclude_keywords],
+            "outlets_out": [o.lower() for o in v.exclude_outlets], "sets_out": v.exclude_sets,
+            "require_uncertainty": v.require_uncertainty, "use_labels": v.use_labels,
+            "confidence": v.confidence, "base_start": v.base_start, "base_end": v.base_end,
+            "skip_volume_scaling": v.skip_volume_scaling,
+            "skip_standardization": v.skip_standardization,
+            "index_types": v.index_types, "placebo": v.placebo,
+        }
         for v in variants
-    ])
+    ]
+    return F.from_json(F.lit(json.dumps(records)), RECORD)
 
 
 def variant_catalog(spark: SparkSession, variants: Sequence[Variant]) -> DataFrame:

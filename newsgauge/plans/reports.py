@@ -67,9 +67,9 @@ def monthly_metrics(
     return dl.monthly_activity(read_deals(spark, path, min_date))
 
 
-def deals_panel(deals: DataFrame, index: DataFrame) -> DataFrame:
+def deals_panel(deals: DataFrame, index: DataFrame, median: bool = True) -> DataFrame:
     """Monthly activity next to the index components."""
-    return pn.panel_overlap(dl.monthly_activity(deals), index)
+    return pn.panel_overlap(dl.monthly_activity(deals, median), index)
 
 
 def leadlag_run(deals: DataFrame, index: DataFrame, folder: str) -> dict[str, str]:

@@ -28,10 +28,10 @@ def _export(spark, sf):
     names = ["Deal ID", "Company ID", "Deal Date", "Deal Size", "Deal Type", "Deal Status",
              "Primary Industry Sector", "Unknown Column"]
     head = ["Export", "Search,deals", "", "Created,today", "Rows,all", "", ",".join(names)]
-    amount = F.when(F.col("deal_id") % 10 == 3, "N/A").otherwise(
+    amount = F.when(F.col("deal_type") == "Seed Round", "N/A").otherwise(
         F.format_number(F.floor("deal_size"), 0)
     )
-    date = F.when(F.col("deal_id") % 50 == 7, "soon").otherwise(F.col("deal_date").cast("string"))
+    date = F.when(F.col("sector") == "MACHINERY", "soon").otherwise(F.col("deal_date").cast("string"))
     quoted = [F.concat(F.lit('"'), F.coalesce(c.cast("string"), F.lit("")), F.lit('"')) for c in (
         F.col("deal_id"), F.col("company_id"), date, amount, F.col("deal_type"),
         F.col("deal_status"), F.col("sector"), F.lit('a ""quoted"" word, comma'),
@@ -44,16 +44,19 @@ def _export(spark, sf):
 
 @query("deals_load", DEALS + """
 SELECT CAST(deal_id AS VARCHAR) AS deal_id, CAST(company_id AS VARCHAR) AS company_id, deal_date,
-       CASE WHEN deal_id % 10 = 3 THEN NULL ELSE floor(deal_size) END AS deal_size, deal_type, sector,
-       year, month_number, month, stage FROM deals WHERE deal_id % 50 <> 7""")
+       CASE WHEN deal_type <> 'Seed Round' THEN floor(deal_size) END AS deal_size, deal_type, sector,
+       year, month_number, month, stage FROM deals WHERE sector <> 'MACHINERY'""")
 def _(spark, sf):
     return files.read_deals(spark, _export(spark, sf), "1995-02-10").drop("deal_status")
 
 
+SIZED = "{}(CASE WHEN deal_type <> 'Seed Round' THEN floor(deal_size) END)"
+
+
 @query("monthly_metrics", DEALS + f"""
-SELECT month, count(*) AS deal_count, {r('sum(CASE WHEN deal_id % 10 <> 3 THEN floor(deal_size) END)', 2)} AS total_amount,
-       {r('median(CASE WHEN deal_id % 10 <> 3 THEN floor(deal_size) END)', 4)} AS median_amount,
-       count(*) FILTER (WHERE deal_id % 10 <> 3) AS deals_with_size FROM deals WHERE deal_id % 50 <> 7 GROUP BY month""")
+SELECT month, count(*) AS deal_count, {r(SIZED.format('sum'), 2)} AS total_amount,
+       {r(SIZED.format('median'), 4)} AS median_amount,
+       count(*) FILTER (WHERE deal_type <> 'Seed Round') AS deals_with_size FROM deals WHERE sector <> 'MACHINERY' GROUP BY month""")
 def _(spark, sf):
     from newsgauge.plans.reports import monthly_metrics
 
@@ -223,14 +226,14 @@ def _roll(column: str, digits: int) -> str:
 @query("rolling_stats", PANEL + f"""
 SELECT month, deal_count, {r('total_amount', 2)} AS total_amount, {_roll('deal_count', 2)}, {_roll('total_amount', 2)} FROM vm""")
 def _(spark, sf):
-    monthly = dl.monthly_activity(i.deals(spark, sf)).select("month", "deal_count", "total_amount")
+    monthly = dl.monthly_activity(i.deals(spark, sf), median=False).select("month", "deal_count", "total_amount")
     return rounded(pn.rolling_stats(monthly), 2)
 
 
 @query("moving_average", PANEL + f"""
 SELECT month, {r(f'CASE WHEN count(deal_count) {ROLL} = 12 THEN avg(deal_count) {ROLL} END')} AS moving_average FROM vm""")
 def _(spark, sf):
-    monthly = dl.monthly_activity(i.deals(spark, sf)).select("month", "deal_count")
+    monthly = dl.monthly_activity(i.deals(spark, sf), median=False).select("month", "deal_count")
     rolled = pn.rolling_stats(monthly, 12, ["deal_count"])
     return rounded(rolled.select("month", F.col("deal_count_rolling_mean").alias("moving_average")))
 
@@ -294,4 +297,4 @@ def _(spark, sf):
 SELECT month, seed_count AS seed_top, seed_count + early_count AS early_top,
        seed_count + early_count + late_count AS late_top FROM vm""")
 def _(spark, sf):
-    return pn.stage_bands(dl.monthly_activity(i.deals(spark, sf)))
+    return pn.stage_bands(dl.monthly_activity(i.deals(spark, sf), median=False))

@@ -330,7 +330,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly activity next to the index series."""
     from newsgauge.plans.reports import deals_panel
 
-    return deals_panel(deals(spark, sf_dir), index_series(spark, sf_dir))
+    return deals_panel(deals(spark, sf_dir), index_series(spark, sf_dir), median=False)
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
