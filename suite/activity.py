@@ -54,7 +54,7 @@ SIZED = "{}(CASE WHEN deal_type <> 'Seed Round' THEN floor(deal_size) END)"
 
 
 @query("monthly_metrics", DEALS + f"""
-SELECT month, count(*) AS deal_count, {r(SIZED.format('sum'), 2)} AS total_amount,
+SELECT month, count(*) AS deal_count, {r('coalesce(' + SIZED.format('sum') + ', 0)', 2)} AS total_amount,
        {r(SIZED.format('median'), 4)} AS median_amount,
        count(*) FILTER (WHERE deal_type <> 'Seed Round') AS deals_with_size FROM deals WHERE sector <> 'MACHINERY' GROUP BY month""")
 def _(spark, sf):
