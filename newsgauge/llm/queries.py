@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsgauge.llm import sharding, toxicity
+from newsgauge.llm import quality, secrets, sharding, toxicity
 from newsgauge.llm.registry import QUERIES, SQL, query, table  # noqa: F401
+from newsgauge.session import cut_lineage
 
 
 @query("op7_sharding")
@@ -26,3 +27,26 @@ def op9(spark, sf_dir):
         "doc_id", held.alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op1_quality_rules")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # thin rows, wanted twice: for the cutoffs and for the verdicts
+    figures = cut_lineage(quality.base_figures(docs).drop("text"))
+    chosen = quality.cutoffs(figures, table(spark, sf_dir, "labels"), "lang")
+    return quality.apply_cutoffs(figures, chosen, "lang").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+@query("op5_secret_scan")
+def op5(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
+        secrets.digest(F.col("spans")).alias("spans"),
+    )
