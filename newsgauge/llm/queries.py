@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsgauge.llm import quality, secrets, sharding, toxicity
+from newsgauge.llm import decontam, pii, quality, secrets, sharding, toxicity
 from newsgauge.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from newsgauge.session import cut_lineage
 
@@ -50,3 +50,28 @@ def op5(spark, sf_dir):
         F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
         secrets.digest(F.col("spans")).alias("spans"),
     )
+
+
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    found = decontam.decontaminate(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op10_personal_data")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.spans(F.col("text")).alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.digest(base), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )

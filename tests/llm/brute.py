@@ -37,3 +37,41 @@ def secret_base(text):
 
 def spans_text(spans, kinds):
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(spans))
+
+
+def bench_words(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+
+
+def decontaminate(text, items, window=10):
+    """(n_words, n_hit, item ids) by sliding over the text."""
+    words, hit, found = bench_words(text), set(), set()
+    for item, item_text in items:
+        parts = bench_words(item_text)
+        n = min(window, len(parts))
+        tests = {tuple(parts[i:i + n]) for i in range(len(parts) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1 if n else 0):
+            if tuple(words[i:i + n]) in tests:
+                hit.update(range(i, i + n))
+                found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+def pii_base(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end())
+           for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10))
+                    for k, c in enumerate(reversed(digits)))
+        if 12 <= len(digits) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
