@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from newsgauge.llm import decontam, pii, quality, secrets, sharding, toxicity
+from newsgauge.llm import bpe, decontam, pii, quality, secrets, sharding, token_counts, toxicity
 from newsgauge.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from newsgauge.session import cut_lineage
 
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 @query("op7_sharding")
 def op7(spark, sf_dir):
@@ -75,3 +79,22 @@ def op10(spark, sf_dir):
         F.sha2(pii.digest(base), 256).alias("base_sha256"),
         pii.digest(F.col("spans")).alias("spans"),
     )
+
+
+@query("op6_bpe")
+def op6(spark, sf_dir):
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = bpe.compile_lexicon(docs, path)
+    ids = bpe.encode(docs, path, lexicon, keep_text=False)
+    return bpe.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    return token_counts.allot(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rule="start")
