@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from newsgauge.llm import bpe, decontam, pii, quality, secrets, sharding, token_counts, toxicity
+from newsgauge.llm import (
+    bpe, decontam, pii, quality, quotes, secrets, sharding, token_counts, toxicity,
+)
 from newsgauge.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from newsgauge.session import cut_lineage
 
@@ -98,3 +100,54 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     return token_counts.allot(
         table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rule="start")
+
+
+def as_mail(turns):
+    """Turns as mails in no order: each quotes the turn before it, which quotes the one before that."""
+    first = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn") \
+        .agg(F.min("text").alias("text"))
+    earlier = lambda back: first.select(
+        "conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"text{back}"))
+    quoted = lambda text, marks: F.when(
+        text.isNotNull(), F.concat(F.lit(marks), F.replace(text, F.lit("\n"), F.lit("\n" + marks))))
+    return turns.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left") \
+        .select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("message_id"),
+                F.col("turn").alias("sent"), F.concat_ws(
+                    "\n", quoted(F.col("text2"), "> > "), quoted(F.col("text1"), "> "), "text").alias("text"))
+
+
+OP3_SQL = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS id, trim(text, E' \\t\\r\\n') AS body,
+    trim(regexp_replace(text, '\\s+', ' ', 'g')) AS words
+  FROM conversations),
+original AS (
+  SELECT words, arg_min(id, (turn, id)) AS id, min((turn, id)) AS place
+  FROM m WHERE words <> '' GROUP BY words),
+candidate AS (
+  SELECT m.id, 1 AS level, o.id AS parent FROM m JOIN m AS q ON q.conv_id = m.conv_id AND q.turn = m.turn - 1
+    JOIN original o ON o.words = q.words AND o.place < (m.turn, m.id)
+  UNION ALL
+  SELECT m.id, 2 AS level, o.id AS parent FROM m JOIN m AS q ON q.conv_id = m.conv_id AND q.turn = m.turn - 2
+    JOIN original o ON o.words = q.words AND o.place < (m.turn, m.id)),
+link AS (SELECT id, arg_min(parent, level) AS parent FROM candidate GROUP BY id),
+tree AS (
+  SELECT m.id, m.id AS root, 0 AS depth, CAST(NULL AS VARCHAR) AS parent
+  FROM m WHERE id NOT IN (SELECT id FROM link)
+  UNION ALL
+  SELECT link.id, tree.root, tree.depth + 1, tree.id FROM tree JOIN link ON link.parent = tree.id)
+SELECT m.conv_id, m.turn, m.id AS message_id, m.body, tree.root AS conversation, tree.depth, tree.parent,
+  row_number() OVER (PARTITION BY tree.root ORDER BY tree.depth, m.turn, m.id) - 1 AS position
+FROM m JOIN tree ON tree.id = m.id
+"""
+
+
+@query("op3_quotation_linking", OP3_SQL)
+def op3(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = quotes.conversations(as_mail(turns))
+    place = F.split("message_id", ":")
+    return found.select(
+        F.try_element_at(place, F.lit(1)).cast("long").alias("conv_id"),
+        F.try_element_at(place, F.lit(2)).cast("long").alias("turn"),
+        "message_id", "body", "conversation", "depth", "parent", "position")
