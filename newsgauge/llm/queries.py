@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from newsgauge.llm import (
-    bpe, decontam, pii, quality, quotes, secrets, sharding, token_counts, toxicity,
+    bpe, decontam, jaccard, pii, quality, quotes, secrets, sharding, token_counts, toxicity,
 )
 from newsgauge.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from newsgauge.session import cut_lineage
@@ -151,3 +151,33 @@ def op3(spark, sf_dir):
         F.try_element_at(place, F.lit(1)).cast("long").alias("conv_id"),
         F.try_element_at(place, F.lit(2)).cast("long").alias("turn"),
         "message_id", "body", "conversation", "depth", "parent", "position")
+
+
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END
+    AS grams FROM w),
+n AS (SELECT doc_id, len(grams) AS size, list_sort(grams) AS grams FROM s),
+node AS (SELECT min(doc_id) AS node, grams, any_value(size) AS size FROM n WHERE size > 0 GROUP BY grams),
+g AS (SELECT node, size, unnest(grams) AS gram FROM node),
+pair AS (
+  SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.gram = b.gram AND a.node < b.node
+    AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)
+  GROUP BY a.node, b.node, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))),
+edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT node, node AS other FROM node UNION SELECT reach.node, edge.b FROM reach JOIN edge ON edge.a = reach.other),
+low AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT n.doc_id, CAST(n.size AS BIGINT) AS n_shingles, coalesce(low.component_id, n.doc_id) AS component_id
+FROM n LEFT JOIN node ON node.grams = n.grams LEFT JOIN low ON low.node = node.node
+"""
+
+
+@query("op2_ngram_jaccard", OP2_SQL)
+def op2(spark, sf_dir):
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.Limit(3, 90, 100))
+    return found.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
