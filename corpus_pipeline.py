@@ -1,28 +1,80 @@
-"""A pipeline over documents: toxicity, near-duplicates, benchmark passages, personal data, tokens."""
+"""A pipeline over documents: toxicity, near-duplicates, benchmark passages, personal data, tokens.
+
+Every stage takes all rows its predecessor kept and passes on the columns of documents; the last one
+returns the tokens. Each stage's rows are written as Parquet and reread by the next.
+"""
 
 from __future__ import annotations
 
-from newsgauge.llm import toxicity
-from newsgauge.llm.registry import table
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsgauge.llm import bpe, decontam, jaccard, pii, toxicity
+from newsgauge.llm.registry import table
+from newsgauge.session import scratch_path
 
-def drop_toxic(spark, docs, sf_dir):
-    """Documents that the factorization machine scores below 0.3; learned from all labels."""
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+TOXIC = 0.3
+NEAR = jaccard.Limit(5, 80, 100)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores below TOXIC; it learns from all labels."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine, out="_score").where(F.col("_score") < 0.3).drop("_score")
+    scored = toxicity.score(docs, machine, out="_toxic_score")
+    return scored.where(F.col("_toxic_score") < TOXIC).drop("_toxic_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by similar sets of five-word shingles, the one with the smallest id."""
+    return jaccard.keep_one(docs, NEAR)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    found = decontam.decontaminate(
+        docs, table(spark, sf_dir, "benchmark"), keep=tuple(c for c in docs.columns if c != "doc_id"),
+        found=("_words", "_hit", "_items"))
+    return found.where(F.col("_hit") == 0).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    text = pii.redacted(F.col("text"), pii.spans(F.col("text")))
+    out = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text that the ids decode to."""
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    rows = docs.select("doc_id", "text")
+    ids = bpe.encode(rows, path, bpe.compile_lexicon(rows, path), keep_text=False)
+    return bpe.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact),
+    ("bpe", tokenize),
 ]
 
+# trained scores, deobfuscation and merges have no SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents; each stage's rows are written to the shared folder and reread."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

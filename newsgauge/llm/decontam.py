@@ -194,8 +194,11 @@ def runs_and_items(words: Words, tables: list[Searcher]) -> tuple[list[list], li
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns of ``keep``, n_words, n_hit and items (ids of occurring items, ascending)."""
+                  keep: tuple[str, ...] = (),
+                  found: tuple[str, str, str] = ("n_words", "n_hit", "items")) -> DataFrame:
+    """id_col, the columns of ``keep``, and named as ``found`` says: the number of words, of hit words, and
+    the ids of occurring items, ascending.
+    """
     spark = docs.sparkSession
     tests = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).cast("string").alias("t"))
     total = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -203,9 +206,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = tests.schema["i"].dataType
     carried = [F.col(c).alias(f"_k{k}") for k, c in enumerate((id_col, *keep))]
     rows = docs.select(
-        *carried, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("n_words"),
+        *carried, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n"),
         F.array().cast("array<struct<low:int,high:int>>").alias("_runs"),
-        F.array().cast(T.ArrayType(kind)).alias("items"))
+        F.array().cast(T.ArrayType(kind)).alias("_items"))
     for block in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) \
             .orderBy("i", "t").collect()
@@ -227,14 +230,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     runs += r
                     items += [[ids[k] for k in x] for x in i]
                     n_words += np.diff(words.text).tolist()
-                old = batch.column("_runs").to_pylist(), batch.column("items").to_pylist()
+                old = batch.column("_runs").to_pylist(), batch.column("_items").to_pylist()
                 runs = [x + y for x, y in zip(old[0], runs)]
                 items = [x + y for x, y in zip(old[1], items)]
                 fields = batch.schema
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(f"_k{k}") for k in range(len(keep) + 1)], batch.column("_text"),
                     pa.array(n_words, pa.int64()), pa.array(runs, fields.field("_runs").type),
-                    pa.array(items, fields.field("items").type),
+                    pa.array(items, fields.field("_items").type),
                 ], names=fields.names)
 
         rows = rows.mapInArrow(search, rows.schema)
@@ -243,5 +246,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         (s["n"] + F.greatest(F.lit(0), r["high"] - F.greatest(r["low"], s["to"]))).alias("n"),
         F.greatest(s["to"], r["high"]).alias("to")), lambda s: s["n"])
     return rows.select(
-        *[F.col(f"_k{k}").alias(c) for k, c in enumerate((id_col, *keep))], "n_words",
-        hit.cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+        *[F.col(f"_k{k}").alias(c) for k, c in enumerate((id_col, *keep))],
+        F.col("_n").alias(found[0]), hit.cast("long").alias(found[1]),
+        F.array_sort(F.array_distinct("_items")).alias(found[2]))

@@ -39,6 +39,7 @@ from newsgauge.session import cut_lineage
 LIST_ROWS = 100
 FREQUENT_HASHES = 1_000_000
 STAR_KEYS = 3
+BROADCAST_ROWS = 1_000_000
 SLACK = 1e-9
 
 
@@ -305,7 +306,10 @@ def member_links(open_pairs: DataFrame, starred: DataFrame, found: DataFrame, do
 
 def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """id, n, component (smallest id reachable by links) and links (stars counted once) of every row."""
+    """Every row's id, n, component (smallest id reachable by links), text_hash and group.
+
+    group numbers the component independently of ids; it is null for empty sets.
+    """
     base = cut_lineage(base_rows(docs, limit, id_col, text_col))
     full = base.where("n > 0")
     nodes = cut_lineage(full.groupBy("node", "n").agg(
@@ -341,9 +345,44 @@ def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "d
         labels = components(links)
     named = labels.join(nodes.select("node", "first_id"), "node")
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    grouped = named.join(lowest, "label").select("node", "component")
+    grouped = named.join(lowest, "label").select("node", "component", "label")
     placed = nodes.select("node", "first_id").join(grouped, "node", "left").select(
-        "node", F.coalesce("component", "first_id").alias("component"))
-    return base.select("id", "n", "node").join(placed, "node", "left").select(
+        "node", F.coalesce("component", "first_id").alias("component"),
+        F.coalesce("label", "node").alias("group"))
+    return base.select("id", "n", "node", "text_hash").join(placed, "node", "left").select(
         F.col("id").alias(id_col), "n",
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"),
+        "text_hash", F.when(F.col("n") > 0, F.col("group")).alias("group"))
+
+
+def keep_one(docs: DataFrame, limit: Limit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose group has a row with a smaller id (then text hash; null ids last).
+
+    Rows without words stay. Rows that repeat both id and text leave one.
+    """
+    found = cut_lineage(jaccard_components(docs, limit, id_col, text_col).where("group IS NOT NULL").select(
+        F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash").alias("row"),
+        "group"))
+    kept = found.groupBy("group").agg(F.min("row").alias("first"))
+    dropped = found.join(kept, "group").where("row <> first").select("row").distinct()
+    repeated = found.groupBy("row").count().where("count > 1").select("row")
+    marked = docs.withColumn("_row", F.struct(
+        F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+        F.xxhash64(body(text_col)).alias("text_hash")))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """A broadcast only up to BROADCAST_ROWS; beyond that Spark shuffles."""
+        rows = cut_lineage(rows)
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+    def same(rows: DataFrame) -> Column:
+        mine, other = F.col("_row"), rows["row"]
+        return (mine["text_hash"] == other["text_hash"]) & mine["id"].eqNullSafe(other["id"])
+
+    dropped = sized(dropped)
+    left = marked.join(dropped, same(dropped), "left_anti")
+    if not repeated.isEmpty():
+        repeated = sized(repeated)
+        once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["_row"])
+        left = left.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return left.drop("_row")
