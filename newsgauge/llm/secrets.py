@@ -5,7 +5,7 @@ character Markov models, one of random strings and one of ordinary identifiers.
 labelled samples: what the patterns find is random, words of at least MIN_WORD characters that no pattern
 touches are ordinary. The sum over characters of log P(random) - log P(ordinary) decides.
 Transitions are counted by Spark (add-a-half smoothing); the ordinary sample comes from the at most
-TRAIN_ROWS rows that are first by a hash of their text. Each model has at most
+TRAIN_ROWS texts that are first by their hash. Each model has at most
 (alphabet + 1)^2 transitions, so the table of ratios is bounded and enters the scan as one map.
 
 Spans are code points, end exclusive. Defined cases: null text is empty and has no spans; without any
@@ -30,7 +30,7 @@ KEY_CHARS = "A-Za-z0-9+/_=-"
 ALPHABET = 66
 MIN_CHARS = 20
 MIN_WORD = 8
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 2_000
 MIN_RATIO = 12.0
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -84,10 +84,15 @@ def _transitions(strings: DataFrame) -> DataFrame:
 
 def train(scanned: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row with the map from two characters to the log-likelihood ratio of their transition."""
-    random = scanned.where(F.size("_base") > 0).select(F.explode("_base").alias("x")).select(
+    random = scanned.select(F.explode("_base").alias("x")).select(
         F.when(F.col("x.kind") == 0, F.regexp_extract("x.value", ASSIGN, 2))
         .otherwise(F.col("x.value")).alias("s"))
-    ordinary = scanned.where(F.size("_base") == 0).orderBy(F.xxhash64("_text")).limit(rows).select(
+    # only hashes are compared for the sample; its texts are picked by the last hash taken
+    mark = F.xxhash64("_text")
+    last = scanned.select(mark.alias("h")).distinct().orderBy("h").limit(rows) \
+        .agg(F.max("h").alias("h")).scalar()
+    sample = scanned.where(mark <= last).dropDuplicates(["_text"])
+    ordinary = sample.where(F.size("_base") == 0).select(
         F.explode(F.regexp_extract_all("_text", F.lit(f"[{KEY_CHARS}]{{{MIN_WORD},}}"), 0)).alias("s"))
 
     def model(counts: DataFrame, name: str) -> DataFrame:
