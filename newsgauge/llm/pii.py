@@ -28,8 +28,10 @@ SPANS = T.ArrayType(T.StructType([
     T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()),
 ]))
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# a match can only start where a run of digits does; saying so keeps long runs linear
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
@@ -74,11 +76,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(.[A-Za-z0-9-]+)+, found from the @ outwards in linear time."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            found.append((start, domain.end()))
+            free = domain.end()
+        at = text.find("@", max(free, at + 1))
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all pattern matches, leftmost and non-overlapping per kind."""
-    found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found = [(start, 0, end) for start, end in emails(text)]
     if not DIGITS.search(text):
         return found
     for m in IP.finditer(text):
@@ -181,8 +196,8 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
         for pattern, pieces in rules:
             tape.rewrite(pattern, pieces)
         for s, k, e in detect(tape.text):
-            if any(tape.new[s:e]):
-                a, b = tape.start[s], tape.end[e - 1]
+            a, b = tape.start[s], tape.end[e - 1]
+            if any(tape.new[s:e]) or b - a > e - s:  # written anew, or with characters left out
                 if not any(kind == k and x < b and a < y for x, kind, y in base):
                     spans.append((a, k, b, False))
     return sorted(spans)

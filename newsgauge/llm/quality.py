@@ -18,6 +18,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +38,39 @@ RULES = {
 }
 
 
-def _repeat_words(windows: Column, pairs: Column) -> Column:
-    """Word places inside windows that occur twice or more, from windows sorted with their places."""
-    def twin(x: Column, j: Column) -> Column:
-        near = [F.get(pairs, k)["k"] == x["k"] for k in (j - 1, j + 1)]
-        return F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used and wherever Spark moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    places = F.sort_array(F.transform(F.filter(pairs, twin), lambda x: x["p"]))
-    state = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
-    return F.aggregate(
-        places, state,
-        lambda s, p: F.struct((s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n"), p.alias("last")),
-        lambda s: s["n"],
-    )
+
+def repeat_words(words: Column) -> Column:
+    """Word places inside windows that occur twice or more."""
+    def windows(ws: Column) -> Column:
+        return F.when(F.size(ws) >= WINDOW, F.transform(
+            F.slice(ws, 1, F.size(ws) - (WINDOW - 1)),
+            lambda w, i: F.concat_ws(" ", F.slice(ws, i + 1, WINDOW)),
+        )).otherwise(F.array().cast("array<string>"))
+
+    def sorted_places(found: Column) -> Column:
+        return F.when(
+            F.size(F.array_distinct(found)) < F.size(found),
+            F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("k"), i.alias("p")))),
+        ).otherwise(F.array().cast("array<struct<k:string,p:int>>"))
+
+    def covered(pairs: Column) -> Column:
+        def twin(x: Column, j: Column) -> Column:
+            near = [F.get(pairs, k)["k"] == x["k"] for k in (j - 1, j + 1)]
+            return F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))
+
+        places = F.sort_array(F.transform(F.filter(pairs, twin), lambda x: x["p"]))
+        state = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
+        return F.aggregate(
+            places, state, lambda s, p: F.struct(
+                (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n"), p.alias("last")),
+            lambda s: s["n"],
+        )
+
+    return bound(words, lambda ws: bound(windows(ws), lambda found: bound(sorted_places(found), covered)))
 
 
 def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -58,18 +80,7 @@ def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     split = docs.withColumn("_text", text).withColumn("_words", words(F.col("_text"))).withColumn(
         "_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(f"[^{SPACE[1:]}"))
     )
-    windowed = split.withColumn("_windows", F.when(
-        F.size("_words") >= WINDOW,
-        F.transform(
-            F.slice("_words", 1, F.size("_words") - (WINDOW - 1)),
-            lambda w, i: F.concat_ws(" ", F.slice("_words", i + 1, WINDOW)),
-        ),
-    ).otherwise(F.array().cast("array<string>")))
-    paired = windowed.withColumn("_pairs", F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("k"), i.alias("p")))),
-    ).otherwise(F.array().cast("array<struct<k:string,p:int>>")))
-    return paired.select(
+    return split.select(
         *docs.columns,
         long(F.size("_words")).alias("n_words"),
         long(F.length(F.regexp_replace("_text", SPACE + "+", ""))).alias("word_chars"),
@@ -77,7 +88,7 @@ def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         long(F.length("_text") - F.length(F.regexp_replace("_text", "[A-Z]+", ""))).alias("n_capitals"),
         long(F.size("_lines")).alias("n_lines"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        long(_repeat_words(F.col("_windows"), F.col("_pairs"))).alias("n_repeat_words"),
+        long(repeat_words(F.col("_words"))).alias("n_repeat_words"),
     )
 
 

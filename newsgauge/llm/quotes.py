@@ -1,6 +1,6 @@
 """Conversations from quotations: who answered whom, told by the passages that replies quote.
 
-A line's quote level is the number of ``>`` marks it starts with. A passage is a run of non-blank lines of one
+A line's quote level is the number of ``>`` marks it starts with, blanks between them ignored. A passage is a run of non-blank lines of one
 level; white space in it counts as single blanks, and two 64-bit hashes stand for it. Passages of
 level 0 are a message's own words: of all messages with the same passage, the first one by (order, id)
 is its original. Passages of higher level are quotations and are joined to originals; the nearest level
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from newsgauge.llm.words import body
 from newsgauge.session import cut_lineage
 
-MARKS = r"^(?:>\x20?)*"
+MARKS = r"^(?=>)[>\x20]*"
 PASSAGE, LEVEL = "\x01", "\x02"
 
 
