@@ -2,9 +2,9 @@
 
 Strings of at least MIN_CHARS key characters outside the pattern matches are scored by two first-order
 character Markov models, one of random strings and one of ordinary identifiers. Both are trained from
-labelled samples: what the patterns find is random, words of at least MIN_WORD characters that no pattern
-touches are ordinary. The sum over characters of log P(random) - log P(ordinary) decides.
-Transitions are counted by Spark (add-a-half smoothing); the ordinary sample comes from the at most
+labelled samples: what the patterns find is random, words of MIN_WORD to MIN_CHARS - 1 characters in texts without
+pattern matches are ordinary. The sum over characters of log P(random) - log P(ordinary) decides.
+Transitions are counted by Spark; a rare one backs off to the share of its second character; the ordinary sample comes from the at most
 TRAIN_ROWS texts that are first by their hash. Each model has at most
 (alphabet + 1)^2 transitions, so the table of ratios is bounded and enters the scan as one map.
 
@@ -28,6 +28,7 @@ HEX = "[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
 KEY_CHARS = "A-Za-z0-9+/_=-"
 ALPHABET = 66
+BACKOFF = 5
 MIN_CHARS = 20
 MIN_WORD = 8
 TRAIN_ROWS = 2_000
@@ -93,28 +94,29 @@ def train(scanned: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         .agg(F.max("h").alias("h")).scalar()
     sample = scanned.where(mark <= last).dropDuplicates(["_text"])
     ordinary = sample.where(F.size("_base") == 0).select(
-        F.explode(F.regexp_extract_all("_text", F.lit(f"[{KEY_CHARS}]{{{MIN_WORD},}}"), 0)).alias("s"))
-
-    def model(counts: DataFrame, name: str) -> DataFrame:
-        totals = counts.groupBy("a").agg(F.sum("n").alias("total"))
-        return counts.join(totals, "a").select(
-            "a", "b", F.col("n").alias(f"{name}_n"), F.col("total").alias(f"{name}_total"))
-
-    # both sides hold at most (alphabet + 1)^2 rows
-    one, two = model(_transitions(random), "r"), model(_transitions(ordinary), "o")
-    pairs = one.join(two, ["a", "b"], "full_outer")
-    logs = lambda name: (
-        F.log((F.coalesce(F.col(f"{name}_n"), F.lit(0)) + 0.5)
-              / (F.coalesce(F.col(f"{name}_all"), F.lit(0)) + 0.5 * ALPHABET)))
-    starts = lambda m, name: m.select("a", F.col(f"{name}_total").alias(f"{name}_all")).distinct()
-    known = starts(one, "r").join(starts(two, "o"), "a", "full_outer")
-    ratios = pairs.select("a", "b", "r_n", "o_n").join(known, "a").select(
-        F.concat("a", F.lit(">"), "b").alias("k"), (logs("r") - logs("o")).alias("v"))
-    defaults = known.select(F.concat("a", F.lit(">")).alias("k"),
-                            (F.log(F.lit(0.5) / (F.coalesce("r_all", F.lit(0)) + 0.5 * ALPHABET))
-                             - F.log(F.lit(0.5) / (F.coalesce("o_all", F.lit(0)) + 0.5 * ALPHABET))).alias("v"))
-    return ratios.unionByName(defaults).agg(
-        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ratios"))
+        F.explode(F.regexp_extract_all("_text", F.lit(f"[{KEY_CHARS}]{{{MIN_WORD},}}+"), 0)).alias("s")
+    ).where(F.length("s") < MIN_CHARS)  # longer ones are what the scan is to judge
+
+    def totals(counts: DataFrame, side: str, name: str) -> DataFrame:
+        return counts.groupBy(side).agg(F.sum("n").alias(name))
+
+    # all tables here hold at most (alphabet + 1)^2 rows
+    one, two = _transitions(random), _transitions(ordinary)
+    firsts = totals(one, "a", "r_a").join(totals(two, "a", "o_a"), "a", "full_outer").fillna(0)
+    seconds = totals(one, "b", "r_b").join(totals(two, "b", "o_b"), "b", "full_outer").fillna(0)
+    all_of = lambda m: F.coalesce(m.agg(F.sum("n").alias("n")).scalar(), F.lit(0))
+    lone = lambda name, m: (F.col(f"{name}_b") + 0.5) / (all_of(m) + 0.5 * ALPHABET)
+    seconds = seconds.select("b", lone("r", one).alias("r_p"), lone("o", two).alias("o_p"))
+    pairs = one.withColumnRenamed("n", "r_n").join(two.withColumnRenamed("n", "o_n"), ["a", "b"], "full_outer") \
+        .fillna(0, ["r_n", "o_n"]).join(firsts, "a").join(seconds, "b")
+    given = lambda c: F.log(
+        (F.col(f"{c}_n") + BACKOFF * F.col(f"{c}_p")) / (F.col(f"{c}_a") + BACKOFF))
+    entries = pairs.select(F.concat("a", F.lit(">"), "b").alias("k"), (given("r") - given("o")).alias("v"))
+    # a pair that neither model has seen: the shares of its two characters
+    entries = entries.union(firsts.select(
+        F.concat("a", F.lit(">")), F.log((F.col("o_a") + BACKOFF) / (F.col("r_a") + BACKOFF))))
+    entries = entries.union(seconds.select(F.concat(F.lit("<"), "b"), F.log(F.col("r_p") / F.col("o_p"))))
+    return entries.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ratios"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
@@ -128,7 +130,8 @@ def scan(docs: DataFrame, text_col: str = "text", min_ratio: float = MIN_RATIO)
         return F.aggregate(chars, state, lambda s, c: F.struct(c.alias("a"), (
             s["sum"] + F.coalesce(
                 F.try_element_at(table, F.concat(s["a"], F.lit(">"), c)),
-                F.try_element_at(table, F.concat(s["a"], F.lit(">"))), F.lit(0.0))
+                F.coalesce(F.try_element_at(table, F.concat(s["a"], F.lit(">"))), F.lit(0.0))
+                + F.coalesce(F.try_element_at(table, F.concat(F.lit("<"), c)), F.lit(0.0)))
         ).alias("sum")), lambda s: s["sum"])
 
     candidates = scanned.withColumn(

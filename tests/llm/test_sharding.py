@@ -42,8 +42,8 @@ def test_balance_and_limited_movement(spark):
 
 def test_awkward_and_empty_tables(awkward, nothing):
     assert sharding.assign_shards(nothing).count() == 0
-    rows = sharding.assign_shards(awkward).join(
-        awkward.selectExpr("doc_id AS other", "text").distinct(), [], "cross").where(
+    rows = sharding.assign_shards(awkward).crossJoin(
+        awkward.selectExpr("doc_id AS other", "text").distinct()).where(
         "doc_id <=> other AND text_crc32 = crc32(coalesce(text, ''))").collect()
     assert len({(r["shard"], r["slot"]) for r in rows}) == awkward.count()
     assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in rows)
