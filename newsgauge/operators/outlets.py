@@ -120,6 +120,13 @@ def outlet_correlations(series: DataFrame, full_matrix: bool = False) -> DataFra
     )
 
 
-def outlet_wide(series: DataFrame, outlets: Sequence[str]) -> DataFrame:
-    """Months in rows, outlets in columns, NULL where an outlet misses a month."""
-    return series.groupBy("month").pivot("outlet", list(outlets)).agg(F.first("value"))
+def outlet_names(series: DataFrame) -> list[str]:
+    """All outlets of a series by name; they become columns, so there can only be so many."""
+    return [r["outlet"] for r in series.select("outlet").where("outlet IS NOT NULL").distinct()
+            .orderBy("outlet").collect()]
+
+
+def outlet_wide(series: DataFrame, outlets: Sequence[str] | None = None) -> DataFrame:
+    """Months in rows, outlets in columns (all that occur, unless a list is given), NULL where one misses a month."""
+    names = outlet_names(series) if outlets is None else list(outlets)
+    return series.groupBy("month").pivot("outlet", names).agg(F.first("value"))

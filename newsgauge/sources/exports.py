@@ -48,11 +48,12 @@ def salience_export(index: DataFrame) -> DataFrame:
     return _formatted(index, [], ["salience_ira", "salience_obbba", "denominator"])
 
 
-def outlet_export(series: DataFrame, outlets: Sequence[str]) -> DataFrame:
+def outlet_export(series: DataFrame, outlets: Sequence[str] | None = None) -> DataFrame:
     """Months in rows and outlets in columns, blank where an outlet misses a month."""
     wide = outlet_wide(series, outlets)
     return wide.select(
-        F.col("month").alias("date"), *[format_value(F.col(f"`{o}`")).alias(o) for o in outlets]
+        F.col("month").alias("date"),
+        *[format_value(F.col(f"`{o}`")).alias(o) for o in wide.columns if o != "month"],
     ).orderBy("date")
 
 
@@ -77,7 +78,7 @@ def export_index(
 
 
 def export_all(
-    index: DataFrame, outlet_series: DataFrame, outlets: Sequence[str], folder: str
+    index: DataFrame, outlet_series: DataFrame, outlets: Sequence[str] | None, folder: str
 ) -> list[str]:
     tables = {
         "cpu_monthly": monthly_export(index),

@@ -47,14 +47,20 @@ def header_after_preamble(spark: SparkSession, path: str, marks: Sequence[str])
     return next(csv.reader([row["value"]]))
 
 
+def plain_name(name: str) -> str:
+    return name.lower().replace(" ", "_").replace("/", "_")
+
+
 def read_deals(
     spark: SparkSession, path: str, min_date: str = fixed.DEAL_MIN_DATE,
-    deal_types: Sequence[str] | None = None, multi_line: bool = False,
+    deal_types: Sequence[str] | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """Completed deals of a CSV export, typed and with derived columns.
 
     Preamble and header lines have no date in the date column, so they leave with the unreadable
-    dates. Known columns that the export lacks are left out.
+    dates. Known columns that the export lacks are left out. Quoted line breaks belong to their record;
+    each file is then read by one task, so large exports should come as several files, or with
+    ``multi_line=False`` if their records are known to have no line breaks.
     """
     names = header_after_preamble(spark, path, ["Deal ID", "Deal Date", "Deal Type"])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -63,7 +69,7 @@ def read_deals(
     ).csv(path)
     kept = [n for n in fixed.DEAL_COLUMNS if n in names]
     rows = raw.select(*[
-        F.col(f"`{n}`").alias(DEAL_NAMES.get(n, n.lower().replace(" ", "_").replace("/", "_")))
+        F.col(f"`{n}`").alias(DEAL_NAMES.get(n, plain_name(n)))
         for n in kept
     ])
     typed = rows.withColumn("deal_date", _lenient_date("deal_date"))
@@ -103,9 +109,12 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_judged(spark: SparkSession, path: str) -> DataFrame:
-    """Judged companies: known columns, amounts and scores coerced to numbers."""
-    rows = spark.read.options(header=True, **CSV_OPTIONS).csv(path)
-    rows = rows.select(*[F.col(f"`{c}`").alias(JUDGED_NAMES[c]) for c in rows.columns if c in JUDGED_NAMES])
+    """Judged companies: all columns, amounts and scores coerced to numbers.
+
+    Columns without a known name keep theirs, in lower case with underscores.
+    """
+    rows = spark.read.options(header=True, multiLine=True, **CSV_OPTIONS).csv(path)
+    rows = rows.select(*[F.col(f"`{c}`").alias(JUDGED_NAMES.get(c, plain_name(c))) for c in rows.columns])
     date = _lenient_date("last_financing_date")
     return rows.withColumns({
         "last_financing_date": date,

@@ -51,9 +51,11 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The table after all batches: the newest batch wins per key."""
-    return latest(read_batches(spark, path), key, ["batch"]).drop("batch")
+def read_latest(
+    spark: SparkSession, path: str, key: Sequence[str], within: Sequence[str] = ()
+) -> DataFrame:
+    """The table after all batches: the newest batch wins per key, inside a batch the last by ``within``."""
+    return latest(read_batches(spark, path), key, ["batch", *within]).drop("batch")
 
 
 def compact(

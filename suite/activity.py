@@ -21,12 +21,12 @@ COLUMNS = "deal_id, company_id, deal_date, deal_size, deal_type, deal_status, ye
 
 
 def _export(spark, sf):
-    """Write a deals export with six preamble lines, quoted amounts and some unreadable dates."""
+    """Write a deals export with preamble lines, quoted line breaks and amounts, some unreadable dates."""
     from newsgauge.session import scratch_path
 
     path = scratch_path(spark, "deals-csv")
-    names = ["Deal ID", "Company ID", "Deal Date", "Deal Size", "Deal Type", "Deal Status",
-             "Primary Industry Sector", "Unknown Column"]
+    names = ["Deal ID", "Company ID", "Deal Date", "Deal Size", "Deal Type", "Unknown Column",
+             "Deal Status", "Primary Industry Sector"]
     head = ["Export", "Search,deals", "", "Created,today", "Rows,all", "", ",".join(names)]
     amount = F.when(F.col("deal_type") == "Seed Round", "N/A").otherwise(
         F.format_number(F.floor("deal_size"), 0)
@@ -34,7 +34,7 @@ def _export(spark, sf):
     date = F.when(F.col("sector") == "MACHINERY", "soon").otherwise(F.col("deal_date").cast("string"))
     quoted = [F.concat(F.lit('"'), F.coalesce(c.cast("string"), F.lit("")), F.lit('"')) for c in (
         F.col("deal_id"), F.col("company_id"), date, amount, F.col("deal_type"),
-        F.col("deal_status"), F.col("sector"), F.lit('a ""quoted"" word, comma'),
+        F.lit('a ""quoted"" word, comma\nand a line break'), F.col("deal_status"), F.col("sector"),
     )]
     lines = i.raw_deals(spark, sf).select(F.concat_ws(",", *quoted).alias("value"))
     spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.text(path)
@@ -67,7 +67,8 @@ def _(spark, sf):
 @query("judged_load", W(i.COMPANIES) + f"""
 SELECT CAST(company_id AS VARCHAR) AS company_id, last_financing_date, month, judge_category, gemini_category,
        CASE WHEN semantic_subtopic <> '5-LOW' THEN {r('total_raised', 2)} END AS total_raised,
-       CASE WHEN semantic_subtopic <> '1-URGENT' THEN ira_index END AS ira_index FROM companies""")
+       CASE WHEN semantic_subtopic <> '1-URGENT' THEN ira_index END AS ira_index,
+       'topic ' || semantic_subtopic AS further_notes FROM companies""")
 def _(spark, sf):
     from newsgauge.session import scratch_path
 
@@ -78,6 +79,7 @@ def _(spark, sf):
         F.when(topic == "5-LOW", "undisclosed").otherwise(F.col("total_raised").cast("string")).alias("Total Raised"),
         "judge_category", F.col("gemini_category").alias("Gemini_Category"),
         F.when(topic == "1-URGENT", "n/a").otherwise(F.col("ira_index").cast("string")).alias("IRA_Index"),
+        F.concat(F.lit("topic "), topic).alias("Further Notes"),
     ).write.option("header", True).csv(path)
     return rounded(files.read_judged(spark, path), 2)
 

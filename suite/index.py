@@ -409,13 +409,15 @@ def _source_ratios(spark, sf):
     ))
 
 
-@query("export_outlet_wide", W(i.ARTICLES, i.TEXT, i.HITS) + """
+@query("export_outlet_wide", W(i.ARTICLES, i.TEXT, i.HITS) + f"""
 , v AS (SELECT source AS outlet, month, count(*) FILTER (WHERE uncertainty) / count(*) AS v FROM hits GROUP BY 1, 2)
-SELECT month AS date, """ + ", ".join(
-    f"""coalesce(max({_fmt('v')}) FILTER (WHERE outlet = '{s}'), '') AS {s}""" for s in i.SOURCES
-) + " FROM v GROUP BY month")
+, cells AS (
+  SELECT m.month AS date, o.outlet, coalesce({_fmt('v')}, '') AS cell
+  FROM (SELECT DISTINCT month FROM v) m CROSS JOIN (SELECT DISTINCT outlet FROM v) o
+    LEFT JOIN v ON v.month = m.month AND v.outlet = o.outlet)
+PIVOT cells ON outlet USING max(cell) GROUP BY date""")
 def _(spark, sf):
-    return ex.outlet_export(_source_ratios(spark, sf), i.SOURCES)
+    return ex.outlet_export(_source_ratios(spark, sf))
 
 
 @query("index_scan", W(MC, i.INDEX_SERIES) + f"""

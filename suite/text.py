@@ -728,10 +728,18 @@ SELECT month, count(*) AS total_articles, count(*) FILTER (WHERE uncertainty) AS
        count(*) FILTER (WHERE regime_ira) AS regime_ira_count,
        count(*) FILTER (WHERE regime_obbba) AS regime_obbba_count FROM hits GROUP BY month""")
 def _(spark, sf):
+    from newsgauge.session import scratch_path
     from newsgauge.streaming import incremental as st
 
-    work, schema = _article_files(spark, sf, "ingest")
-    return st.ingest_folder(spark, f"{work}/in", schema, work, i.LEXICON)
+    # the newest articles first, then older ones, then one source again with old fetch times
+    work = scratch_path(spark, "ingest")
+    rows = i.articles(spark, sf).withColumn("fetched_at", F.col("date").cast("timestamp"))
+    middle = F.lit("2023-01-01").cast("date")
+    for wave in (rows.where(F.col("date") >= middle), rows.where(F.col("date") < middle),
+                 rows.where("source = 'src3'").withColumn("fetched_at", F.lit("2020-01-01").cast("timestamp"))):
+        wave.write.mode("append").parquet(f"{work}/in")
+        counts = st.ingest_folder(spark, f"{work}/in", rows.schema, work, i.LEXICON)
+    return counts
 
 
 @query("stream_month_counts", W(ART) + """

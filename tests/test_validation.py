@@ -236,5 +236,36 @@ def test_ingest_is_incremental_and_rerunnable(spark, frame, tmp_path):
     assert counts() == {"2024-01": (2, 1), "2024-02": (1, 1)}
 
 
+def _ingest(spark, frame, tmp_path, waves, **options):
+    """Monthly totals after each wave of (id, title, fetched_at) rows."""
+    schema = "id string, title string, snippet string, source string, date date, month string, fetched_at timestamp"
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for rows in waves:
+        frame(rows, "id string, title string, fetched string").selectExpr(
+            "id", "title", "'' as snippet", "'s' as source", "date'2024-01-01' as date", "'2024-01' as month",
+            "timestamp(fetched) as fetched_at").write.mode("append").parquet(source)
+        out = inc.ingest_folder(spark, source, inc.T.StructType.fromDDL(schema), work, Lexicon(), **options)
+        yield [(r["total_articles"], r["cpu_count"]) for r in out.collect()]
+
+
+def test_late_articles_are_kept(spark, frame, tmp_path):
+    waves = [
+        [(f"a{k}", "calm", "2024-06-01") for k in range(10)],
+        [(f"b{k}", "calm", "2024-06-20") for k in range(5)],
+        [(f"c{k}", "risk", "2024-01-05") for k in range(20)],
+    ]
+    assert list(_ingest(spark, frame, tmp_path, waves)) == [[(10, 0)], [(15, 0)], [(35, 20)]]
+
+
+def test_files_one_by_one_in_any_order(spark, frame, tmp_path):
+    rows = [(f"d{k}", "calm", f"2024-0{1 + k * 5 % 9}-01") for k in range(16)]
+    rows += [("d0", "risk", "2024-12-01"), ("d1", "risk", "2023-01-01")]
+    for got in _ingest(spark, frame, tmp_path, [rows[:8], rows[8:16]], max_files=1):
+        last = got
+    assert last == [(16, 0)]
+    again = list(_ingest(spark, frame, tmp_path, [[*rows[16:], ("d2", "risk", "2024-12-02"), ("d2", "calm", "2024-12-01")]]))
+    assert again == [[(16, 3)]]
+
+
 def test_event_lists_are_complete():
     assert len(fixed.CALENDAR_EVENTS) == 4 and len(fixed.REGISTERED_EVENTS) == 8 and len(fixed.REPORT_EVENTS) == 7
