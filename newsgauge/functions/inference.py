@@ -58,8 +58,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta function does not converge for a={a}, b={b}, x={x}")
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:

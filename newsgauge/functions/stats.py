@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from newsgauge.session import cut_lineage
+
 # Fixed value: two-sided 95 % point of the standard normal distribution.
 Z_95 = 1.959963984540054
 # Fixed value: rounded point used for the Fisher band.
 Z_BAND = 1.96
+# Groups whose median brackets (three numbers each) are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def series_window(keys: Sequence[str], order: Sequence[str] | None = None) -> WindowSpec:
@@ -71,6 +75,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         F.count("*").alias("_n"),
         F.percentile_approx("_v", [0.499, 0.501], 10000).alias("_band"),
     )
+    # one row per group; while there are few groups, the records stay where they are
+    bands = cut_lineage(bands)
+    bands = F.broadcast(bands) if bands.count() <= BROADCAST_GROUPS else bands
     placed = known.join(bands, list(keys)).select(
         *keys, "_n", "_v",
         F.when(F.col("_v") < F.col("_band")[0], -1)

@@ -19,12 +19,13 @@ PROMPT = (
 )
 
 
-def prompt_column(template: str = PROMPT, limit: int = fixed.CONTENT_LIMIT) -> Column:
-    """One labelling request per article; content beyond the limit ends in '...'."""
-    content = F.coalesce("snippet", F.lit("No content"))
-    short = F.when(
-        F.length(content) > limit, F.concat(F.substring(content, 1, limit), F.lit("..."))
-    ).otherwise(content)
+def prompt_column(template: str = PROMPT, limit: int | None = None) -> Column:
+    """One labelling request per article; with a limit, content beyond it ends in '...'."""
+    short = F.coalesce("snippet", F.lit("No content"))
+    if limit is not None:
+        short = F.when(
+            F.length(short) > limit, F.concat(F.substring(short, 1, limit), F.lit("..."))
+        ).otherwise(short)
     return F.format_string(
         template,
         F.coalesce("title", F.lit("No title")),

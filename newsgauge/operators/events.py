@@ -26,7 +26,7 @@ def _percent(current: Column, prior: Column) -> Column:
 
 
 def _at_events(series: DataFrame, events: Sequence[Event]) -> DataFrame:
-    return F.broadcast(event_table(series.sparkSession, events)).join(series, "month", "left")
+    return event_table(series.sparkSession, events).join(series, "month", "left")
 
 
 def check_calendar(

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.stats import pearson, series_window, stddev_or_zero
-from newsgauge.schemas import INDEX_KEY
 
 # Series name -> index type.
 INDEX_TYPES = {

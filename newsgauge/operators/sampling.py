@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge import fixed_values as fixed
-from newsgauge.functions.stats import series_window
 
 SALTS = 64
 
@@ -58,15 +57,15 @@ def stratified_ids(
         "_size": F.sum(F.when(F.col("_place") == 1, F.col("_size"))).over(whole),
     }).where(F.col("_rank") <= n)
     # From here on there are at most n rows per stratum; the result has n rows.
-    total = F.sum(F.when(F.col("_rank") == 1, F.col("_size"))).over(series_window(()))
+    total = articles.agg(F.count("*")).scalar()
     quota = F.least(
         F.col("_size"), F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / total)))
     )
     tiers = sized.withColumn("_tier", F.when(F.col("_rank") <= quota, 0).otherwise(1))
-    placed = tiers.withColumn("_place", F.row_number().over(series_window((), [
-        "_tier", F.when(F.col("_tier") == 0, F.col("_stratum")), "_order", "id",
-    ])))
-    return placed.where(F.col("_place") <= n).select("id")
+    # the top n are taken per task first, however many strata there are
+    return tiers.orderBy(
+        "_tier", F.when(F.col("_tier") == 0, F.col("_stratum")), "_order", "id"
+    ).limit(n).select("id")
 
 
 def sample_stratified(

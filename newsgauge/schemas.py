@@ -1,27 +1,7 @@
-"""Column layout of the tables the operators read and write, as DDL."""
+"""Layouts that readers and writers share."""
 
 from __future__ import annotations
 
-ARTICLES = ("id string, title string, snippet string, source string, date date, month string")
-CLASSIFICATIONS = (
-    "article_id string, has_uncertainty boolean, has_reversal_terms boolean, "
-    "has_implementation_terms boolean, has_upside_terms boolean, has_ira_mention boolean, "
-    "has_obbba_mention boolean, matched_terms string"
-)
-LABELS = (
-    "article_id string, is_climate_policy boolean, uncertainty_type string, "
-    "certainty_level int, reasoning string, model string"
-)
-MONTHLY_COUNTS = (
-    "month string, denominator bigint, numerator_cpu bigint, numerator_impl bigint, "
-    "numerator_reversal bigint"
-)
-RAW_RESPONSES = ("query_hash string, month string, response_json string, fetched_at timestamp")
-PROGRESS = ("month string, articles_fetched bigint, completed_at timestamp")
-INDEX_VALUES = (
-    "month string, index_type string, outlet string, denominator bigint, numerator bigint, "
-    "raw_ratio double, normalized double, scaled boolean, dedup_strategy string"
-)
 INDEX_KEY = ["month", "index_type", "outlet", "scaled", "dedup_strategy"]
 SEARCH_PAGE = (
     "`@odata.count` bigint, value array<struct<ResultId:string, Title:string, Date:string, "

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ def build_session(app: str = "newsgauge", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -32,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the session names it in spark.checkpoint.dir.
 
     Only a local master may fall back to a temporary folder, because there the driver is the
-    only machine.
+    only machine; that folder goes when the process ends.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -40,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="newsgauge-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path

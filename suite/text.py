@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsgauge import fixed_values as fixed
 from newsgauge.functions.calendar import calendar_of, month_bounds
 from newsgauge.functions.text import matched_terms, normalize_text, search_query
 from newsgauge.lexicon import FLAGS
@@ -550,7 +551,7 @@ SELECT id, md5('T ' || coalesce(title, 'No title') || ' S ' || coalesce(source,
        || CASE WHEN length(snippet) > 3000 THEN left(snippet, 3000) || '...' ELSE snippet END) AS prompt_md5
 FROM articles""")
 def _(spark, sf):
-    prompt = ag.prompt_column("T %s S %s D %s C %s")
+    prompt = ag.prompt_column("T %s S %s D %s C %s", fixed.CONTENT_LIMIT)
     return i.articles(spark, sf).select("id", F.md5(prompt).alias("prompt_md5"))
 
 

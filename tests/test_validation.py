@@ -200,7 +200,7 @@ def test_adaptive_stops_early_or_at_the_limit(frame):
 
 def test_prompt_keeps_the_limit(frame):
     df = frame([("T", "S", None, "x" * 3500), (None, None, None, None)], "title string, source string, date date, snippet string")
-    long, empty = [r[0] for r in df.select(ag.prompt_column()).collect()]
+    long, empty = [r[0] for r in df.select(ag.prompt_column(limit=fixed.CONTENT_LIMIT)).collect()]
     assert "x" * 3000 + "..." in long and "x" * 3001 not in long and "Date: Unknown" in long
     assert "No title" in empty and "No content" in empty
 
