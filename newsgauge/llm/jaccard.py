@@ -4,14 +4,18 @@ A document's set holds the 64-bit hashes of its distinct shingles (a text of few
 Equal sets are one node. All steps are exact for these sets:
 
 * Stars. Nodes that share two of their smallest hashes meet the smallest node of that key, their pivot;
-  a node that links with a pivot becomes its satellite. A group of near copies costs one comparison each.
+  a node within RADIUS of a pivot becomes its satellite. A large group costs one comparison each.
 * Index lists. A node's prefix in one global order (rare hashes first, then by hash) must share a hash with
   any partner's prefix. Lists by hash hold one entry per star, pre-aggregated before the shuffle.
   Inside a list, entries are sorted by size: whole blocks are skipped when sizes are too far apart, when the
   positions leave too little for the needed overlap, or when the hash before is shared too.
-* Answers of similar sets. Distances obey the triangle inequality: for stars p and q without link, members
-  can only be linked if d(p, q) is at most the limit plus both radii, and the component is not the same
-  anyway. What is left is compared member by member, first with the other pivot.
+* Galaxies. Distances obey the triangle inequality: members of two stars that meet can only be linked if
+  their pivots' distance is at most the limit plus both radii. Stars that near form a galaxy, and one of
+  the pivots becomes its root; no link leaves a galaxy.
+* Answers derived from the root's. A member keeps only its difference from the root's set. Two members differ
+  by the difference of their differences, so they are joined on those short sets, again by a prefix of
+  their rarest hashes. Members whose differences together stay under the limit are both linked
+  with the root and need no comparison.
 
 Hashes in more than LIST_ROWS lists' entries go to the end of the order; their number is kept
 under FREQUENT_HASHES by raising that figure, which changes the order only, not the result.
@@ -36,9 +40,12 @@ from newsgauge.llm.components import components
 from newsgauge.llm.words import ascii_lower, body, words
 from newsgauge.session import cut_lineage
 
-LIST_ROWS = 100
+LIST_ROWS = 16
 FREQUENT_HASHES = 1_000_000
 STAR_KEYS = 3
+# Largest distance of a satellite. Any figure is exact, as pivots are compared with their stars' true radii; a wide
+# one takes in groups whose members lie around the limit from each other.
+RADIUS = 0.4
 BROADCAST_ROWS = 1_000_000
 SLACK = 1e-9
 
@@ -90,23 +97,64 @@ def _sql(limit: Limit, what: str, n: str) -> str:
 
 
 def base_rows(docs: DataFrame, limit: Limit, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, text_hash, sketch): sketch holds the leading hashes, more than a prefix."""
+    """(row, id, n, node, text_hash, sketch): sketch holds the leading hashes, more than a prefix."""
     rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("_text"))
     found = shingles(F.col("_text"), limit.size, rows)
     prefix = _sql(limit, "prefix", "n")
     return found.select(
-        "id", "n", F.xxhash64("hashes").alias("node"), F.xxhash64("_text").alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"), "id", "n", F.xxhash64("hashes").alias("node"),
+        F.xxhash64("_text").alias("text_hash"),
         F.expr(f"slice(hashes, 1, {prefix} + {prefix} div 2 + 8)").alias("sketch"))
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows written once, to be broadcast only if they are at most BROADCAST_ROWS; else Spark shuffles."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
+def one_row_per_set(base: DataFrame) -> DataFrame:
+    """base without the rows whose set an earlier row has, and without empty sets.
+
+    Only (row, node) is shuffled; a set in very many rows is a minimum.
+    """
+    thin = base.where("n > 0").select("row", "node")
+    first = thin.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    later = thin.join(first, "node").where("row <> first").select("row")
+    return base.where("n > 0").join(sized(later), "row", "left_anti")
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, limit: Limit, text_col: str) -> DataFrame:
     """(node, n, hashes) of the nodes (node, text_hash), one row each, from the texts."""
     texts = docs.select(body(text_col).alias("_text")).withColumn("text_hash", F.xxhash64("_text")) \
-        .join(nodes.select("text_hash").distinct(), "text_hash", "left_semi")
+        .join(sized(nodes.select("text_hash").distinct()), "text_hash", "left_semi")
     found = shingles(F.col("_text"), limit.size, texts)
     return found.select(F.xxhash64("hashes").alias("node"), "n", "hashes").dropDuplicates(["node"])
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, limit: Limit) -> DataFrame:
+    """Pairs of pivots (a, b, reach) whose sketches leave a distance of at most reach possible.
+
+    reach is the limit plus both radii. Up to the smaller of the last hashes both sketches are complete, so
+    what they don't share there differs in the sets.
+    """
+    wanted = sized(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    radius = sized(nodes.where("far > 0").groupBy(F.col("star").alias("node")).agg(F.max("far").alias("radius")))
+    known = nodes.join(wanted, "node", "left_semi").join(radius, "node", "left") \
+        .select("node", "n", "sketch", F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    side = lambda x: known.select(
+        F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"),
+        F.col("radius").alias(f"r{x}"))
+    last = lambda x: F.when(F.size(f"s{x}") < F.col(f"n{x}"), F.element_at(f"s{x}", -1))
+    met = pairs.join(side("a"), "a").join(side("b"), "b") \
+        .withColumn("_end", F.coalesce(F.least(last("a"), last("b")), F.lit(2**63 - 1))) \
+        .withColumn("reach", F.col("ra") + F.col("rb") + (limit.distance + SLACK))
+    within = lambda x: F.size(F.filter(f"s{x}", lambda h: h <= F.col("_end")))
+    differ = within("a") + within("b") - 2 * F.size(F.array_intersect("sa", "sb"))
+    most = (F.col("na") + F.col("nb")) * F.col("reach") / (2 - F.col("reach"))
+    return met.where(differ <= most + SLACK).select("a", "b", "reach")
+
+
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ..) with na, nb and the exact intersection."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
@@ -115,15 +163,11 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "common", F.size(F.array_intersect("ha", "hb"))).drop("ha", "hb")
 
 
-def linked(limit: Limit) -> Column:
-    return F.col("common") * limit.den >= (F.col("na") + F.col("nb") - F.col("common")) * limit.num
-
-
 DISTANCE = "1 - common / double(na + nb - common)"
 
 
 def stars(nodes: DataFrame, docs: DataFrame, limit: Limit, text_col: str) -> DataFrame:
-    """(node, star, far): every node with its star's pivot and its distance from it (0 for heads)."""
+    """Nodes with star (its head), far (the distance from it) and large (the star has other members)."""
     keys = F.array(*[
         F.struct(F.get("sketch", 2 * k).alias("x"), F.get("sketch", 2 * k + 1).alias("y"))
         for k in range(STAR_KEYS)
@@ -134,21 +178,22 @@ def stars(nodes: DataFrame, docs: DataFrame, limit: Limit, text_col: str) -> Dat
         F.min(F.struct("node", "n", "text_hash")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
     pairs = keyed.join(pivots, ["x", "y"]).where(
         (F.col("node") != F.col("p.node"))
-        & (F.least("n", "p.n") * limit.den >= F.greatest("n", "p.n") * limit.num)
+        & (F.least("n", "p.n") >= F.greatest("n", "p.n") * (1 - RADIUS))
     ).select(F.col("node").alias("a"), F.col("p.node").alias("b"), "text_hash",
              F.col("p.text_hash").alias("other_hash")).distinct()
     pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("text_hash")).union(pairs.select("other_hash"))
     sets = full_sets(docs, wanted, limit, text_col)
-    near = cut_lineage(compare(pairs.select("a", "b"), sets).where(linked(limit))
-                       .select("a", "b", F.expr(DISTANCE).alias("far")))
+    near = cut_lineage(compare(pairs.select("a", "b"), sets).select("a", "b", F.expr(DISTANCE).alias("far"))
+                       .where(F.col("far") <= RADIUS))
     # a pivot that is some other pivot's satellite leads no star
-    heads = near.join(near.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-    chosen = heads.groupBy(F.col("a").alias("node")).agg(
-        F.min(F.struct("far", "b")).alias("s")).select("node", F.col("s.b").alias("star"), "s.far")
-    return nodes.join(chosen, "node", "left").select(
+    led = near.join(near.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    chosen = led.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", "b")).alias("s")) \
+        .select("node", F.col("s.b").alias("star"), "s.far")
+    heads = chosen.select(F.col("star").alias("node"), "star", F.lit(0.0).alias("far")).distinct()
+    return nodes.join(sized(chosen.union(heads)), "node", "left").select(
         "node", "n", "text_hash", "sketch", F.coalesce("star", "node").alias("star"),
-        F.coalesce("far", F.lit(0.0)).alias("far")), near
+        F.coalesce("far", F.lit(0.0)).alias("far"), F.col("star").isNotNull().alias("large"))
 
 
 def frequent(nodes: DataFrame, limit: Limit) -> np.ndarray:
@@ -164,9 +209,9 @@ def frequent(nodes: DataFrame, limit: Limit) -> np.ndarray:
 
 
 def prefixes(nodes: DataFrame, late: np.ndarray, limit: Limit) -> DataFrame:
-    """(node, star, n, text_hash, prefix): prefix null where the sketch is too short to tell."""
+    """(node, star, n, text_hash, large, prefix): prefix null where the sketch is too short to tell."""
     shared = nodes.sparkSession.sparkContext.broadcast(late)
-    kept = ["node", "star", "n", "text_hash"]
+    kept = ["node", "star", "n", "text_hash", "large"]
     schema = T.StructType([
         *[nodes.schema[c] for c in kept], T.StructField("prefix", T.ArrayType(T.LongType()))])
 
@@ -209,17 +254,15 @@ def entries(found: DataFrame, limit: Limit) -> DataFrame:
     low and high bound the sizes, rest is the most that can still be shared from the hash on, lead tells
     whether the hash can be the first one shared with a larger set, before is the hash before it.
     """
-    rows = found.select("node", "star", "n", "prefix", F.posexplode("prefix").alias("place", "hash")).select(
+    rows = found.select("star", "n", "large", "prefix", F.posexplode("prefix").alias("place", "hash")).select(
         "hash", "star", F.col("n").alias("low"), F.col("n").alias("high"),
         (F.col("n") - F.col("place")).alias("rest"),
         F.expr(f"place < {_sql(limit, 'index', 'n')}").alias("lead"),
-        F.get("prefix", F.col("place") - 1).alias("before"), "node")
-    large = found.where("node <> star").select("star").distinct()
-    single = rows.join(large, "star", "left_anti").drop("node")
-    grouped = rows.join(large, "star", "left_semi").groupBy("hash", "star").agg(
+        F.get("prefix", F.col("place") - 1).alias("before"), "large")
+    grouped = rows.where("large").groupBy("hash", "star").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"),
         F.max("lead").alias("lead"), F.lit(None).cast("long").alias("before"))
-    return single.unionByName(grouped)
+    return rows.where("NOT large").drop("large").unionByName(grouped)
 
 
 def meet(hashes, star, low, high, rest, lead, before, has_before, limit: Limit):
@@ -277,31 +320,52 @@ def list_pairs(rows: DataFrame, limit: Limit) -> DataFrame:
     return met.distinct()
 
 
-def member_links(open_pairs: DataFrame, starred: DataFrame, found: DataFrame, docs: DataFrame,
-                 limit: Limit, text_col: str) -> DataFrame:
-    """Links (a, b) between members of star pairs (a, b, far) that pivots alone don't settle."""
-    sides = open_pairs.select(F.col("a").alias("star"), F.col("b").alias("other")).union(
-        open_pairs.select(F.col("b").alias("star"), F.col("a").alias("other")))
-    radius = starred.groupBy("star").agg(F.max("far").alias("radius"))
-    members = sides.join(starred.select("star", "node", "text_hash"), "star")
-    others = starred.where("node = star").select(
-        F.col("node").alias("other"), F.col("text_hash").alias("other_hash"))
-    tests = cut_lineage(members.join(others, "other"))
-    sets = full_sets(docs, tests.select("text_hash").union(tests.select("other_hash")), limit, text_col)
-    sets = cut_lineage(sets)
-    against = cut_lineage(compare(tests.select(
-        "star", "other", F.col("node").alias("a"), F.col("other").alias("b")), sets)
-        .withColumn("gap", F.expr(DISTANCE)))
-    direct = against.where(linked(limit)).select("a", "b")
-    left = against.join(radius.select(F.col("star").alias("other"), "radius"), "other") \
-        .where(F.col("gap") <= limit.distance + F.col("radius") + SLACK) \
-        .select(F.col("a").alias("node"), "star", "other")
-    hashes = left.join(found.select("node", F.explode("prefix").alias("hash")), "node")
-    one = hashes.where("star < other").select(F.col("node").alias("a"), "star", "other", "hash")
-    two = hashes.where("star > other").select(
-        F.col("node").alias("b"), F.col("other").alias("star"), F.col("star").alias("other"), "hash")
-    pairs = one.join(two, ["star", "other", "hash"]).select("a", "b").distinct()
-    return direct.union(compare(pairs, sets).where(linked(limit)).select("a", "b"))
+def differences(members: DataFrame, docs: DataFrame, limit: Limit, text_col: str) -> DataFrame:
+    """(root, node, n, root_n, delta) of members (root, node, text_hash, root_hash)."""
+    wanted = members.select("text_hash").union(members.select("root_hash"))
+    sets = full_sets(docs, wanted, limit, text_col)
+    own = sets.select("node", "n", F.col("hashes").alias("own"))
+    base = sets.select(F.col("node").alias("root"), F.col("n").alias("root_n"), F.col("hashes").alias("base"))
+    return members.select("root", "node").join(own, "node").join(base, "root").select(
+        "root", "node", "n", "root_n",
+        F.concat(F.array_except("own", "base"), F.array_except("base", "own")).alias("delta"))
+
+
+def differ_little(size: Column, total: Column, limit: Limit) -> Column:
+    """Sets whose sizes have this total are linked when this many hashes differ."""
+    return size * (limit.num + limit.den) <= total * (limit.den - limit.num)
+
+
+def member_links(deltas: DataFrame, limit: Limit) -> DataFrame:
+    """Links (a, b) between members of one galaxy other than its root."""
+    tokens = deltas.select("root", "node", "n", F.size("delta").alias("m"), F.explode("delta").alias("hash"))
+    counts = tokens.groupBy("root", "hash").agg(F.count("*").alias("rows"))
+    share = (limit.den - limit.num) / (limit.den + limit.num)
+    ranked = tokens.join(counts.where("rows > 1"), ["root", "hash"], "left").groupBy("root", "node", "n", "m").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "hash"))).alias("order"))
+    # at most so many hashes differ from any partner
+    most = F.floor(F.col("n") * (share * (1 + limit.den / limit.num)) + SLACK)
+    leading = cut_lineage(ranked.withColumn("most", most).select(
+        "root", "node", "n", "m", "most", F.posexplode(F.slice("order", 1, (F.col("most") + 1).cast("int"))).alias("place", "o")
+    ).where("o.rows > 1").select("root", "node", "n", "m", "most", "place", F.col("o.hash").alias("hash")))
+    # the member with the shorter difference shares one of its first most / 2 + 1
+    one = leading.where("place <= most / 2 + 1e-9").select(
+        "root", "hash", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"),
+        F.col("place").alias("pa"))
+    two = leading.select("root", "hash", F.col("node").alias("b"), F.col("n").alias("nb"),
+                         F.col("m").alias("mb"), F.col("place").alias("pb"))
+    # (ma + mb - bound) / 2 hashes are shared, so before the first of them stand few in either
+    total, longer = F.col("na") + F.col("nb"), F.col("mb") - F.col("ma")
+    met = one.join(two, ["root", "hash"]).where(
+        (F.struct("ma", "a") < F.struct("mb", "b"))
+        & differ_little(2 * F.col("pa") + longer, total, limit)
+        & differ_little(2 * F.col("pb") - longer, total, limit)
+        & (F.least("na", "nb") * limit.den >= F.greatest("na", "nb") * limit.num)
+    ).select("a", "b", "na", "nb", "ma", "mb").distinct()
+    delta = lambda x: deltas.select(F.col("node").alias(x), F.col("delta").alias(f"d{x}"))
+    common = F.size(F.array_intersect("da", "db"))
+    return met.join(delta("a"), "a").join(delta("b"), "b").where(
+        differ_little(F.col("ma") + F.col("mb") - 2 * common, F.col("na") + F.col("nb"), limit)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "doc_id",
@@ -311,42 +375,31 @@ def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "d
     group numbers the component independently of ids; it is null for empty sets.
     """
     base = cut_lineage(base_rows(docs, limit, id_col, text_col))
-    full = base.where("n > 0")
-    nodes = cut_lineage(full.groupBy("node", "n").agg(
-        F.min("id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")))
-    starred, near = stars(nodes, docs, limit, text_col)
-    starred = cut_lineage(starred)
+    first_ids = base.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"))
+    starred = stars(one_row_per_set(base), docs, limit, text_col)
     late = frequent(starred, limit)
     found = prefixes(starred, late, limit)
-    short = cut_lineage(found.where("prefix IS NULL").select("node", "star", "text_hash"))
-    whole = full_sets(docs, short, limit, text_col).join(short, "node") \
-        .withColumnRenamed("hashes", "sketch")
+    short = cut_lineage(found.where("prefix IS NULL").select("node", "star", "text_hash", "large"))
+    whole = full_sets(docs, short, limit, text_col).join(short, "node").withColumnRenamed("hashes", "sketch")
     found = found.where("prefix IS NOT NULL").unionByName(prefixes(whole, late, limit))
     met = cut_lineage(list_pairs(entries(found, limit), limit))
-    heads = starred.where("node = star").select("node", "text_hash")
-    wanted = heads.join(met.select(F.col("a").alias("node")).union(met.select("b")).distinct(),
-                        "node", "left_semi")
-    judged = cut_lineage(compare(met, full_sets(docs, wanted, limit, text_col))
-                         .withColumn("gap", F.expr(DISTANCE)))
-    links = near.select("a", "b").union(judged.where(linked(limit)).select("a", "b"))
+    met = cut_lineage(plausible(met, starred, limit))
+    ends = sized(met.select(F.col("a").alias("node")).union(met.select("b")).distinct())
+    wanted = starred.join(ends, "node", "left_semi").select("node", "text_hash")
+    near = compare(met, full_sets(docs, wanted, limit, text_col)).where(F.expr(DISTANCE) <= F.col("reach"))
+    galaxies = sized(components(near.select("a", "b")).select(F.col("node").alias("star"), "label"))
+    members = cut_lineage(starred.join(galaxies, "star", "left").where("large OR label IS NOT NULL").select(
+        "node", "text_hash", F.coalesce("label", "star").alias("root")))
+    roots = members.where("node = root").select("root", F.col("text_hash").alias("root_hash"))
+    members = members.where("node <> root").join(roots, "root")
+    deltas = cut_lineage(differences(members, docs, limit, text_col))
+    links = deltas.where(differ_little(F.size("delta"), F.col("n") + F.col("root_n"), limit)).select(
+        F.col("node").alias("a"), F.col("root").alias("b")).union(member_links(deltas, limit))
     labels = components(links)
-    radius = starred.where("far > 0").groupBy("star").agg(F.max("far").alias("radius"))
-    label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}"))
-    reach = lambda side: radius.select(F.col("star").alias(side), F.col("radius").alias(f"r_{side}"))
-    open_pairs = judged.where(~linked(limit)).join(reach("a"), "a", "left").join(reach("b"), "b", "left") \
-        .where("r_a IS NOT NULL OR r_b IS NOT NULL") \
-        .where(F.col("gap") <= limit.distance + F.coalesce("r_a", F.lit(0.0))
-               + F.coalesce("r_b", F.lit(0.0)) + SLACK) \
-        .join(label("a"), "a", "left").join(label("b"), "b", "left") \
-        .where("_a IS NULL OR _b IS NULL OR _a <> _b").select("a", "b")
-    open_pairs = cut_lineage(open_pairs)
-    if not open_pairs.isEmpty():
-        links = cut_lineage(links.union(member_links(open_pairs, starred, found, docs, limit, text_col)))
-        labels = components(links)
-    named = labels.join(nodes.select("node", "first_id"), "node")
+    named = labels.join(first_ids, "node")
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component"))
     grouped = named.join(lowest, "label").select("node", "component", "label")
-    placed = nodes.select("node", "first_id").join(grouped, "node", "left").select(
+    placed = first_ids.join(grouped, "node", "left").select(
         "node", F.coalesce("component", "first_id").alias("component"),
         F.coalesce("label", "node").alias("group"))
     return base.select("id", "n", "node", "text_hash").join(placed, "node", "left").select(
@@ -370,11 +423,6 @@ def keep_one(docs: DataFrame, limit: Limit, id_col: str = "doc_id", text_col: st
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
         F.xxhash64(body(text_col)).alias("text_hash")))
 
-    def sized(rows: DataFrame) -> DataFrame:
-        """A broadcast only up to BROADCAST_ROWS; beyond that Spark shuffles."""
-        rows = cut_lineage(rows)
-        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
-
     def same(rows: DataFrame) -> Column:
         mine, other = F.col("_row"), rows["row"]
         return (mine["text_hash"] == other["text_hash"]) & mine["id"].eqNullSafe(other["id"])
