@@ -53,8 +53,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that the ids decode to."""
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     rows = docs.select("doc_id", "text")
-    ids = bpe.encode(rows, path, bpe.compile_lexicon(rows, path), keep_text=False)
-    return bpe.decode(ids, path).select(
+    lexicon = bpe.compile_lexicon(rows, path)
+    return bpe.encode(rows, path, lexicon, keep_text=False, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

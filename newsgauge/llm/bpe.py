@@ -2,10 +2,11 @@
 
 The vocabulary file's rules are followed: canonical composition, lower case character by character, words
 as runs of letters, single digits, English contractions and runs of other marks, bytes as letters,
-merges by rank inside a word, word ends marked. Words are counted over all rows; the at most
-LEXICON_WORDS most frequent ones are merged once and compiled into a minimal acyclic transducer (see
+merges by rank inside a word, word ends marked. Pieces are counted over all rows; the at most
+LEXICON_WORDS most frequent words are merged once and compiled into a minimal acyclic transducer (see
 lexicon.py), whose file is written to the shared folder, sent to every executor and memory-mapped
-there. A batch looks its distinct words up in the transducer; words it lacks are merged exactly.
+there. Texts are cut at white space first, which no word crosses; a task looks the words of each distinct
+piece up in the transducer once, and merges words that it lacks exactly.
 
 Strings of the file's special tokens in a text become those tokens, as the file's library does.
 Defined cases: null and empty texts have no ids and decode to an empty text; repeated rows are encoded
@@ -15,7 +16,9 @@ each; an empty table gives an empty result; other columns pass through ``encode`
 from __future__ import annotations
 
 import functools
+import heapq
 import json
+import os
 import re
 import unicodedata
 import uuid
@@ -34,9 +37,15 @@ from newsgauge.llm.lexicon import Lexicon, build
 from newsgauge.session import scratch_path
 
 LEXICON_WORDS = 20_000
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 2 << 20
 COUNTER_WORDS = 200_000
-CACHE_WORDS = 1 << 16
+REMEMBERED = 400_000
+DECODED_ROWS = 1_000
+SEPARATORS = re.compile("[\x1c-\x1f]")
+MATRIX_WORDS = 8_192
+MATRIX_BYTES = 40
+SLOT_BITS = 18
+NEVER = 1 << 40
 SPACES = "\t-\r \x85" + "".join(
     map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
@@ -71,30 +80,97 @@ class Vocabulary:
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.lead = os.path.commonprefix(list(self.special))
         self.letters = byte_letters()
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") \
             if self.special else None
-        self.merge = functools.lru_cache(CACHE_WORDS)(self._merge)
-
-    def _merge(self, word: str) -> list[int]:
+        self.first = np.array([self.ids[c] for c in self.letters], np.int64)
+        self.last = np.array([self.ids[c + self.end] for c in self.letters], np.int64)
+        self._tables(pairs)
+
+    def _tables(self, pairs: list[tuple[str, str]]) -> None:
+        """Hash tables from a pair of ids to its rank and merged id; keys that collide go one table on."""
+        keys = np.array([(self.ids[a] << 32) | self.ids[b] for a, b in pairs], np.int64)
+        merged = np.array([self.ids[a + b] for a, b in pairs], np.int64)
+        left = np.arange(len(pairs))
+        self.tables = []
+        while len(left):
+            slot = self._slot(keys[left], len(self.tables))
+            _, chosen = np.unique(slot, return_index=True)
+            table = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+            for column, values in zip(table, (keys, np.arange(len(pairs)), merged)):
+                column[slot[chosen]] = values[left[chosen]]
+            self.tables.append(table)
+            left = np.delete(left, chosen)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, level: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word; words of like length are merged side by side in a matrix."""
+        out: list[list[int]] = [[] for _ in words]
+        spelled = [w.encode() for w in words]
+        order = sorted(range(len(words)), key=lambda k: len(spelled[k]))
+        for low in range(0, len(order), MATRIX_WORDS):
+            part = order[low:low + MATRIX_WORDS]
+            long = [k for k in part if len(spelled[k]) > MATRIX_BYTES]
+            for k in long:
+                out[k] = self.merge(words[k])
+            part = part[:len(part) - len(long)]
+            if not part:
+                continue
+            size = np.array([len(spelled[k]) for k in part])
+            width = int(size[-1])
+            data = np.frombuffer(b"".join(spelled[k].ljust(width, b"\0") for k in part), np.uint8)
+            data = data.reshape(len(part), width)
+            columns = np.arange(width)
+            grid = np.where(columns < size[:, None], self.first[data], -1)
+            rows = np.arange(len(part))
+            grid[rows, size - 1] = self.last[data[rows, size - 1]]
+            live = rows[size > 1]
+            while len(live):
+                now = grid[live]
+                keys = np.where(now[:, 1:] >= 0, (now[:, :-1] << 32) | now[:, 1:], -2)
+                rank, made = np.full(keys.shape, NEVER), np.zeros(keys.shape, np.int64)
+                for level, (known, ranks, merged) in enumerate(self.tables):
+                    slot = self._slot(keys, level)
+                    found = known[slot] == keys
+                    rank[found], made[found] = ranks[slot[found]], merged[slot[found]]
+                at = rank.argmin(1)
+                some = np.arange(len(live))
+                go = rank[some, at] < NEVER
+                live, now, made, at = live[go], now[go], made[go], at[go]
+                some = np.arange(len(live))
+                now[some, at] = made[some, at]
+                shift = np.minimum(columns + (columns > at[:, None]), width)
+                grid[live] = np.take_along_axis(np.pad(now, ((0, 0), (0, 1)), constant_values=-1), shift, 1)
+            for k, row, n in zip(part, grid.tolist(), (grid >= 0).sum(1).tolist()):
+                out[k] = row[:n]
+        return out
+
+    def merge(self, word: str) -> list[int]:
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += self.end
-        while len(parts) > 1:
-            rank, at = min(
-                (self.ranks.get(pair, len(self.ranks)), k) for k, pair in enumerate(zip(parts, parts[1:]))
-            )
-            if rank == len(self.ranks):
-                break
-            left, right = parts[at], parts[at + 1]
-            merged, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == left and parts[k + 1] == right:
-                    merged.append(left + right)
-                    k += 2
-                else:
-                    merged.append(parts[k])
-                    k += 1
-            parts = merged
+        # the pair of lowest rank first, the leftmost on a tie; neighbours are linked by place
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(self.ranks[pair], k) for k, pair in enumerate(zip(parts, parts[1:])) if pair in self.ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            follow = after[k]
+            if parts[k] is None or follow >= len(parts) or self.ranks.get((parts[k], parts[follow])) != rank:
+                continue
+            parts[k] += parts[follow]
+            parts[follow] = None
+            after[k] = after[follow]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            for left in (before[k], k):
+                right = after[left] if left >= 0 else len(parts)
+                if right < len(parts) and (parts[left], parts[right]) in self.ranks:
+                    heapq.heappush(heap, (self.ranks[(parts[left], parts[right])], left))
         return [self.ids[p] for p in parts if p in self.ids]
 
 
@@ -111,7 +187,7 @@ def split_words(text: str) -> list[str]:
 
 def pieces(text: str, words: Vocabulary) -> list[str]:
     """Words and special tokens in order; a special token carries a leading zero byte."""
-    if words.specials is None or not any(s in text for s in words.special):
+    if words.specials is None or words.lead not in text:
         return split_words(text)
     out = []
     for part in words.specials.split(text):
@@ -119,49 +195,61 @@ def pieces(text: str, words: Vocabulary) -> list[str]:
     return out
 
 
-def chunks(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in order, in lists of at most about CHUNK_CHARS characters."""
-    part, size = [], 0
-    for text in texts:
+def cut(text: str) -> list[str]:
+    """Pieces between white space; a text with separators that only Python counts as space is one piece."""
+    return [text] if SEPARATORS.search(text) else text.split()
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) in lists of at most about CHUNK_CHARS characters and the last text."""
+    first, part, size = 0, [], 0
+    for k, text in enumerate(texts):
         part.append(text.as_py() or "")
         size += len(part[-1])
         if size >= CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-    yield part
+            yield first, part
+            first, part, size = k + 1, [], 0
+    if part:
+        yield first, part
 
 
-def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n) over all rows."""
+def count_pieces(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(piece, n) over all rows, a piece being what stands between white space."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush():
             found = pa.RecordBatch.from_pydict(
-                {"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+                {"piece": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
             seen.clear()
             return found
 
         for batch in batches:
-            for part in chunks(batch.column(0)):
+            for _, part in chunks(batch.column(0)):
                 for text in part:
-                    seen.update(pieces(text, vocabulary(path)))
+                    seen.update(cut(text))
                 if len(seen) > COUNTER_WORDS:
                     yield flush()
         yield flush()
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "piece string, n long")
+    return counted.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words, put the file before all executors, return its name."""
+    """Compile the most frequent words, put the file before all executors, return its name.
+
+    The words are those of the 2 * size most frequent pieces, by the counts of these.
+    """
     spark = docs.sparkSession
-    frequent = count_words(docs, path, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    frequent = count_pieces(docs, text_col).orderBy(F.desc("n"), "piece").limit(2 * size).collect()
     words = Vocabulary(path)
-    content = build({
-        r["word"].encode(): words.merge(r["word"]) for r in frequent if not r["word"].startswith("\0")
-    })
+    counts: Counter = Counter()
+    for row in frequent:
+        for word in pieces(row["piece"], words):
+            counts[word] += row["n"]
+    chosen = sorted((w for w in counts if w[0] != "\0"), key=lambda w: (-counts[w], w))[:size]
+    content = build({w.encode(): ids for w, ids in zip(chosen, words.merge_all(chosen))})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'lexicon')}/{name}")
@@ -177,52 +265,93 @@ def opened(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
-def encode_texts(texts: list[str], words: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(ids per text, all ids in order)."""
-    index: dict[str, int] = {}
-    found: list[int] = []
-    ends = []
-    for text in texts:
-        found += [index.setdefault(w, len(index)) for w in pieces(text, words)]
-        ends.append(len(found))
-    distinct = list(index)
-    places = lexicon.places([w.encode() for w in distinct])
-    ids = []
-    for word, place in zip(distinct, places.tolist()):
-        if place >= 0:
-            ids.append(lexicon.ids[lexicon.offsets[place]:lexicon.offsets[place + 1]])
-        else:
-            ids.append([words.special[word[1:]]] if word[0] == "\0" and word[1:] in words.special
-                       else words.merge(word))
-    size = np.array([len(i) for i in ids], np.int64)
-    flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
-    start = np.cumsum(size) - size
-    order = np.array(found, np.int64)
-    lengths = size[order]
-    before = np.concatenate([[0], np.cumsum(lengths)])
-    gather = np.repeat(start[order] - before[:-1], lengths) + np.arange(before[-1])
-    bounds = before[np.array(ends, np.int64)]
-    return np.diff(np.concatenate([[0], bounds])), flat[gather]
+class Encoder:
+    """Looks distinct pieces up once; what it remembers is bounded by REMEMBERED pieces."""
+
+    def __init__(self, words: Vocabulary, lexicon: Lexicon) -> None:
+        self.words, self.lexicon = words, lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def _learn(self, new: list[str]) -> None:
+        split = [pieces(piece, self.words) for piece in new]
+        distinct = list(dict.fromkeys(w for ws in split for w in ws))
+        places = self.lexicon.places([w.encode() for w in distinct])
+        ids: dict[str, list[int]] = {}
+        unseen = []
+        for word, place in zip(distinct, places.tolist()):
+            if word[0] == "\0" and word[1:] in self.words.special:
+                ids[word] = [self.words.special[word[1:]]]
+            elif place >= 0:
+                low, high = self.lexicon.offsets[place:place + 2]
+                ids[word] = self.lexicon.ids[low:high].tolist()
+            else:
+                unseen.append(word)
+        ids.update(zip(unseen, self.words.merge_all(unseen)))
+        found = [[i for w in ws for i in ids[w]] for ws in split]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.size = np.concatenate([self.size, np.array([len(i) for i in found], np.int64)])
+        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.int32)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends of the texts' ids, all ids in order)."""
+        parts: list[str] = []
+        ends = []
+        for text in texts:
+            parts += cut(text)
+            ends.append(len(parts))
+        if len(self.index) > REMEMBERED:
+            self._forget()
+        new = [p for p in dict.fromkeys(parts) if p not in self.index]
+        if new:
+            self._learn(new)
+        order = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        start = np.cumsum(self.size) - self.size
+        lengths = self.size[order]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        gather = np.repeat(start[order] - before[:-1], lengths) + np.arange(before[-1])
+        return before[np.array(ends, np.int64)], self.flat[gather]
+
+
+@functools.lru_cache(2)
+def encoder(path: str, lexicon: str) -> Encoder:
+    return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)))
+
+
+def text_of(ids: np.ndarray, words: Vocabulary) -> str:
+    return " ".join(map(words.tokens.__getitem__, ids.tolist()))
 
 
 def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", out: str = "ids",
-           keep_text: bool = True) -> DataFrame:
-    """All rows and columns (without the text if unwanted) with the array of token ids."""
-    kept = [c for c in docs.columns if c != out and (keep_text or c != text_col)]
+           keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """All rows and columns (without the text if unwanted) with the array of token ids.
+
+    ``decoded`` names a further column for the text of the ids, made in the same pass.
+    """
+    kept = [c for c in docs.columns if c not in (out, decoded) and (keep_text or c != text_col)]
     rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("_encoded_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([
+        *rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType())), *more])
+    width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
         for batch in batches:
-            sizes, flat = [], []
-            for part in chunks(batch.column(batch.num_columns - 1)):
-                n, ids = encode_texts(part, vocabulary(path), opened(lexicon))
-                sizes.append(n)
-                flat.append(ids)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in range(len(kept))], column], names=[*kept, out])
+            for first, part in chunks(batch.column(width)):
+                ends, ids = encoder(path, lexicon).encode(part)
+                bounds = np.concatenate([[0], ends])
+                made = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
+                if more:
+                    made.append(pa.array(
+                        [text_of(ids[a:b], words) for a, b in zip(bounds, bounds[1:])], pa.string()))
+                rest = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [*[rest.column(k) for k in range(width)], *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -230,16 +359,15 @@ def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", out
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All rows and columns with the text of the ids: the tokens' strings, joined by one blank."""
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
-
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path).tokens
+        words = vocabulary(path)
         for batch in batches:
-            column = batch.column(place)
-            texts = [" ".join([tokens[i] for i in ids.values.to_numpy().tolist()]) if ids.is_valid else ""
-                     for ids in column]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            for first in range(0, batch.num_rows, DECODED_ROWS):
+                rest = batch.slice(first, DECODED_ROWS)
+                texts = [text_of(x.values.to_numpy(), words) if x.is_valid else "" for x in rest.column(place)]
+                yield pa.RecordBatch.from_arrays(
+                    [*rest.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

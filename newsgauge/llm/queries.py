@@ -88,8 +88,7 @@ def op6(spark, sf_dir):
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = bpe.compile_lexicon(docs, path)
-    ids = bpe.encode(docs, path, lexicon, keep_text=False)
-    return bpe.decode(ids, path).select(
+    return bpe.encode(docs, path, lexicon, keep_text=False, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
