@@ -15,6 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     label's label, so rounds grow with the logarithm of a chain's length. Minima are aggregated map-side; a
     node with very many links is only a sum over its rows.
     """
+    links = cut_lineage(links.select("a", "b"))  # read twice below
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.where("a <> b").distinct())
     labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("low")).select(
