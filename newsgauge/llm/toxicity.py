@@ -5,9 +5,12 @@ w0 + sum of w_i + sum over pairs of <v_i, v_j>, so a pair of terms (an insult be
 can weigh more or less than its parts. Terms are found in the JVM; only the few buckets that the
 machine knows reach Python.
 
-Training takes at most TRAIN_ROWS labelled rows (those first by a hash of their id): their term
-counts are gathered by Spark, the at most MODEL_TERMS buckets whose presence differs most between
-the classes are kept, and the machine is fitted on that bounded sample. Everything is scored.
+Training takes at most TRAIN_ROWS labelled rows (those first by a hash of their id); their terms are gathered
+whole. A term enters the machine when it tells the classes apart by itself (chi2 of at least MIN_CHI2), or
+when it belongs to a pair that does: among the rows with one term of the pair, the presence of the other must
+change the share of toxic rows by a likelihood ratio statistic of at least MIN_PAIR, from both sides. All pairs of the
+sample are counted, by the executors; only terms whose rows could not reach that statistic under any
+partner are left out beforehand. The number of terms is not limited. Everything is scored.
 
 Defined cases: null and empty texts have no terms and get the score of w0; rows without id or label
 are not learned from; several labels of one id count as their maximum; without any labels, or with
@@ -22,17 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgauge.session import cut_lineage
-
 BUCKETS = 1 << 20
 TRAIN_ROWS = 20_000
-MODEL_TERMS = 1024
 FACTORS = 8
 MIN_CHI2 = 25.0
+MIN_PAIR = 25.0
+BATCH = 2_000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -63,25 +65,49 @@ def term_buckets(text: Column) -> Column:
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.05,
         decay: tuple[float, float] = (1e-5, 3e-3)) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam on the penalised log-loss of all rows of x (0/1) and y.
+    """``fit_rows`` for a matrix of 0 and 1."""
+    rows, columns = np.nonzero(x)
+    starts = np.searchsorted(rows, np.arange(len(x) + 1))
+    return fit_rows(columns, starts, x.shape[1], y, steps, rate, decay)
+
 
+def fit_rows(columns: np.ndarray, starts: np.ndarray, k: int, y: np.ndarray, steps: int = 600, rate: float = 0.05,
+             decay: tuple[float, float] = (1e-5, 3e-3)) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam on the penalised log-loss of all rows and y.
+
+    Row r has the terms columns[starts[r]:starts[r + 1]] of k. A step takes the next BATCH rows of a shuffled
+    order that is drawn anew when it is used up, so every row is met; fewer rows are taken whole.
     Pairs are penalised more than single terms, so that a term seen alone keeps its own weight.
     """
-    n, k = x.shape
+    n = len(y)
     rng = np.random.default_rng(7)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     params = [np.array([np.log(share / (1 - share))]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    x = x.astype(np.float32)
+    sizes, order, whole = np.diff(starts), np.arange(n), None
+
+    def unfolded(rows: np.ndarray) -> np.ndarray:
+        x, size = np.zeros((len(rows), k), np.float32), sizes[rows]
+        at = np.repeat(starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        x[np.repeat(np.arange(len(rows)), size), columns[at]] = 1
+        return x
+
     for step in range(1, steps + 1):
         bias, w, v = params
+        if n <= BATCH:
+            x, truth = whole if whole else (unfolded(order), y)
+            whole = x, truth
+        else:
+            if len(order) < BATCH or step == 1:
+                order = rng.permutation(n) if step == 1 else np.concatenate([order, rng.permutation(n)])
+            x, truth, order = unfolded(order[:BATCH]), y[order[:BATCH]], order[BATCH:]
         sums = x @ v.astype(np.float32)
         raw = bias + x @ w.astype(np.float32) + (sums**2 - x @ (v * v).astype(np.float32)).sum(1) / 2
-        error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y).astype(np.float32)
+        error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - truth).astype(np.float32)
         grads = [
             np.array([error.mean()]),
-            x.T @ error / n + decay[0] * w,
-            (x.T @ (error[:, None] * sums) - (x.T @ error)[:, None] * v) / n + decay[1] * v,
+            x.T @ error / len(x) + decay[0] * w,
+            (x.T @ (error[:, None] * sums) - (x.T @ error)[:, None] * v) / len(x) + decay[1] * v,
         ]
         for p, g, a, b in zip(params, grads, first, second):
             a += 0.1 * (g - a)
@@ -90,6 +116,57 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.05,
     return float(params[0][0]), params[1], params[2]
 
 
+def pair_terms(spark: SparkSession, columns: np.ndarray, starts: np.ndarray, k: int, y: np.ndarray) -> np.ndarray:
+    """The terms, of k, that stand in a pair which tells the classes apart beyond either of its terms."""
+    n = len(y)
+    xlogx = np.arange(n + 1) * np.log(np.maximum(np.arange(n + 1), 1))
+    rows = np.repeat(np.arange(n), np.diff(starts))
+    m, a = np.bincount(columns, minlength=k), np.bincount(columns, y[rows], k).astype(np.int64)
+    # no split of a term's rows tells more than the classes themselves
+    able = np.flatnonzero(2 * (xlogx[m] - xlogx[a] - xlogx[m - a]) >= MIN_PAIR)
+    place = np.full(k, -1)
+    place[able] = np.arange(len(able))
+    kept = place[columns] >= 0
+    rows, columns = rows[kept], place[columns[kept]].astype(np.int32)
+    order = np.lexsort((columns, rows))
+    rows, columns = rows[order], columns[order]
+    ends = np.searchsorted(rows, rows, "right").astype(np.int32)
+    # for each term, where it stands, rows of label 1 first
+    posts = np.lexsort((-y[rows], columns)).astype(np.int32)
+    first = np.searchsorted(columns[posts], np.arange(len(able) + 1))
+    parts = 4 * spark.sparkContext.defaultParallelism
+    shared = spark.sparkContext.broadcast((columns, ends, posts, first, m[able], a[able], xlogx, parts))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, ends, posts, first, m, a, xlogx, parts = shared.value
+
+        def told(both_a, both_m, all_a, all_m):
+            """Twice the log-likelihood ratio of label and partner among the all_m rows of a term."""
+            cells = (both_a, both_m - both_a, all_a - both_a, all_m - all_a - both_m + both_a)
+            sides = (both_m, all_m - both_m, all_a, all_m - all_a)
+            return 2 * (sum(xlogx[c] for c in cells) - sum(xlogx[c] for c in sides) + xlogx[all_m])
+
+        def count(places, width):
+            pieces = [columns[p + 1:ends[p]] for p in places]
+            return np.bincount(np.concatenate(pieces), minlength=width) if pieces else np.zeros(width, np.int64)
+
+        for batch in batches:
+            for part in batch["id"]:
+                for i in range(part, len(m), parts):
+                    at = posts[first[i]:first[i + 1]]
+                    both_a = count(at[:a[i]], len(m))
+                    both_m = both_a + count(at[a[i]:], len(m))
+                    others = np.flatnonzero(both_m)
+                    pa, pm = both_a[others], both_m[others]
+                    hits = others[(told(pa, pm, a[i], m[i]) >= MIN_PAIR) & (told(pa, pm, a[others], m[others]) >= MIN_PAIR)]
+                    if len(hits):
+                        yield pd.DataFrame({"term": np.append(hits, i).astype(np.int64)})
+
+    pairs = spark.range(0, parts, 1, parts).mapInPandas(found, "term long").distinct().collect()
+    shared.destroy()
+    return able[sorted(r["term"] for r in pairs)]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
     """Fit the machine on at most ``rows`` labelled rows."""
@@ -99,30 +176,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")) \
         .join(F.broadcast(known), "_id").groupBy("_id", "_y") \
         .agg(F.array_distinct(F.flatten(F.collect_set(term_buckets(F.col("_t"))))).alias("_terms"))
-    sample = cut_lineage(sample)
-    classes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = classes.get(1, 0), classes.get(0, 0)
-    if not pos or not neg:
+    data = sample.orderBy("_id").select("_y", "_terms").toArrow().combine_chunks()
+    y = (data["_y"].to_numpy() > 0).astype(np.int64)
+    n, pos = len(y), int(y.sum())
+    if pos in (0, n):
         bias = 40.0 if pos else -40.0
         return Machine([], bias, np.zeros(0), np.zeros((0, FACTORS)))
-    counts = sample.select("_y", F.explode("_terms").alias("term")).groupBy("term").agg(
-        F.sum("_y").cast("double").alias("a"), F.sum(1 - F.col("_y")).cast("double").alias("b"))
-    n = float(pos + neg)
-    chi2 = n * (F.col("a") * neg - F.col("b") * pos) ** 2 / (
-        (F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")) * float(pos) * float(neg))
-    chosen = counts.where((F.col("a") + F.col("b") >= 3) & (F.col("a") + F.col("b") < n)) \
-        .withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2) \
-        .orderBy(F.desc("chi2"), "term").limit(MODEL_TERMS)
-    terms = sorted(r["term"] for r in chosen.select("term").collect())
-    place = {t: k for k, t in enumerate(terms)}
-    data = sample.select(
-        "_id", "_y", F.array_intersect("_terms", F.lit(terms).cast("array<int>")).alias("_terms")
-    ).orderBy("_id").collect()
-    x = np.zeros((len(data), len(terms)), np.float32)
-    for k, row in enumerate(data):
-        x[k, [place[t] for t in row["_terms"]]] = 1
-    bias, w, v = fit(x, np.array([r["_y"] for r in data], np.float64))
-    return Machine(terms, bias, w, v)
+    lists = data["_terms"].combine_chunks()
+    buckets, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    starts = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+    k = len(buckets)
+    m = np.bincount(columns, minlength=k).astype(float)
+    a = np.bincount(columns, np.repeat(y, np.diff(starts)), k)
+    chi2 = n * (a * (n - pos) - (m - a) * pos) ** 2 / (m * np.maximum(n - m, 1) * pos * (n - pos))
+    alone = np.flatnonzero((m >= 3) & (m < n) & (chi2 >= MIN_CHI2))
+    chosen = np.union1d(alone, pair_terms(docs.sparkSession, columns, starts, k, y)).astype(np.int64)
+    place = np.full(k, -1)
+    place[chosen] = np.arange(len(chosen))
+    kept = place[columns] >= 0
+    ends = np.append(0, np.cumsum(kept))[starts]
+    # a prior of the same width for any number of rows: a pair in few of many rows can be learned
+    bias, w, v = fit_rows(place[columns[kept]], ends, len(chosen), y.astype(np.float64), decay=(1e-5, 2 / n))
+    return Machine(buckets[chosen].tolist(), bias, w, v)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "score") -> DataFrame:
