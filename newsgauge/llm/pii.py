@@ -4,8 +4,9 @@ A text passes through three small transducers, each a rewriting that keeps for e
 the source characters it stands for: look-alike, full-width and foreign digits and letters become ASCII
 and invisible characters vanish; runs of spelled digits become digits; "(at)", "[dot]", "name at host dot
 com" become @ and dots. The patterns for addresses and numbers run on the source text (base spans) and on
-the rewritten text; a finding there that rests on at least one rewritten character, and does not touch a
-base span of its kind, is mapped back to source characters and added.
+the rewritten text; a finding there that rests on at least one rewritten character, and does not lie in a
+base span of its kind, is mapped back to source characters and added. Base spans stay, also where they are
+a fragment of an added one.
 
 Spans are code points, end exclusive. Texts that show no trigger are not rewritten. Defined cases: null
 text is empty and has no spans; repeated rows are searched each; other columns are ignored; very long
@@ -198,7 +199,7 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
         for s, k, e in detect(tape.text):
             a, b = tape.start[s], tape.end[e - 1]
             if any(tape.new[s:e]) or b - a > e - s:  # written anew, or with characters left out
-                if not any(kind == k and x < b and a < y for x, kind, y in base):
+                if not any(kind == k and x <= a and b <= y for x, kind, y in base):
                     spans.append((a, k, b, False))
     return sorted(spans)
 

@@ -48,3 +48,23 @@ def test_redaction_and_awkward_tables(spark, awkward, nothing):
     for docs in (awkward, nothing):
         found = docs.select(pii.spans("text").alias("s"))
         assert found.where(F.col("s").isNull()).count() == 0 and found.count() == docs.count()
+
+
+@pytest.mark.parametrize("text, kind, source", [
+    ("to jоhn.smith@example.com now", "email", "jоhn.smith@example.com"),
+    ("to jane@mail.example．com now", "email", "jane@mail.example．com"),
+    ("host 192.168.1.1５ up", "ip", "192.168.1.1５"),
+    ("call +1 415 555 012３", "phone", "+1 415 555 012３"),
+])
+def test_a_base_fragment_does_not_hide_the_whole(text, kind, source):
+    found = pii.find(text)
+    assert (kind, source, False) in [(pii.KINDS[k], text[s:e], base) for s, k, e, base in found]
+    assert [(s, k, e) for s, k, e, base in found if base] == brute.pii_base(text) != []
+
+
+def test_a_base_fragment_leaves_nothing_behind(spark):
+    rows = spark.createDataFrame(
+        [(1, "to jоhn.smith@example.com, jane@mail.example．com."), (2, "a 192.168.1.1５ b +1 415 555 012３")],
+        "doc_id long, text string")
+    out = rows.select("doc_id", pii.redacted("text", pii.spans("text")).alias("text")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {1: "to <EMAIL>, <EMAIL>.", 2: "a <IP> b <PHONE>"}
