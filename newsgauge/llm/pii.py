@@ -2,8 +2,10 @@
 
 A text passes through three small transducers, each a rewriting that keeps for every written character
 the source characters it stands for: look-alike, full-width and foreign digits and letters become ASCII
-and invisible characters vanish; runs of spelled digits become digits; "(at)", "[dot]", "name at host dot
-com" become @ and dots. The patterns for addresses and numbers run on the source text (base spans) and on
+and invisible characters vanish; runs of digits and digit words that hold at least one word become digits, and
+the detectors (octets, Luhn, digit counts) decide what they are; "(at)", "[dot]", "name at host dot
+com" become @ and dots. So does "name at host.tld", unless the name is one of the words that stand before "at" in
+prose (AT_PROSE: "meet at example.com") or the last label mixes cases (a sentence or a class, no domain). The patterns for addresses and numbers run on the source text (base spans) and on
 the rewritten text; a finding there that rests on at least one rewritten character, and does not lie in a
 base span of its kind, is mapped back to source characters and added. Base spans stay, also where they are
 a fragment of an added one.
@@ -55,9 +57,11 @@ SPELLED = re.compile(
     rf"\b(?:plus[\s-]+)?(?:(?:{_WORD})\b|[0-9]+)(?:(?:[\s,-]+|[\s,-]+(?:dot|point)[\s,-]+)(?:(?:{_WORD})\b|[0-9]+))+",
     re.I,
 )
-SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[\s,-]+(?:(?:dot|point)[\s,-]+)?(?:{_WORD})\b", re.I)
+SPELLED_HINT = re.compile(
+    rf"(?:\b(?:{_WORD})|[0-9])[\s,-]+(?:(?:dot|point)[\s,-]+)?(?:{_WORD})\b"
+    rf"|\b(?:{_WORD})[\s,-]+(?:(?:dot|point)[\s,-]+)?[0-9]", re.I)
 SPELLED_PART = re.compile(rf"plus|dot|point|{_WORD}|[0-9]", re.I)
-BRACKETED = re.compile(r"\s*[(\[{<]\s*(at|@|dot|\.)\s*[)\]}>]\s*", re.I)
+BRACKETED = re.compile(r"(?:(?<!\s)\s+)?[(\[{<]\s*(at|@|dot|\.)\s*[)\]}>]\s*", re.I)
 BRACKET_HINT = re.compile(r"[(\[{<]\s*(?:at|@|dot|\.)\s*[)\]}>]", re.I)
 BARE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(\s+at\s+)|@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+",
@@ -65,8 +69,24 @@ BARE = re.compile(
 )
 BARE_PART = re.compile(r"\s+(at|dot)\s+", re.I)
 BARE_HINT = re.compile(r"\sdot\s", re.I)
-NUMBERS = re.compile(r"[0-9]+(?:\s+dot\s+[0-9]+){3}", re.I)
-MIN_SPELLED = 4
+NUMBERS = re.compile(r"(?<![0-9])[0-9]+(?:\s+dot\s+[0-9]+){3}", re.I)
+AT_HOST = re.compile(
+    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(\s+at\s+)(?:[A-Za-z0-9-]+\.)+([A-Za-z]{2,24})(?![A-Za-z0-9])", re.I)
+AT_HINT = re.compile(r"\sat\s+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
+# words that stand before "at" in prose about a place, a site or a file
+AT_PROSE = frozenset("""
+    a about access again all am and any anyone anything are article available back based be been book breaks bug
+    but buy call called came check chat click code come contact contacts crash data details directly discuss
+    docs document documentation documents download downloads email emails error errors everyone exception failed
+    fails fault file files find found free from full go going good had happened has have he held help her here
+    him his home hosted info information is issue it job jobs join just laugh learn let like line link listed
+    live located login look looked looking looks mail me meet meeting meets message more my new news no not now
+    object offered office on one online only open or order our out page pages people point pointed posted
+    price project published reach read register request research researcher results reviewed run running sale
+    see she shop shown sign signed site sold source standing starts stay still stop store story team than that
+    the them then there these they this those time today together up us video view visit visited was we
+    website went were what where which who wiki work worked working works write you your
+""".split())
 
 
 def luhn(digits: str) -> bool:
@@ -156,7 +176,7 @@ def plain_character(match: re.Match):
 
 def spelled_digits(match: re.Match):
     parts = list(SPELLED_PART.finditer(match[0]))
-    if sum(p[0].lower() in DIGIT_WORDS for p in parts) < MIN_SPELLED:
+    if not any(p[0].lower() in DIGIT_WORDS for p in parts):
         return
     base, at = match.start(), 0
     for p in parts:
@@ -177,6 +197,11 @@ def bare(match: re.Match):
         yield match.start() + p.start(), match.start() + p.end(), "@" if p[1].lower() == "at" else "."
 
 
+def at_host(match: re.Match):
+    if match[1].lower() not in AT_PROSE and (match[3].islower() or match[3].isupper()):
+        yield match.start(2), match.end(2), "@"
+
+
 def find(text: str | None) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base) by start, then kind."""
     if not text:
@@ -191,6 +216,8 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
         rules.append((BRACKETED, bracketed))
     if rules or BARE_HINT.search(text):
         rules += [(NUMBERS, bare), (BARE, bare)]
+    if rules or AT_HINT.search(text):
+        rules.append((AT_HOST, at_host))
     spans = [(s, k, e, True) for s, k, e in base]
     if rules:
         tape = Tape(text)

@@ -68,3 +68,29 @@ def test_a_base_fragment_leaves_nothing_behind(spark):
         "doc_id long, text string")
     out = rows.select("doc_id", pii.redacted("text", pii.spans("text")).alias("text")).collect()
     assert {r["doc_id"]: r["text"] for r in out} == {1: "to <EMAIL>, <EMAIL>.", 2: "a <IP> b <PHONE>"}
+
+
+@pytest.mark.parametrize("text, kind, source", [
+    ("host 192 dot 168 dot zero dot one up", "ip", "192 dot 168 dot zero dot one"),
+    ("host 192 dot 168 dot 0 dot one up", "ip", "192 dot 168 dot 0 dot one"),
+    ("call +1 415 555 oh one two 3 now", "phone", "+1 415 555 oh one two 3"),
+    ("plus 1 five 5 five 1 two 3 four 5 six 7", "phone", "plus 1 five 5 five 1 two 3 four 5 six 7"),
+    ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+    ("mail jane at example.com now", "email", "jane at example.com"),
+    ("mail j.doe at mail.example.co.uk.", "email", "j.doe at mail.example.co.uk"),
+])
+def test_partly_spelled_runs_and_bare_at(text, kind, source):
+    assert (kind, source, False) in [(pii.KINDS[k], text[s:e], base) for s, k, e, base in pii.find(text)]
+
+
+@pytest.mark.parametrize("text", [
+    "meet at example.com", "look at github.com today", "Exception at com.foo.Bar", "jane at noon.The rest", "one of 3 two",
+    "from 10 to five, 3 dot one", "at 5 point two at 6.30", "at example.com", "works\nat www.example.org",
+])
+def test_prose_near_numbers_and_hosts_has_no_spans(text):
+    assert pii.find(text) == []
+
+
+def test_long_mixed_runs_stay_linear():
+    for text in ("one 1 " * 30_000, "a at " * 30_000 + "b.c", "1" + " " * 100_000 + "x one 1", "x at " + "a." * 50_000 + "1"):
+        assert all(e <= len(text) for _, _, e, _ in pii.find(text))
