@@ -7,9 +7,11 @@ import os
 from pyspark.sql import functions as F
 
 from newsgauge.llm import (
-    bpe, decontam, jaccard, pii, quality, quotes, secrets, sharding, token_counts, toxicity,
+    bpe, decontam, jaccard, line_dedup, periodic, pii, quality, quotes, secrets, sharding, token_counts, toxicity,
+    variants,
 )
 from newsgauge.llm.registry import QUERIES, SQL, query, table  # noqa: F401
+from newsgauge.llm.words import words as word_list
 from newsgauge.session import cut_lineage
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -180,3 +182,57 @@ def op2(spark, sf_dir):
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.Limit(3, 90, 100))
     return found.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT k.*, coalesce(k.doc_id < often.last, false) AS gone FROM k LEFT JOIN often ON often.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM v GROUP BY r, doc_id
+"""
+
+
+@query("op11_line_dedup", OP11_SQL)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs):
+    """doc_id, text; every tenth text by crc32 of its id is made periodic from some word on."""
+    words = word_list(F.coalesce(F.col("text"), F.lit("")))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    sized = cut.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = sized.withColumn("a", (F.col("g") % F.col("n")).cast("int")) \
+        .withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeat = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(repeat, " "))
+                         .otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    found = periodic.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # runs come by (start, period): of equal exponents the first stays
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda held, r: F.when(
+        r["length"] * held["period"] > held["length"] * r["period"], r).otherwise(held))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.spelling_groups(variants.vocabulary(docs, damaged=("doc_id", 97)))

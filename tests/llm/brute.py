@@ -75,3 +75,101 @@ def pii_base(text):
         if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
+
+
+def line_dedup(rows, least=20, documents=3):
+    """(id, lines, dropped lines, kept text) of (id, text) rows."""
+    key = lambda line: "".join(
+        chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, text in rows:
+        if i is not None:
+            for line in (text or "").split("\n"):
+                holders.setdefault(key(line), set()).add(i)
+    last = {k: max(v) for k, v in holders.items() if len(k) >= least and len(v) >= documents}
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if i is None or last.get(key(x), i) == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def runs_of(words):
+    n, out = len(words), {}
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(24, 3 * q):
+                out.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def periodic_runs(text):
+    words = WORD.findall(text or "")
+    runs = sorted(runs_of(words), key=lambda r: (r[0], r[2]))
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    return runs, " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def periodic_digest(doc_id, text):
+    import zlib
+    from fractions import Fraction
+
+    words = WORD.findall(text or "")
+    n, h = len(words), zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs, kept = periodic_runs(" ".join(words))
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    figures = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(runs), *figures, sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)), sha(kept))
+
+
+def damaged_vocabulary(rows):
+    import zlib
+
+    counts = {}
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            if len(run) >= 5:
+                counts[run] = counts.get(run, 0) + 1
+    return {w: n for w, n in counts.items() if n >= 3}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[k:] == b[k + 1:] if len(a) < len(b) else a[k + 1:] == b[k + 1:]
+
+
+def spelling_groups(counts):
+    """{word: (word, form, root, n, near words, count of the form)}"""
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 2 * counts[w]:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {w: (w, form.get(w), root(w), n, len(near[w]), counts.get(form.get(w))) for w, n in counts.items()}
