@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -47,15 +48,30 @@ def write_batch(df: DataFrame, path: str, batch: int, partition_by: Sequence[str
     writer.parquet(os.path.join(path, f"batch={batch:010d}"))
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Does the folder exist, wherever its file system is?"""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All batches with their number as column ``batch``.
+
+    With the rows' ``schema`` a table without rows can be read as well: a batch without rows leaves no file when it is
+    partitioned, and before the first batch there is no folder.
+    """
+    if schema is None:
+        return spark.read.parquet(path)
+    full = T.StructType([f for f in schema if f.name != "batch"] + [T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
 
 
 def read_latest(
-    spark: SparkSession, path: str, key: Sequence[str], within: Sequence[str] = ()
+    spark: SparkSession, path: str, key: Sequence[str], within: Sequence[str] = (),
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """The table after all batches: the newest batch wins per key, inside a batch the last by ``within``."""
-    return latest(read_batches(spark, path), key, ["batch", *within]).drop("batch")
+    return latest(read_batches(spark, path, schema), key, ["batch", *within]).drop("batch")
 
 
 def compact(

@@ -27,15 +27,18 @@ def article_stream(
     return reader.parquet(path)
 
 
+def tagged(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """What the ingest keeps of an article."""
+    return classify_articles(
+        articles, lexicon, include_matched_terms=False, keep=["id", "month", "source", "fetched_at"])
+
+
 def run_ingest(
     articles: DataFrame, table: str, checkpoint: str, lexicon: Lexicon = DEFAULT_LEXICON
 ) -> None:
     """Process everything available: tag each micro-batch and write it as one replaceable batch."""
     def save(batch: DataFrame, number: int) -> None:
-        tagged = classify_articles(
-            batch, lexicon, include_matched_terms=False, keep=["id", "month", "source", "fetched_at"]
-        )
-        write_batch(tagged, table, number, ["month"])
+        write_batch(tagged(batch, lexicon), table, number, ["month"])
 
     query = (
         articles.writeStream.foreachBatch(save)
@@ -46,9 +49,15 @@ def run_ingest(
     query.awaitTermination()
 
 
-def counts_of_table(spark: SparkSession, table: str) -> DataFrame:
-    """Monthly index counts of everything ingested so far, each id in its newest form."""
-    return index_counts(read_latest(spark, table, ["id"], ["fetched_at"]), ["month"])
+def counts_of_table(
+    spark: SparkSession, table: str, schema: T.StructType, lexicon: Lexicon = DEFAULT_LEXICON
+) -> DataFrame:
+    """Monthly index counts of everything ingested so far, each id in its newest form.
+
+    ``schema`` is that of the articles; a table without any row has no counts.
+    """
+    rows = tagged(spark.createDataFrame([], schema), lexicon).schema
+    return index_counts(read_latest(spark, table, ["id"], ["fetched_at"], rows), ["month"])
 
 
 def stream_month_counts(articles: DataFrame, table: str, checkpoint: str) -> None:
@@ -76,4 +85,4 @@ def ingest_folder(
         article_stream(spark, source, schema, max_files=max_files), table,
         os.path.join(work, "progress"), lexicon,
     )
-    return counts_of_table(spark, table)
+    return counts_of_table(spark, table, schema, lexicon)

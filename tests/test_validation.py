@@ -257,6 +257,15 @@ def test_late_articles_are_kept(spark, frame, tmp_path):
     assert list(_ingest(spark, frame, tmp_path, waves)) == [[(10, 0)], [(15, 0)], [(35, 20)]]
 
 
+def test_waves_without_rows_have_empty_counts(spark, frame, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "id string, title string, snippet string, source string, date date, month string, fetched_at timestamp"
+    folder = inc.ingest_folder(spark, str(tmp_path / "in"), inc.T.StructType.fromDDL(schema), str(tmp_path / "work"), Lexicon())
+    assert folder.count() == 0 and "cpu_reversal_count" in folder.columns
+    waves = [[], [], [("a", "risk", "2024-01-01")], [], [("a", "calm", "2024-02-01"), ("b", "risk", "2024-01-01")]]
+    assert list(_ingest(spark, frame, tmp_path, waves)) == [[], [], [(1, 1)], [(1, 1)], [(2, 1)]]
+
+
 def test_files_one_by_one_in_any_order(spark, frame, tmp_path):
     rows = [(f"d{k}", "calm", f"2024-0{1 + k * 5 % 9}-01") for k in range(16)]
     rows += [("d0", "risk", "2024-12-01"), ("d1", "risk", "2023-01-01")]
