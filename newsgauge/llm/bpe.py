@@ -2,8 +2,8 @@
 
 The vocabulary file's rules are followed: canonical composition, lower case character by character, words
 as runs of letters, single digits, English contractions and runs of other marks, bytes as letters,
-merges by rank inside a word, word ends marked. Pieces are counted over all rows; the at most
-LEXICON_WORDS most frequent words are merged once and compiled into a minimal acyclic transducer (see
+merges by rank inside a word, word ends marked. Words are counted over all rows; the at most
+LEXICON_WORDS most frequent words, of at most LEXICON_CHARS characters, are merged once and compiled into a minimal acyclic transducer (see
 lexicon.py), whose file is written to the shared folder, sent to every executor and memory-mapped
 there. Texts are cut at white space first, which no word crosses; a task looks the words of each distinct
 piece up in the transducer once, and merges words that it lacks exactly.
@@ -15,7 +15,6 @@ each; an empty table gives an empty result; other columns pass through ``encode`
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import os
@@ -34,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsgauge.llm.lexicon import Lexicon, build
-from newsgauge.session import scratch_path
+from newsgauge.session import cut_lineage, scratch_path
 
 LEXICON_WORDS = 20_000
-CHUNK_CHARS = 2 << 20
+LEXICON_CHARS = 64
+CHUNK_CHARS = 1 << 19
 COUNTER_WORDS = 200_000
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+REMEMBERED_CHARS = 8 << 20
 DECODED_ROWS = 1_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MATRIX_WORDS = 8_192
@@ -49,6 +50,7 @@ NEVER = 1 << 40
 SPACES = "\t-\r \x85" + "".join(
     map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
+BLANKS = re.compile(f"[{SPACES}]+")
 # in texts of these characters only, the letters are the ranges below, and the faster module will do
 UNCOMMON = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 LATIN = r"a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -174,11 +176,6 @@ class Vocabulary:
         return [self.ids[p] for p in parts if p in self.ids]
 
 
-@functools.lru_cache(4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 def split_words(text: str) -> list[str]:
     """The words of a text without special tokens."""
     text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -196,8 +193,8 @@ def pieces(text: str, words: Vocabulary) -> list[str]:
 
 
 def cut(text: str) -> list[str]:
-    """Pieces between white space; a text with separators that only Python counts as space is one piece."""
-    return [text] if SEPARATORS.search(text) else text.split()
+    """Pieces between white space; separators that only Python counts as space do not cut."""
+    return [p for p in BLANKS.split(text) if p] if SEPARATORS.search(text) else text.split()
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -236,19 +233,48 @@ def count_pieces(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words, put the file before all executors, return its name.
+def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(word, n) over all rows, for words of at most LEXICON_CHARS; special tokens are no words."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary(path)
+        for batch in batches:
+            seen: Counter = Counter()
+            for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word in pieces(piece, words):
+                    if word[0] != "\0" and len(word) <= LEXICON_CHARS:
+                        seen[word] += n
+            yield pa.RecordBatch.from_pydict(
+                {"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    The words are those of the 2 * size most frequent pieces, by the counts of these.
+    return count_pieces(docs, text_col).mapInArrow(split, "word string, n long") \
+        .groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, size: int) -> list[str]:
+    """The most frequent words, at most ``size``, most frequent first.
+
+    Counts fall into steps, 16 to each doubling; the highest steps that hold at most ``size`` words are taken, so that
+    only the steps' sizes and the words taken come to the driver. A step that alone holds more is left out.
     """
+    step = F.floor(F.log2(F.col("n")) * 16)
+    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    lowest, held = None, 0
+    for level, number in sizes:
+        held += number
+        if held > size:
+            break
+        lowest = level
+    if lowest is None:
+        return []
+    rows = counts.where(step >= lowest).collect()
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
+
+
+def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
+    """Compile the most frequent words of all rows, put the file before all executors, return its name."""
     spark = docs.sparkSession
-    frequent = count_pieces(docs, text_col).orderBy(F.desc("n"), "piece").limit(2 * size).collect()
+    chosen = frequent_words(cut_lineage(count_words(docs, path, text_col)), size)
     words = Vocabulary(path)
-    counts: Counter = Counter()
-    for row in frequent:
-        for word in pieces(row["piece"], words):
-            counts[word] += row["n"]
-    chosen = sorted((w for w in counts if w[0] != "\0"), key=lambda w: (-counts[w], w))[:size]
     content = build({w.encode(): ids for w, ids in zip(chosen, words.merge_all(chosen))})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -260,13 +286,11 @@ def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: in
     return name
 
 
-@functools.lru_cache(2)
-def opened(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
-
-
 class Encoder:
-    """Looks distinct pieces up once; what it remembers is bounded by REMEMBERED pieces."""
+    """Looks distinct pieces up once; it remembers at most REMEMBERED pieces of REMEMBERED_CHARS, and one chunk's.
+
+    An encoder lives as long as its task, so that nothing stays behind in a worker that other stages use.
+    """
 
     def __init__(self, words: Vocabulary, lexicon: Lexicon) -> None:
         self.words, self.lexicon = words, lexicon
@@ -274,6 +298,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -294,6 +319,7 @@ class Encoder:
         ids.update(zip(unseen, self.words.merge_all(unseen)))
         found = [[i for w in ws for i in ids[w]] for ws in split]
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.chars += sum(map(len, new))
         self.size = np.concatenate([self.size, np.array([len(i) for i in found], np.int64)])
         self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.int32)])
 
@@ -304,7 +330,7 @@ class Encoder:
         for text in texts:
             parts += cut(text)
             ends.append(len(parts))
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         new = [p for p in dict.fromkeys(parts) if p not in self.index]
         if new:
@@ -317,11 +343,6 @@ class Encoder:
         return before[np.array(ends, np.int64)], self.flat[gather]
 
 
-@functools.lru_cache(2)
-def encoder(path: str, lexicon: str) -> Encoder:
-    return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)))
-
-
 def text_of(ids: np.ndarray, words: Vocabulary) -> str:
     return " ".join(map(words.tokens.__getitem__, ids.tolist()))
 
@@ -340,10 +361,11 @@ def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", out
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = Vocabulary(path)
+        encoder = Encoder(words, Lexicon(SparkFiles.get(lexicon)))
         for batch in batches:
             for first, part in chunks(batch.column(width)):
-                ends, ids = encoder(path, lexicon).encode(part)
+                ends, ids = encoder.encode(part)
                 bounds = np.concatenate([[0], ends])
                 made = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
                 if more:
@@ -362,7 +384,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = Vocabulary(path)
         for batch in batches:
             for first in range(0, batch.num_rows, DECODED_ROWS):
                 rest = batch.slice(first, DECODED_ROWS)

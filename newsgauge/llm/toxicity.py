@@ -84,30 +84,30 @@ def fit_rows(columns: np.ndarray, starts: np.ndarray, k: int, y: np.ndarray, ste
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     params = [np.array([np.log(share / (1 - share))]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    sizes, order, whole = np.diff(starts), np.arange(n), None
-
-    def unfolded(rows: np.ndarray) -> np.ndarray:
-        x, size = np.zeros((len(rows), k), np.float32), sizes[rows]
-        at = np.repeat(starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        x[np.repeat(np.arange(len(rows)), size), columns[at]] = 1
-        return x
+    sizes, order = np.diff(starts), np.arange(n)
+    columns = columns.astype(np.int32)
 
     for step in range(1, steps + 1):
         bias, w, v = params
-        if n <= BATCH:
-            x, truth = whole if whole else (unfolded(order), y)
-            whole = x, truth
-        else:
+        batch = order
+        if n > BATCH:
             if len(order) < BATCH or step == 1:
                 order = rng.permutation(n) if step == 1 else np.concatenate([order, rng.permutation(n)])
-            x, truth, order = unfolded(order[:BATCH]), y[order[:BATCH]], order[BATCH:]
-        sums = x @ v.astype(np.float32)
-        raw = bias + x @ w.astype(np.float32) + (sums**2 - x @ (v * v).astype(np.float32)).sum(1) / 2
-        error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - truth).astype(np.float32)
+            batch, order = order[:BATCH], order[BATCH:]
+        # the batch's terms, row by row; memory follows the terms that are there, not rows times all terms
+        size = sizes[batch]
+        row = np.repeat(np.arange(len(batch)), size)
+        term = columns[np.repeat(starts[batch] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        per_row = lambda values: np.bincount(row, values, len(batch))
+        sums = np.stack([per_row(v[term, f]) for f in range(FACTORS)], 1)
+        raw = bias + per_row(w[term]) + (sums**2).sum(1) / 2 - per_row((v * v).sum(1)[term]) / 2
+        error = 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[batch]
+        mass = np.bincount(term, error[row], k)
+        joint = np.stack([np.bincount(term, (error * sums[:, f])[row], k) for f in range(FACTORS)], 1)
         grads = [
             np.array([error.mean()]),
-            x.T @ error / len(x) + decay[0] * w,
-            (x.T @ (error[:, None] * sums) - (x.T @ error)[:, None] * v) / len(x) + decay[1] * v,
+            mass / len(batch) + decay[0] * w,
+            (joint - mass[:, None] * v) / len(batch) + decay[1] * v,
         ]
         for p, g, a, b in zip(params, grads, first, second):
             a += 0.1 * (g - a)
@@ -177,13 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .join(F.broadcast(known), "_id").groupBy("_id", "_y") \
         .agg(F.array_distinct(F.flatten(F.collect_set(term_buckets(F.col("_t"))))).alias("_terms"))
     data = sample.orderBy("_id").select("_y", "_terms").toArrow().combine_chunks()
-    y = (data["_y"].to_numpy() > 0).astype(np.int64)
+    y = (data["_y"].to_numpy() > 0).astype(np.int32)
     n, pos = len(y), int(y.sum())
     if pos in (0, n):
         bias = 40.0 if pos else -40.0
         return Machine([], bias, np.zeros(0), np.zeros((0, FACTORS)))
     lists = data["_terms"].combine_chunks()
     buckets, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    columns = columns.astype(np.int32)
     starts = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
     k = len(buckets)
     m = np.bincount(columns, minlength=k).astype(float)
