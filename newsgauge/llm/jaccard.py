@@ -12,10 +12,10 @@ Equal sets are one node. All steps are exact for these sets:
 * Galaxies. Distances obey the triangle inequality: members of two stars that meet can only be linked if
   their pivots' distance is at most the limit plus both radii. Stars that near form a galaxy, and one of
   the pivots becomes its root; no link leaves a galaxy.
-* Answers derived from the root's. A member keeps only its difference from the root's set. Two members differ
-  by the difference of their differences, so they are joined on those short sets, again by a prefix of
-  their rarest hashes. Members whose differences together stay under the limit are both linked
-  with the root and need no comparison.
+* Answers derived from the root's. A member keeps only its difference from the root's set, and from that its
+  difference from what is usual in the galaxy: its own edits. Two members differ by the difference of their
+  differences, so they meet on those short sets, by a prefix of their rarest hashes. They meet representatives first, a
+  row per edit; only hashes that still lead to unlinked members are then joined. Components need no more links.
 
 Hashes in more than LIST_ROWS lists' entries go to the end of the order; their number is kept
 under FREQUENT_HASHES by raising that figure, which changes the order only, not the result.
@@ -336,9 +336,43 @@ def differ_little(size: Column, total: Column, limit: Limit) -> Column:
     return size * (limit.num + limit.den) <= total * (limit.den - limit.num)
 
 
+def recentred(deltas: DataFrame) -> DataFrame:
+    """The members' differences from their galaxy's usual set instead of its root's, the root among them.
+
+    The usual set differs from the root's by the hashes that more than half of the members differ in: the root's own
+    edits, which would otherwise stand in every difference. What remains are a member's own edits.
+    """
+    tokens = deltas.select("root", F.explode("delta").alias("hash"))
+    sizes = deltas.groupBy("root").agg(F.count("*").alias("members"), F.first("root_n").alias("root_n"))
+    usual = tokens.groupBy("root", "hash").agg(F.count("*").alias("rows")).join(sizes, "root") \
+        .where(2 * F.col("rows") > F.col("members") + 1).groupBy("root").agg(F.collect_list("hash").alias("shift"))
+    centres = cut_lineage(sizes.join(usual, "root", "left").select(
+        "root", "root_n", F.coalesce("shift", F.array().cast("array<bigint>")).alias("shift")))
+    own = deltas.join(centres.select("root", "shift"), "root").select("root", "node", "n", F.concat(
+        F.array_except("delta", "shift"), F.array_except("shift", "delta")).alias("delta"))
+    roots = centres.select("root", F.col("root").alias("node"), F.col("root_n").alias("n"), F.col("shift").alias("delta"))
+    return own.unionByName(roots)
+
+
+def linked(pairs: DataFrame, deltas: DataFrame, limit: Limit) -> DataFrame:
+    """Those of the pairs (a, b) of one galaxy whose sets are linked."""
+    side = lambda x: deltas.select(
+        F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("delta").alias(f"d{x}"))
+    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+        differ_little(differ, F.col("na") + F.col("nb"), limit)).select("a", "b")
+
+
 def member_links(deltas: DataFrame, limit: Limit) -> DataFrame:
-    """Links (a, b) between members of one galaxy other than its root."""
-    tokens = deltas.select("root", "node", "n", F.size("delta").alias("m"), F.explode("delta").alias("hash"))
+    """Links (a, b) that join the linked members of every galaxy; ``deltas`` come recentred.
+
+    Members meet their galaxy's hub first, the one with the least edits for its size. Those not linked with it
+    meet one representative of every hash among their leading edits, the member with the least edits beside it. That
+    takes a row per edit at most. Only hashes that still lead to members of different components, as far as
+    linked, are then joined member by member.
+    """
+    size = F.size("delta")
+    tokens = deltas.select("root", "node", "n", size.alias("m"), F.explode("delta").alias("hash"))
     counts = tokens.groupBy("root", "hash").agg(F.count("*").alias("rows"))
     share = (limit.den - limit.num) / (limit.den + limit.num)
     ranked = tokens.join(counts.where("rows > 1"), ["root", "hash"], "left").groupBy("root", "node", "n", "m").agg(
@@ -348,24 +382,37 @@ def member_links(deltas: DataFrame, limit: Limit) -> DataFrame:
     leading = cut_lineage(ranked.withColumn("most", most).select(
         "root", "node", "n", "m", "most", F.posexplode(F.slice("order", 1, (F.col("most") + 1).cast("int"))).alias("place", "o")
     ).where("o.rows > 1").select("root", "node", "n", "m", "most", "place", F.col("o.hash").alias("hash")))
+    least = F.min(F.struct("m", "node"))["node"].alias("b")
+    # members without a common edit are linked if and only if their weights add up to at most 0: then with the hub, too
+    weight = size * (limit.num + limit.den) - F.col("n") * (limit.den - limit.num)
+    hubs = deltas.select("root", "node", weight.alias("m")).groupBy("root").agg(least)
+    met = deltas.select("root", F.col("node").alias("a")).join(hubs, "root").select("a", "b").where("a <> b")
+    near = cut_lineage(linked(met, deltas, limit))
+    closed = near.select(F.col("a").alias("node")).union(hubs.select(F.col("b").alias("node")))
+    far = leading.join(closed, "node", "left_anti").select("root", "hash", F.col("node").alias("a"))
+    first = leading.groupBy("root", "hash").agg(least)
+    met = far.join(first, ["root", "hash"]).select("a", "b").where("a <> b").distinct()
+    near = cut_lineage(near.union(linked(met, deltas, limit)))
+    labelled = leading.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("root", "hash").agg(F.min("label").alias("one"), F.max("label").alias("other")) \
+        .where("one <> other").select("root", "hash")
+    left = cut_lineage(labelled.join(mixed, ["root", "hash"], "left_semi"))
     # the member with the shorter difference shares one of its first most / 2 + 1
-    one = leading.where("place <= most / 2 + 1e-9").select(
+    one = left.where("place <= most / 2 + 1e-9").select(
         "root", "hash", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"),
-        F.col("place").alias("pa"))
-    two = leading.select("root", "hash", F.col("node").alias("b"), F.col("n").alias("nb"),
-                         F.col("m").alias("mb"), F.col("place").alias("pb"))
+        F.col("place").alias("pa"), F.col("label").alias("la"))
+    two = left.select("root", "hash", F.col("node").alias("b"), F.col("n").alias("nb"),
+                      F.col("m").alias("mb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
     # (ma + mb - bound) / 2 hashes are shared, so before the first of them stand few in either
     total, longer = F.col("na") + F.col("nb"), F.col("mb") - F.col("ma")
-    met = one.join(two, ["root", "hash"]).where(
-        (F.struct("ma", "a") < F.struct("mb", "b"))
+    open_pairs = one.join(two, ["root", "hash"]).where(
+        (F.col("la") != F.col("lb"))
+        & (F.struct("ma", "a") < F.struct("mb", "b"))
         & differ_little(2 * F.col("pa") + longer, total, limit)
         & differ_little(2 * F.col("pb") - longer, total, limit)
         & (F.least("na", "nb") * limit.den >= F.greatest("na", "nb") * limit.num)
-    ).select("a", "b", "na", "nb", "ma", "mb").distinct()
-    delta = lambda x: deltas.select(F.col("node").alias(x), F.col("delta").alias(f"d{x}"))
-    common = F.size(F.array_intersect("da", "db"))
-    return met.join(delta("a"), "a").join(delta("b"), "b").where(
-        differ_little(F.col("ma") + F.col("mb") - 2 * common, F.col("na") + F.col("nb"), limit)).select("a", "b")
+    ).select("a", "b").distinct()
+    return near.union(linked(open_pairs, deltas, limit))
 
 
 def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "doc_id",
@@ -393,9 +440,7 @@ def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "d
     roots = members.where("node = root").select("root", F.col("text_hash").alias("root_hash"))
     members = members.where("node <> root").join(roots, "root")
     deltas = cut_lineage(differences(members, docs, limit, text_col))
-    links = deltas.where(differ_little(F.size("delta"), F.col("n") + F.col("root_n"), limit)).select(
-        F.col("node").alias("a"), F.col("root").alias("b")).union(member_links(deltas, limit))
-    labels = components(links)
+    labels = components(member_links(cut_lineage(recentred(deltas)), limit))
     named = labels.join(first_ids, "node")
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component"))
     grouped = named.join(lowest, "label").select("node", "component", "label")

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from newsgauge.llm import jaccard
@@ -93,6 +94,38 @@ def test_large_group_meets_pivots_only(spark):
     assert {r["component"] for r in jaccard.jaccard_components(frame, limit).collect()} == {0}
 
 
+@pytest.mark.parametrize("copies, edits", [(150, 3), (300, 9), (600, 4)])
+def test_links_grow_with_the_members(spark, copies, edits):
+    """Near copies of one text, with few edits or with so many that most are not linked with each other."""
+    rng = random.Random(copies + edits)
+    words = [f"w{k}" for k in range(300)]
+    limit, usual, sets = jaccard.Limit(3, 90, 100), set(), []
+    for k in range(copies):
+        text = list(words)
+        for place in rng.sample(range(300), edits if k else 0):
+            text[place] = f"x{k}-{place}"
+        sets.append({hash(tuple(text[j:j + 3])) for j in range(298)})
+    base = sets[copies // 2]
+    deltas = spark.createDataFrame(
+        [(-1, k, len(s), len(base), list(s ^ base)) for k, s in enumerate(sets) if k != copies // 2],
+        "root long, node long, n int, root_n int, delta array<long>").repartition(4)
+    links = jaccard.member_links(jaccard.recentred(deltas), limit)
+    assert links.count() <= 2 * copies
+    labels = {r["node"]: r["label"] for r in components(links).collect()}
+    sizes = sorted(Counter(labels.get(-1 if k == copies // 2 else k, ("alone", k)) for k in range(copies)).values())
+    low = list(range(copies))
+
+    def top(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in itertools.combinations(range(copies), 2):
+        if len(sets[a] & sets[b]) * limit.den >= limit.num * len(sets[a] | sets[b]):
+            low[max(top(a), top(b))] = min(top(a), top(b))
+    assert sizes == sorted(Counter(map(top, range(copies))).values())
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 100)] + [(500, k) for k in range(501, 560)] + [(7, 7), (900, 800)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
