@@ -1,4 +1,4 @@
-"""Small numeric helpers for one monthly series: tails of distributions and least squares.
+"""Small numeric helpers for one monthly series: tails of distributions.
 
 They see one group of a Spark job at a time, a few hundred numbers.
 """
@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-
 # MacKinnon's response surface for the unit-root test with a constant.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
 TAU_SMALL = (2.1659, 1.4412, 0.038269)
@@ -79,17 +77,3 @@ def f_tail(value: float, df1: float, df2: float) -> float:
     if not value > 0:
         return 1.0
     return beta_cdf(df2 / 2, df1 / 2, df2 / (df2 + df1 * value))
-
-
-def least_squares(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients and residual sum of squares."""
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    residual = y - x @ beta
-    return beta, float(residual @ residual)
-
-
-def lags(series: np.ndarray, order: int, n: int) -> np.ndarray:
-    """Columns series[t-1] .. series[t-order] for the last ``n`` positions t."""
-    end = len(series)
-    return np.column_stack([series[end - n - k: end - k] for k in range(1, order + 1)]) if order \
-        else np.empty((n, 0))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsgauge import fixed_values as fixed
 from newsgauge.functions import inference as inf
+from newsgauge.functions.gram import gram_sums, part, swept
+from newsgauge.functions.stats import series_window
 from newsgauge.operators.leadlag import cross_correlation, optimal_lag
 from newsgauge.operators.panel import difference
 from newsgauge.operators.stationarity import ALPHA, stationarity
@@ -21,55 +22,64 @@ from newsgauge.session import cut_lineage
 MAX_GRANGER_LAG = 4
 
 
-def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+def _lagged(panel: DataFrame, keys: Sequence[str], columns: Sequence[str], max_lag: int) -> DataFrame:
+    """(keys, pos, v0, v1, .., v0_1, ..): complete rows by month, centred per key, with their lags.
 
+    Centring leaves slopes and residuals alone and keeps the sums of products small.
+    """
+    rows = panel.dropna(subset=list(columns)).select(
+        *keys, "month", *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)])
+    centred = rows.select(*keys, "month", *[
+        (F.col(f"v{k}") - F.avg(f"v{k}").over(series_window(keys))).alias(f"v{k}") for k in range(len(columns))])
+    ordered = series_window(keys, ["month"])
+    return centred.select(
+        *keys, F.row_number().over(ordered).alias("pos"), *[f"v{k}" for k in range(len(columns))],
+        *[F.lag(f"v{k}", j).over(ordered).alias(f"v{k}_{j}")
+          for k in range(len(columns)) for j in range(1, max_lag + 1)])
 
-def granger_p_values(x: np.ndarray, y: np.ndarray, max_lag: int) -> list[float] | None:
-    """p-value of the F test that lags of x add nothing to lags of y, for every lag order."""
-    if np.ptp(x) == 0 or np.ptp(y) == 0:
-        return None
-    values = []
-    for lag in range(1, max_lag + 1):
-        n = len(y) - lag
-        own = np.column_stack([np.ones(n), inf.lags(y, lag, n)])
-        joint = np.column_stack([own, inf.lags(x, lag, n)])
-        target = y[-n:]
-        rss_own = inf.least_squares(target, own)[1]
-        rss_joint = inf.least_squares(target, joint)[1]
-        free = n - joint.shape[1]
-        values.append(inf.f_tail((rss_own - rss_joint) / rss_joint / lag * free, lag, free)
-                      if rss_joint > 0 else 0.0)
-    return values
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _f_tails(values: pd.Series, rows: pd.Series) -> pd.Series:
+    """p-value of the F value of each lag order, from 1."""
+    return pd.Series([
+        None if v is None else [inf.f_tail(f, p, n - 3 * p - 1) if math.isfinite(f) else 0.0 for p, f in enumerate(v, 1)]
+        for v, n in zip(values, rows)], dtype=object)
 
 
 def granger_panel(
     pairs: DataFrame, keys: Sequence[str], x: str = "s1", y: str = "s2",
     max_lag: int = MAX_GRANGER_LAG, alpha: float = ALPHA,
 ) -> DataFrame:
-    """Does x help to predict y? p-value per lag, the smallest one, and its first lag.
+    """Does x help to predict y? F and p-value per lag, the smallest p-value, and its first lag.
+
+    The products of all lags are summed per key in one aggregate, for every lag order on its own sample.
 
     A key needs 2 * max_lag + 24 joint rows; shorter or constant ones give NULL and False.
     """
-    rows = pairs.dropna(subset=[x, y]).select(
-        *keys, "month", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
+    lagged = _lagged(pairs, keys, [y, x], max_lag)
+    grams = lagged.groupBy(*keys).agg(
+        F.count("*").alias("n_observations"),
+        *[F.expr(f"max(v{k}) > min(v{k})").alias(f"varies{k}") for k in (0, 1)],
+        *[gram_sums(["1.0D", *[f"v0_{j}" for j in range(1, p + 1)], *[f"v1_{j}" for j in range(1, p + 1)], "v0"],
+                    f"pos > {p}").alias(f"gram{p}") for p in range(1, max_lag + 1)],
     )
-    required = 2 * max_lag + fixed.MIN_OBSERVATIONS
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        p = None
-        if len(pdf) >= required:
-            p = granger_p_values(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), max_lag)
-        return pd.DataFrame(
-            [[*[pdf[k].iloc[0] for k in keys], len(pdf), p]],
-            columns=[*keys, "n_observations", "pvalues"],
-        )
-
-    schema = f"{_key_fields(rows, keys)}, n_observations bigint, pvalues array<double>".lstrip(", ")
+    enough = (F.col("n_observations") >= 2 * max_lag + fixed.MIN_OBSERVATIONS) & F.col("varies0") & F.col("varies1")
+    solved = grams.select(*keys, "n_observations", enough.alias("enough"), *[
+        swept(F.col(f"gram{p}"), 1 + 2 * p)["corners"].alias(f"rss{p}") for p in range(1, max_lag + 1)
+    ])
+
+    def f_value(p: int) -> Column:
+        """Lags of the target stand before lags of the other series: both sums of squares come from one elimination."""
+        own, joint = F.get(f"rss{p}", F.lit(1 + p)), F.get(f"rss{p}", F.lit(1 + 2 * p))
+        free = F.col("n_observations") - (3 * p + 1)
+        return F.coalesce(F.try_divide((own - joint) * free, joint * p), F.lit(math.inf))
+
+    tested = solved.select(*keys, "n_observations", F.when(
+        F.col("enough"), F.array(*[f_value(p) for p in range(1, max_lag + 1)])).alias("f_statistics"))
+    tested = tested.withColumn("pvalues", _f_tails("f_statistics", F.col("n_observations").cast("long")))
     smallest = F.array_min("pvalues")
-    return rows.groupBy(*keys).applyInPandas(test, schema).select(
-        *keys, "n_observations", "pvalues",
+    return tested.select(
+        *keys, "n_observations", "f_statistics", "pvalues",
         smallest.alias("min_pvalue"),
         F.when(smallest.isNotNull(), F.array_position("pvalues", smallest).cast("int"))
         .alias("optimal_lag"),
@@ -101,30 +111,6 @@ def granger_bidirectional(
     )
 
 
-def fit_var(data: np.ndarray, max_lag: int) -> dict | None:
-    """Lag order by AIC on the sample common to all orders, then the fit on its own sample."""
-    total, k = data.shape
-
-    def fit(order: int, n: int) -> tuple[np.ndarray, float, float]:
-        parts = [np.ones((n, 1))] + [data[total - n - j: total - j] for j in range(1, order + 1)]
-        x, y = np.hstack(parts), data[total - n:]
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-        residual = y - x @ beta
-        sign, logdet = np.linalg.slogdet(residual.T @ residual / n)
-        free = order * k * k + k
-        if sign <= 0:
-            raise np.linalg.LinAlgError("singular residuals")
-        return beta, logdet + 2 * free / n, logdet + math.log(n) * free / n
-
-    try:
-        order = min(range(max_lag + 1), key=lambda p: (fit(p, total - max_lag)[1], p))
-        beta, aic, bic = fit(order, total - order)
-    except np.linalg.LinAlgError:
-        return None
-    matrices = [beta[1 + j * k: 1 + (j + 1) * k].T.tolist() for j in range(order)]
-    return {"order": order, "aic": aic, "bic": bic, "coefficients": matrices}
-
-
 def var_panel(
     panel: DataFrame, keys: Sequence[str], columns: Sequence[str], max_lag: int = MAX_GRANGER_LAG
 ) -> DataFrame:
@@ -135,27 +121,53 @@ def var_panel(
     missing = [c for c in columns if c not in panel.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    rows = panel.dropna(subset=list(columns)).select(
-        *keys, "month", *[F.col(c).cast("double").alias(c) for c in columns]
+    k = len(columns)
+    names = [[f"v{c}_{j}" for c in range(k)] for j in range(1, max_lag + 1)]
+    targets = [f"v{c}" for c in range(k)]
+    lagged = _lagged(panel, keys, columns, max_lag)
+    full = ["1.0D", *[n for row in names for n in row], *targets]
+    grams = lagged.groupBy(*keys).agg(
+        F.count("*").alias("n_observations"), gram_sums(full, f"pos > {max_lag}").alias("common"),
+        *[gram_sums(["1.0D", *[n for row in names[:p] for n in row], *targets], f"pos > {p}").alias(f"own{p}")
+          for p in range(max_lag + 1)],
     )
-    required = max_lag * len(columns) + fixed.MIN_OBSERVATIONS
-    schema = (
-        f"{_key_fields(rows, keys)}, n_observations bigint, fitted boolean, optimal_lag int, "
-        "aic double, bic double, coefficients string"
-    ).lstrip(", ")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        found = fit_var(pdf[list(columns)].to_numpy(), max_lag) if len(pdf) >= required else None
-        tail = [False, None, None, None, None] if found is None else [
-            True, found["order"], found["aic"], found["bic"], json.dumps(found["coefficients"])
-        ]
-        names = ["n_observations", "fitted", "optimal_lag", "aic", "bic", "coefficients"]
-        return pd.DataFrame(
-            [[*[pdf[k].iloc[0] for k in keys], len(pdf), *tail]], columns=[*keys, *names]
-        )
 
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    def logdet(matrix: Column, steps: Column | int, n: Column) -> Column:
+        """Log-determinant of the residual covariance: the pivots that the targets have after all regressors."""
+        pivots = swept(matrix, steps)["pivots"]
+        logs = F.transform(F.slice(pivots, -k, k), lambda v: F.log(v / n))
+        return F.aggregate(logs, F.lit(0.0), lambda total, v: total + v)
+
+    n = F.col("n_observations").cast("double")
+    parts = grams.select(*keys, "n_observations", *[f"own{p}" for p in range(max_lag + 1)], *[
+        part(F.col("common"), 1 + p * k, len(full), k).alias(f"nested{p}") for p in range(max_lag + 1)])
+    criteria = parts.select(*keys, "n_observations", *[f"own{p}" for p in range(max_lag + 1)], F.array(*[
+        logdet(F.col(f"nested{p}"), 1 + p * k + k, n - max_lag) + 2.0 * (p * k * k + k) / (n - max_lag)
+        for p in range(max_lag + 1)]).alias("criteria"))
+    usable = (F.col("n_observations") >= max_lag * k + fixed.MIN_OBSERVATIONS) \
+        & ~F.exists("criteria", lambda v: v.isNull())
+    chosen = criteria.select(
+        *keys, "n_observations", F.array(*[f"own{p}" for p in range(max_lag + 1)]).alias("own"),
+        F.when(usable, F.array_position("criteria", F.array_min("criteria")).cast("int") - 1).alias("optimal_lag"),
+    ).select(*keys, "n_observations", "optimal_lag", F.get("own", F.col("optimal_lag")).alias("own"))
+    rows = n - F.col("optimal_lag")
+    free = F.col("optimal_lag") * (k * k) + k
+    solved = chosen.select(
+        *keys, "n_observations", "optimal_lag", swept(F.col("own"), 1 + F.col("optimal_lag") * k)["m"].alias("beta"),
+        logdet(F.col("own"), 1 + F.col("optimal_lag") * k + k, rows).alias("logdet"), rows.alias("rows"),
+        free.alias("free"))
+    orders = F.when(F.col("optimal_lag") > 0, F.sequence(F.lit(0), F.col("optimal_lag") - 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    matrices = F.transform(orders, lambda j: F.array(*[
+        F.array(*[F.get(F.get("beta", 1 + j * k + b), 1 + F.col("optimal_lag") * k + a) for b in range(k)])
+        for a in range(k)]))
+    fitted = F.col("optimal_lag").isNotNull() & F.col("logdet").isNotNull()
+    return solved.select(
+        *keys, "n_observations", fitted.alias("fitted"),
+        F.when(fitted, F.col("optimal_lag")).alias("optimal_lag"),
+        F.when(fitted, F.col("logdet") + 2.0 * F.col("free") / F.col("rows")).alias("aic"),
+        F.when(fitted, F.col("logdet") + F.log("rows") * F.col("free") / F.col("rows")).alias("bic"),
+        F.when(fitted, F.to_json(matrices)).alias("coefficients"))
 
 
 def leadlag_report(

@@ -1,17 +1,17 @@
-"""Stationarity of many series at once: level test in SQL, unit-root test per series, verdicts."""
+"""Stationarity of many series at once: level test, unit-root test, verdicts, differencing."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsgauge import fixed_values as fixed
 from newsgauge.functions import inference as inf
+from newsgauge.functions.gram import gram_of, swept
 from newsgauge.functions.stats import series_window
 from newsgauge.operators.panel import difference
 from newsgauge.session import cut_lineage
@@ -95,71 +95,74 @@ def _kpss_p(stat: Column) -> Column:
     return F.when(stat.isNotNull(), value.otherwise(F.lit(p[-1])))
 
 
-def unit_root_test(y: np.ndarray) -> tuple[float, float, int, int] | None:
-    """Augmented regression with a constant; lag order by AIC on a common sample.
-
-    Returns statistic, p-value, lags used, observations used; None for a constant series.
-    """
-    if len(y) < 4 or np.ptp(y) == 0:
-        return None
-    most = min(len(y) // 2 - 2, math.ceil(12 * (len(y) / 100) ** 0.25))
-    if most < 0:
-        return None
-    step = np.diff(y)
-
-    def design(order: int, n: int) -> np.ndarray:
-        return np.column_stack([np.ones(n), y[-n - 1:-1], inf.lags(step, order, n)])
-
-    common = len(step) - most
-    target, full = step[-common:], design(most, common)
-
-    def aic(order: int) -> float:
-        rss = inf.least_squares(target, full[:, : order + 2])[1]
-        return common * math.log(max(rss, 1e-300) / common) + 2 * (order + 2)
-
-    order = min(range(most + 1), key=lambda k: (aic(k), k))
-    n = len(step) - order
-    x, target = design(order, n), step[-n:]
-    beta, rss = inf.least_squares(target, x)
-    spread = rss / (n - x.shape[1]) * np.linalg.pinv(x.T @ x)[1, 1]
-    if not spread > 0:
-        return None
-    tau = float(beta[1] / math.sqrt(spread))
-    return tau, inf.unit_root_p(tau), order, n
-
-
 def adf_panel(
     series: DataFrame, keys: Sequence[str], value: str = "value",
     min_rows: int = fixed.MIN_OBSERVATIONS,
 ) -> DataFrame:
-    """Unit-root test per key; keys with fewer than ``min_rows`` known values have no row."""
-    rows = series.where(F.col(value).isNotNull()).select(
-        *keys, "month", F.col(value).cast("double").alias("_v")
-    )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    schema += (
-        ", adf_statistic double, adf_pvalue double, adf_lags int, adf_nobs int, "
-        "adf_crit_1 double, adf_crit_5 double, adf_crit_10 double"
-    )
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("month")["_v"].to_numpy()
-        found = unit_root_test(y) if len(y) >= min_rows else None
-        if found is None:
-            row = [None] * 7
-            if len(y) < min_rows:
-                return pd.DataFrame(columns=[*keys, *STATS])
-        else:
-            n = found[3]
-            row = [*found, *[inf.unit_root_critical(c, n) for c in ("1%", "5%", "10%")]]
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *row]], columns=[*keys, *STATS])
-
-    return rows.groupBy(*keys).applyInPandas(test, schema.lstrip(", "))
+    """Unit-root test per key; keys with fewer than ``min_rows`` known values have no row.
 
-
-STATS = [
-    "adf_statistic", "adf_pvalue", "adf_lags", "adf_nobs", "adf_crit_1", "adf_crit_5", "adf_crit_10",
-]
+    Augmented regression of the steps on the level before, with a constant; the lag order has the least AIC on a
+    sample common to all orders. One elimination gives the sums of squares of all orders.
+    A series (one value per month) travels as an array. Constant series have NULL figures.
+    """
+    known = series.where(F.col(value).isNotNull()).select(*keys, "month", F.col(value).cast("double").alias("_v"))
+    packed = known.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("month", "_v"))), lambda s: s["_v"]).alias("ys"),
+        F.count("*").cast("int").alias("n"), F.avg("_v").alias("mean"), F.expr("max(_v) > min(_v)").alias("varies"),
+    ).where((F.col("n") >= min_rows))
+    most = F.least(F.floor(F.col("n") / 2).cast("int") - 2,
+                   F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))).cast("int"))
+    usable = F.col("varies") & (F.col("n") >= 4) & (most >= 0)
+    ready = packed.select(*keys, F.when(usable, most).alias("most"), "n",
+                          F.transform("ys", lambda v: v - F.col("mean")).alias("y"))
+    steps = ready.withColumn("step", F.zip_with(
+        F.slice("y", F.lit(2), F.col("n") - 1), F.slice("y", F.lit(1), F.col("n") - 1), lambda b, a: b - a))
+
+    def lag_columns(order: Column, first: Column, rows: Column) -> Column:
+        """step[t - 1] .. step[t - order] for ``rows`` positions t from ``first`` on."""
+        orders = F.when(order >= 1, F.sequence(F.lit(1), order)).otherwise(F.array().cast("array<int>"))
+        return F.transform(orders, lambda k: F.slice("step", first - k, rows))
+
+    ones = lambda rows: F.array_repeat(F.lit(1.0), rows)
+    rows = F.col("n") - 1 - F.col("most")
+    first = F.col("most") + 1
+    common = steps.withColumn("common", F.concat(
+        F.array(ones(rows), F.slice("y", first, rows)), lag_columns(F.col("most"), first, rows),
+        F.array(F.slice("step", first, rows))))
+    rss = common.withColumn("gram", gram_of(F.col("common"))).withColumn(
+        "rss", swept(F.col("gram"), F.col("most") + 2)["corners"])
+    criteria = F.transform(F.sequence(F.lit(0), F.col("most")), lambda k: (
+        rows * F.log(F.greatest(F.get("rss", k + 2), F.lit(1e-300)) / rows) + 2 * (k + 2)))
+    chosen = rss.withColumn("criteria", criteria).withColumn(
+        "adf_lags", F.array_position("criteria", F.array_min("criteria")).cast("int") - 1)
+    order = F.col("adf_lags")
+    own = chosen.select(*keys, "n", "step", "y", "adf_lags", (F.col("n") - 1 - order).alias("adf_nobs"))
+    own = own.withColumn("own", F.concat(
+        F.array(ones(F.col("adf_nobs"))), lag_columns(order, order + 1, F.col("adf_nobs")),
+        F.array(F.slice("y", order + 1, F.col("adf_nobs")), F.slice("step", order + 1, F.col("adf_nobs")))))
+    # the level stands behind constant and lags: what is left is a simple regression of the step on it
+    left = own.withColumn("gram", gram_of(F.col("own"))).select(
+        *keys, "adf_lags", "adf_nobs", swept(F.col("gram"), order + 1)["m"].alias("m"))
+    cell = lambda i, j: F.get(F.get("m", order + i), order + j)
+    slope = F.try_divide(cell(1, 2), cell(1, 1))
+    rest = cell(2, 2) - slope * cell(1, 2)
+    spread = F.try_divide(rest, (F.col("adf_nobs") - order - 2) * cell(1, 1))
+    tau = left.withColumn("adf_statistic", F.when(spread > 0, slope / F.sqrt(spread)))
+    held = F.col("adf_statistic").isNotNull()
+    n = F.col("adf_nobs").cast("double")
+
+    def critical(level: str) -> Column:
+        return F.when(held, sum((c / F.pow(n, F.lit(i)) for i, c in enumerate(inf.TAU_CRITICAL[level])), F.lit(0.0)))
+
+    return tau.select(
+        *keys, "adf_statistic", _unit_root_p("adf_statistic").alias("adf_pvalue"),
+        F.when(held, order).alias("adf_lags"), F.when(held, F.col("adf_nobs")).alias("adf_nobs"),
+        critical("1%").alias("adf_crit_1"), critical("5%").alias("adf_crit_5"), critical("10%").alias("adf_crit_10"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _unit_root_p(tau: pd.Series) -> pd.Series:
+    return tau.map(inf.unit_root_p, na_action="ignore")
 
 
 def stationarity(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from newsgauge.operators import causality as ca
@@ -324,9 +326,65 @@ def _(spark, sf):
     return rounded(st.kpss_panel(_outlet_series(spark, sf), ["outlet"]))
 
 
-@query("adf_panel")
+def eliminated(steps: str, size: str) -> str:
+    """Recursive CTE el(id, p, k, m): matrices of gram(id, p, m) after k pivots."""
+    return f"""el AS (
+  SELECT id, p, 0 AS k, m FROM gram
+  UNION ALL
+  SELECT id, p, k + 1, list_transform(range(1, {size} + 1), lambda i: CASE WHEN i = k + 1
+    THEN list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1])
+    ELSE list_transform(range(1, {size} + 1), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+  FROM el WHERE k < {steps})"""
+
+
+def gram_sql(rows: str) -> str:
+    """CTEs up to gram(id, p, m) from rows(id, p, v): v is the list of a row's regressors and targets."""
+    return f"""cells AS (
+  SELECT id, p, a.i, b.i AS j, sum(v[a.i] * v[b.i]) AS s FROM {rows}, (SELECT unnest(range(1, 40)) AS i) a,
+    (SELECT unnest(range(1, 40)) AS i) b WHERE a.i <= len(v) AND b.i <= len(v) GROUP BY id, p, a.i, b.i),
+lines AS (SELECT id, p, i, list(s ORDER BY j) AS line FROM cells GROUP BY id, p, i),
+gram AS (SELECT id, p, list(line ORDER BY i) AS m FROM lines GROUP BY id, p)"""
+
+
+def series_sql(columns: dict[str, str], source: str, key: str) -> str:
+    """CTE packed(id, n, <columns as sorted lists, centred>) of complete rows of source(key, month, ..)."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns.values())
+    centred = ", ".join(f"list({c} - mean_{name} ORDER BY month) AS {name}" for name, c in columns.items())
+    means = ", ".join(f"avg({c}) OVER (PARTITION BY {key}) AS mean_{name}" for name, c in columns.items())
+    return f"""complete AS (SELECT *, {means} FROM {source} WHERE {known}),
+packed AS (SELECT {key} AS id, count(*) AS n, {centred} FROM complete GROUP BY {key})"""
+
+
+# the steps d, their lags and the level before: orders 0 to most on a common sample, then the chosen one on its own
+ADF_SQL = "WITH RECURSIVE " + i.OUTLETS + f""",
+s AS (SELECT outlet, month, numerator / denominator AS v FROM panel),
+{series_sql({"y": "v"}, "s", "outlet")},
+st AS (SELECT *, least(n // 2 - 2, CAST(ceil(12 * (n / 100) ^ 0.25) AS INTEGER)) AS most,
+  list_transform(range(1, n), lambda t: y[t + 1] - y[t]) AS d FROM packed WHERE n >= 24 AND list_max(y) > list_min(y)),
+smp AS (SELECT id, most AS p, list_concat([1.0, y[t]], list_transform(range(1, most + 1), lambda k: d[t - k]), [d[t]]) AS v
+  FROM (SELECT *, unnest(range(most + 1, n)) AS t FROM st)),
+{gram_sql("smp")},
+{eliminated("p + 2", "(p + 3)")},
+crit AS (SELECT el.id, el.k - 2 AS lag, n - 1 - p AS c, (n - 1 - p) * ln(m[p + 3][p + 3] / (n - 1 - p)) + 2 * el.k AS aic
+  FROM el JOIN st ON st.id = el.id WHERE el.k >= 2),
+best AS (SELECT id, arg_min(lag, (aic, lag)) AS lag FROM crit GROUP BY id),
+smp2 AS (SELECT id, lag AS p, list_concat([1.0], list_transform(range(1, lag + 1), lambda k: d[t - k]), [y[t], d[t]]) AS v
+  FROM (SELECT st.*, lag, unnest(range(lag + 1, n)) AS t FROM st JOIN best ON best.id = st.id)),
+{gram_sql("smp2").replace("cells", "cells2").replace("lines", "lines2").replace("gram", "gram2")},
+{eliminated("p + 1", "(p + 3)").replace("el ", "el2 ").replace("gram", "gram2")},
+fin AS (SELECT el2.id, p AS lag, n - 1 - p AS nobs, m[p + 2][p + 2] AS ll, m[p + 2][p + 3] AS ly, m[p + 3][p + 3] AS yy
+  FROM el2 JOIN st ON st.id = el2.id WHERE k = p + 1)
+SELECT id AS outlet, CAST(lag AS INTEGER) AS adf_lags, CAST(nobs AS INTEGER) AS adf_nobs,
+  {r("(ly / ll) / sqrt((yy - ly * ly / ll) / (nobs - lag - 2) / ll)")} AS adf_statistic,
+  {r("-3.43035 - 6.5393 / nobs - 16.786 / nobs ** 2 - 79.433 / nobs ** 3")} AS adf_crit_1,
+  {r("-2.86154 - 2.8903 / nobs - 4.234 / nobs ** 2 - 40.040 / nobs ** 3")} AS adf_crit_5,
+  {r("-2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2")} AS adf_crit_10 FROM fin"""
+
+
+@query("adf_panel", ADF_SQL)
 def _(spark, sf):
-    return rounded(st.adf_panel(_outlet_series(spark, sf), ["outlet"]))
+    """Without the p-value, which is a function of the statistic that SQL lacks; tests hold it."""
+    return rounded(st.adf_panel(_outlet_series(spark, sf), ["outlet"]).drop("adf_pvalue"))
 
 
 @query("stationarity_verdict")
@@ -343,21 +401,109 @@ def _pairs(spark, sf):
     return ll.stack_pairs(i.panel(spark, sf), LEADLAG_PAIRS)
 
 
-@query("granger_panel")
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """P(F > f) for d1 = 1 to 4: the incomplete beta function I(d2 / 2, d1 / 2) by its finite recurrences."""
+    x, a = f"({d2} / ({d2} + {d1} * {f}))", f"({d2} / 2.0)"
+    base = f"(CASE WHEN {d2} % 2 = 0 THEN 1.0 ELSE 0.5 END)"
+    beta = lambda u, v: f"exp(lgamma({u}) + lgamma({v}) - lgamma({u} + {v}))"
+    first = f"(CASE WHEN {d2} % 2 = 0 THEN 1 - sqrt(1 - {x}) ELSE 2 / pi() * asin(sqrt({x})) END)"
+    half = f"({first} - coalesce(list_sum(list_transform(range(0, CAST({a} - {base} AS INTEGER)), lambda s: " \
+           f"{x} ** ({base} + s) * sqrt(1 - {x}) / (({base} + s) * {beta(f'({base} + s)', '0.5')}))), 0))"
+    return f"""(CASE {d1} WHEN 1 THEN {half} WHEN 2 THEN {x} ** {a} WHEN 4 THEN {x} ** {a} * (1 + {a} * (1 - {x}))
+      ELSE {half} + {x} ** {a} * sqrt(1 - {x}) / (0.5 * {beta(a, '0.5')}) END)"""
+
+
+def granger_sql(own: str, other: str) -> str:
+    """CTEs up to tst(id, n, fs, ps): F and p-value per lag order that ``other`` helps to predict ``own``."""
+    return f"""{PAIRS},
+{series_sql({"a": own, "b": other}, "pairs", "pair")},
+smp AS (SELECT id, p, list_concat([1.0], list_transform(range(1, p + 1), lambda k: a[t - k]),
+    list_transform(range(1, p + 1), lambda k: b[t - k]), [a[t]]) AS v
+  FROM (SELECT *, unnest(range(p + 1, n + 1)) AS t FROM packed, (SELECT unnest(range(1, 5)) AS p) WHERE n >= 32)),
+{gram_sql("smp")},
+{eliminated("2 * p + 1", "(2 * p + 2)")},
+rss AS (SELECT id, p, max(m[2 * p + 2][2 * p + 2]) FILTER (k = p + 1) AS r0, max(m[2 * p + 2][2 * p + 2]) FILTER (k = 2 * p + 1) AS r1
+  FROM el GROUP BY id, p),
+fval AS (SELECT rss.id, p, n, n - 3 * p - 1 AS free, (r0 - r1) * (n - 3 * p - 1) / (r1 * p) AS f FROM rss JOIN packed ON packed.id = rss.id),
+tst AS (SELECT id, n, p, f, {f_tail_sql("f", "p", "free")} AS pv FROM fval)"""
+
+
+GRANGER_ROWS = "WITH RECURSIVE " + i.PANEL + f",\n{granger_sql('s2', 's1')}\n"
+
+
+@query("granger_panel", GRANGER_ROWS + f"""
+SELECT id AS pair, n AS n_observations, {r('min(pv)')} AS min_pvalue, CAST(arg_min(p, (pv, p)) AS INTEGER) AS optimal_lag,
+  min(pv) < 0.05 AS granger_causes FROM tst GROUP BY id, n""")
 def _(spark, sf):
-    return rounded(ca.granger_panel(_pairs(spark, sf), ["pair"])).withColumn(
-        "pvalues", F.transform("pvalues", lambda p: F.round(p, 6))
-    )
+    return rounded(ca.granger_panel(_pairs(spark, sf), ["pair"]).drop("pvalues", "f_statistics"))
+
+
+@query("granger_by_lag", GRANGER_ROWS + f"""
+SELECT id AS pair, CAST(p AS INTEGER) AS lag, {r('f')} AS f_statistic, {r('pv')} AS pvalue FROM tst""")
+def _(spark, sf):
+    found = ca.granger_panel(_pairs(spark, sf), ["pair"])
+    return rounded(found.select("pair", F.posexplode(F.arrays_zip("f_statistics", "pvalues")).alias("at", "t")).select(
+        "pair", (F.col("at") + 1).alias("lag"), F.col("t.f_statistics").alias("f_statistic"),
+        F.col("t.pvalues").alias("pvalue")))
+
+
+def renamed(ctes: str, suffix: str) -> str:
+    """The same CTEs once more under other names."""
+    return re.sub(r"\b(complete|packed|smp|cells|lines|gram|el|rss|fval|tst)\b(?! ==)", rf"\1{suffix}", ctes)
+
 
+BACKWARD = renamed(granger_sql("s1", "s2").split(",\n", 1)[1], "_b")
 
-@query("granger_bidirectional")
+
+@query("granger_bidirectional", GRANGER_ROWS.rstrip() + f""",
+{BACKWARD},
+fw AS (SELECT id, min(pv) AS pv, arg_min(p, (pv, p)) AS lag FROM tst GROUP BY id),
+bw AS (SELECT id, min(pv) AS pv, arg_min(p, (pv, p)) AS lag FROM tst_b GROUP BY id)
+SELECT fw.id AS pair, fw.pv < 0.05 AS forward_causes, {r('fw.pv')} AS forward_pvalue, CAST(fw.lag AS INTEGER) AS forward_lag,
+  bw.pv < 0.05 AS backward_causes, {r('bw.pv')} AS backward_pvalue, CAST(bw.lag AS INTEGER) AS backward_lag,
+  CASE WHEN fw.pv < 0.05 AND bw.pv < 0.05 THEN 'bidirectional' WHEN fw.pv < 0.05 THEN 's1_causes_s2'
+       WHEN bw.pv < 0.05 THEN 's2_causes_s1' ELSE 'no_granger_causality' END AS relationship
+FROM fw JOIN bw ON fw.id = bw.id""")
 def _(spark, sf):
     return rounded(ca.granger_bidirectional(_pairs(spark, sf), ["pair"]))
 
 
-@query("var_panel")
+# orders 0 to 4 on the common sample for the choice (negative p), each on its own sample for the fit (p)
+VAR_ROWS = "WITH RECURSIVE " + i.PANEL + f""",
+{PAIRS},
+{series_sql({"a": "s1", "b": "s2"}, "pairs", "pair")},
+smp AS (SELECT id, p, list_concat([1.0], flatten(list_transform(range(1, o + 1), lambda k: [a[t - k], b[t - k]])), [a[t], b[t]]) AS v
+  FROM (SELECT *, CASE WHEN p < 0 THEN -p - 1 ELSE p END AS o, unnest(range(CASE WHEN p < 0 THEN 5 ELSE p + 1 END, n + 1)) AS t
+        FROM packed, (SELECT unnest(range(-5, 5)) AS p) WHERE n >= 32)),
+{gram_sql("smp")},
+{eliminated("len(m)", "len(m)")},
+pv AS (SELECT id, p, sum(ln(m[k + 1][k + 1])) AS logs FROM el WHERE k >= len(m) - 2 AND k < len(m) GROUP BY id, p),
+crit AS (SELECT pv.id, p, CASE WHEN p < 0 THEN -p - 1 ELSE p END AS o, logs, n - CASE WHEN p < 0 THEN 4 ELSE p END AS rows
+  FROM pv JOIN packed ON packed.id = pv.id),
+ic AS (SELECT *, logs - 2 * ln(rows) AS logdet, 4 * o + 2 AS free FROM crit),
+best AS (SELECT id, arg_min(o, (logdet + 2 * free / rows, o)) AS o FROM ic WHERE p < 0 GROUP BY id)
+"""
+
+
+@query("var_panel", VAR_ROWS + f"""
+SELECT ic.id AS pair, n AS n_observations, true AS fitted, CAST(ic.o AS INTEGER) AS optimal_lag,
+  {r('logdet + 2 * free / rows')} AS aic, {r('logdet + ln(rows) * free / rows')} AS bic
+FROM ic JOIN best ON best.id = ic.id AND best.o = ic.p JOIN packed ON packed.id = ic.id""")
+def _(spark, sf):
+    return rounded(ca.var_panel(_pairs(spark, sf), ["pair"], ["s1", "s2"]).drop("coefficients"))
+
+
+@query("var_coefficients", VAR_ROWS + f"""
+SELECT el.id AS pair, CAST(lag AS INTEGER) AS lag, CAST(eq AS INTEGER) AS equation, CAST(var AS INTEGER) AS variable,
+  {r('m[2 * lag + var - 1][len(m) - 2 + eq]')} AS coefficient
+FROM el JOIN best ON best.id = el.id AND best.o = el.p, (SELECT unnest([1, 2]) AS eq), (SELECT unnest([1, 2]) AS var),
+  (SELECT unnest(range(1, 5)) AS lag) WHERE lag <= o AND el.k = len(m) - 2""")
 def _(spark, sf):
-    return rounded(ca.var_panel(_pairs(spark, sf), ["pair"], ["s1", "s2"]))
+    found = ca.var_panel(_pairs(spark, sf), ["pair"], ["s1", "s2"])
+    rows = found.select("pair", F.posexplode(F.from_json("coefficients", "array<array<array<double>>>")).alias("lag", "m"))
+    rows = rows.select("pair", "lag", F.posexplode("m").alias("equation", "line"))
+    rows = rows.select("pair", "lag", "equation", F.posexplode("line").alias("variable", "coefficient"))
+    return rounded(rows.select("pair", *[(F.col(c) + 1).alias(c) for c in ("lag", "equation", "variable")], "coefficient"))
 
 
 @query("leadlag_report")

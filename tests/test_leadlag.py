@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import math
 import random
 
@@ -11,6 +12,7 @@ from newsgauge.operators import causality as ca
 from newsgauge.operators import leadlag as ll
 from newsgauge.operators import sector as sc
 from newsgauge.operators import stationarity as st
+import plain_series as ps
 
 
 def month(k):
@@ -101,7 +103,7 @@ def test_critical_values():
 def test_unit_root_regression_without_lags():
     """With no lag terms the statistic is the t value of a simple regression of steps on levels."""
     y = noise(4, 400)
-    tau, p, order, n = st.unit_root_test(y)
+    tau, p, order, n = ps.unit_root_test(y)
     step, level = np.diff(y)[order:], y[order:-1]
     if order == 0:
         slope, intercept = np.polyfit(level, step, 1)
@@ -109,7 +111,7 @@ def test_unit_root_regression_without_lags():
         error = math.sqrt(residual @ residual / (n - 2) / ((level - level.mean()) ** 2).sum())
         assert tau == pytest.approx(slope / error)
     assert p < 0.01
-    assert st.unit_root_test(np.ones(50)) is None
+    assert ps.unit_root_test(np.ones(50)) is None
 
 
 def test_verdicts(frame):
@@ -147,7 +149,7 @@ def test_granger_f_by_hand():
     joint = np.c_[own, x[:-1]]
     rss = [np.linalg.lstsq(m, target, rcond=None)[1][0] for m in (own, joint)]
     f = (rss[0] - rss[1]) / (rss[1] / 36)
-    assert ca.granger_p_values(x, y, 1)[0] == pytest.approx(inf.f_tail(f, 1, 36))
+    assert ps.granger_p_values(x, y, 1)[0] == pytest.approx(inf.f_tail(f, 1, 36))
 
 
 def test_var_recovers_coefficients(frame):
@@ -156,7 +158,7 @@ def test_var_recovers_coefficients(frame):
     for _ in range(1500):
         data.append(a @ data[-1] + rng.normal(size=2))
     data = np.array(data)
-    found = ca.fit_var(data, 4)
+    found = ps.fit_var(data, 4)
     # AIC may keep a superfluous lag, but never drops the true one
     assert found["order"] >= 1
     assert np.allclose(found["coefficients"][0], a, atol=0.08)
@@ -167,6 +169,40 @@ def test_var_recovers_coefficients(frame):
         ca.var_panel(df, ["g"], ["s1", "nope"])
 
 
+def test_panels_equal_direct_computations(frame):
+    rng = np.random.default_rng(21)
+    sets = {}
+    for k in range(12):
+        x = rng.normal(size=60 + 7 * k).cumsum() if k % 3 == 0 else rng.normal(size=60 + 7 * k)
+        y = np.r_[0.0, 0.5 * x[:-1]] + rng.normal(size=len(x)) + (1e4 if k % 4 == 1 else 0)
+        sets[f"k{k}"] = (x, y)
+    df = pairs(frame, sets)
+    granger = {r["g"]: r for r in ca.granger_panel(df, ["g"]).collect()}
+    adf = {r["g"]: r for r in st.adf_panel(df, ["g"], "s2").collect()}
+    var = {r["g"]: r for r in ca.var_panel(df, ["g"], ["s1", "s2"]).collect()}
+    for g, (x, y) in sets.items():
+        assert granger[g]["pvalues"] == pytest.approx(ps.granger_p_values(x, y, 4), abs=1e-9)
+        tau, p, order, n = ps.unit_root_test(y)
+        assert (adf[g]["adf_lags"], adf[g]["adf_nobs"]) == (order, n)
+        assert (adf[g]["adf_statistic"], adf[g]["adf_pvalue"]) == pytest.approx((tau, p), abs=1e-8)
+        assert adf[g]["adf_crit_5"] == pytest.approx(inf.unit_root_critical("5%", n))
+        found = ps.fit_var(np.c_[x, y], 4)
+        assert (var[g]["optimal_lag"], var[g]["fitted"]) == (found["order"], True)
+        assert (var[g]["aic"], var[g]["bic"]) == pytest.approx((found["aic"], found["bic"]), abs=1e-8)
+        assert np.allclose(json.loads(var[g]["coefficients"]), found["coefficients"], atol=1e-7)
+
+
+def test_series_that_explain_each_other(frame):
+    """Redundant columns are skipped: a doubled series, a straight line, a periodic series."""
+    x = noise(30, 80)
+    df = pairs(frame, {"double": (x, 2 * x), "line": (np.arange(80.0), x), "wave": (np.arange(80) % 2 * 1.0, x)})
+    granger = {r["g"]: r for r in ca.granger_panel(df, ["g"]).collect()}
+    assert granger["double"]["pvalues"] is not None and not granger["double"]["granger_causes"]
+    assert ca.granger_panel(df, ["g"]).where("exists(pvalues, p -> p is null or p < 0 or p > 1)").count() == 0
+    assert not {r["g"]: r["fitted"] for r in ca.var_panel(df, ["g"], ["s1", "s2"]).collect()}["double"]
+    assert st.adf_panel(df, ["g"], "s1").count() == 3
+
+
 def test_report(frame):
     x = noise(12, 120)
     df = pairs(frame, {"a": (x, np.r_[0.0, x[:-1]] + 0.2 * noise(13, 120)), "short": (x[:10], x[:10]),
