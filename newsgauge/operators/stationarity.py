@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,7 +14,6 @@ from newsgauge import fixed_values as fixed
 from newsgauge.functions import inference as inf
 from newsgauge.functions.gram import gram_of, swept
 from newsgauge.functions.stats import series_window
-from newsgauge.operators.panel import difference
 from newsgauge.session import cut_lineage
 
 ALPHA = 0.05
@@ -192,39 +192,66 @@ def stationarity(
     )
 
 
-def make_stationary(
-    series: DataFrame, keys: Sequence[str], value: str = "value", max_differences: int = 2,
-    alpha: float = ALPHA, min_rows: int = fixed.MIN_OBSERVATIONS,
+def differencing_ladder(
+    series: DataFrame, keys: Sequence[str], value: str = "value", max_differences: int = 2
 ) -> DataFrame:
-    """Smallest order of differencing that needs no more, per key.
+    """(keys, month, ladder): differences of order 0, 1, .. of each value, shorter where earlier values lack.
 
-    All orders are tested together. The search ends early at an order that is too short or
-    cannot be tested; the last order is the best effort.
+    The difference of order k is the alternating sum of k + 1 neighbours with binomial weights, so one window gives
+    all orders.
     """
-    levels = cut_lineage(series.where(F.col(value).isNotNull()).select(
-        *keys, "month", F.col(value).cast("double").alias("value")
-    ))
-    orders = None
-    for d in range(max_differences + 1):
-        differenced = difference(levels, ["value"], d, keys).withColumn("d", F.lit(d))
-        orders = differenced if orders is None else orders.unionByName(differenced)
+    ordered = series_window(keys, ["month"])
+    known = series.where(F.col(value).isNotNull()).select(*keys, "month", F.col(value).cast("double").alias("v0"))
+    back = known.select(*keys, "month", "v0", *[
+        F.lag("v0", k).over(ordered).alias(f"v{k}") for k in range(1, max_differences + 1)])
+    orders = [sum(((-1) ** j * math.comb(d, j) * F.col(f"v{j}") for j in range(1, d + 1)), F.col("v0"))
+              for d in range(max_differences + 1)]
+    return back.select(*keys, "month", F.array_compact(F.array(*orders)).alias("ladder"))
+
+
+def _ladder_ends(
+    ladder: DataFrame, keys: Sequence[str], max_differences: int, alpha: float, min_rows: int
+) -> DataFrame:
+    """(keys, original_length, final_length, differences, is_stationary): where each series leaves the ladder."""
+    orders = ladder.select(*keys, "month", F.posexplode("ladder").alias("d", "value"))
     sizes = orders.groupBy(*keys, "d").agg(F.count("*").alias("final_length"))
     verdicts = stationarity(orders, [*keys, "d"], "value", alpha, min_rows).select(
-        *keys, "d", "differencing_needed"
-    )
+        *keys, "d", "differencing_needed")
     tested = sizes.join(verdicts, [*keys, "d"], "left")
     passed = F.coalesce(~F.col("differencing_needed"), F.lit(False))
     stops = passed | (F.col("d") == max_differences) | (
         (F.col("d") > 0) & F.col("differencing_needed").isNull()
     )
-    ended = tested.where(stops).groupBy(*keys).agg(
-        F.min_by(F.struct("d", "final_length", passed.alias("ok")), F.col("d")).alias("_end")
-    )
-    length = sizes.where("d = 0").select(*keys, F.col("final_length").alias("original_length"))
-    return ended.join(length, list(keys)).select(
-        *keys,
-        "original_length",
-        F.col("_end.final_length").alias("final_length"),
-        F.col("_end.d").alias("differences_applied"),
-        F.col("_end.ok").alias("is_stationary"),
-    )
+    ended = tested.groupBy(*keys).agg(
+        F.max(F.when(F.col("d") == 0, F.col("final_length"))).alias("original_length"),
+        F.min_by(F.struct("d", "final_length", passed.alias("ok")), F.when(stops, F.col("d"))).alias("_end"),
+    ).where("_end IS NOT NULL")
+    return ended.select(
+        *keys, "original_length", F.col("_end.final_length").alias("final_length"),
+        F.col("_end.d").alias("differences"), F.col("_end.ok").alias("is_stationary"))
+
+
+def make_stationary(
+    series: DataFrame, keys: Sequence[str], value: str = "value", max_differences: int = 2,
+    alpha: float = ALPHA, min_rows: int = fixed.MIN_OBSERVATIONS,
+) -> DataFrame:
+    """Smallest order of differencing that needs no more, per key.
+
+    All orders are tested together. The search ends early at an order that is too short or
+    cannot be tested; the last order is the best effort. ``stationary_series`` returns the values.
+    """
+    ladder = cut_lineage(differencing_ladder(series, keys, value, max_differences))
+    return _ladder_ends(ladder, keys, max_differences, alpha, min_rows).withColumnRenamed(
+        "differences", "differences_applied")
+
+
+def stationary_series(
+    series: DataFrame, keys: Sequence[str], value: str = "value", max_differences: int = 2,
+    alpha: float = ALPHA, min_rows: int = fixed.MIN_OBSERVATIONS,
+) -> DataFrame:
+    """(keys, month, differences, value): every series at the order that ``make_stationary`` ends with."""
+    ladder = cut_lineage(differencing_ladder(series, keys, value, max_differences))
+    ends = _ladder_ends(ladder, keys, max_differences, alpha, min_rows).select(*keys, "differences")
+    return ladder.join(ends, list(keys)).select(
+        *keys, "month", "differences", F.get("ladder", F.col("differences")).alias("value")
+    ).where("value IS NOT NULL")

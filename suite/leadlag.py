@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from newsgauge.functions import inference as inf
 from newsgauge.operators import causality as ca
 from newsgauge.operators import leadlag as ll
 from newsgauge.operators import sector as sc
@@ -301,9 +302,9 @@ def _outlet_series(spark, sf):
     )
 
 
-@query("kpss_panel", i.with_(i.OUTLETS) + f""",
-s AS (SELECT outlet, month, numerator / denominator AS v FROM panel),
-d AS (SELECT outlet, month, v - avg(v) OVER (PARTITION BY outlet) AS e, count(*) OVER (PARTITION BY outlet) AS n,
+OUTLET_SERIES = i.OUTLETS + """,
+s AS (SELECT outlet, month, numerator / denominator AS v FROM panel)"""
+KPSS_CTES = """d AS (SELECT outlet, month, v - avg(v) OVER (PARTITION BY outlet) AS e, count(*) OVER (PARTITION BY outlet) AS n,
       row_number() OVER (PARTITION BY outlet ORDER BY month) AS pos FROM s),
 wk AS (SELECT *, sum(e) OVER (PARTITION BY outlet ORDER BY pos) AS walk FROM d WHERE n >= 24),
 g AS (SELECT outlet, any_value(n) AS n, sum(walk * walk) AS w2, sum(e * e) AS e2 FROM wk GROUP BY outlet),
@@ -317,7 +318,11 @@ bw AS (SELECT *, least(floor(1.1447 * ((s1 / s0) ^ 2) ^ (1 / 3) * n ^ (1 / 3)),
 var AS (SELECT bw.outlet, any_value(bw.n) AS n, any_value(l) AS l, any_value(w2) AS w2,
         (any_value(e2) + 2 * sum(CASE WHEN k <= l THEN c * (1 - k / (l + 1)) ELSE 0 END)) / any_value(bw.n) AS s2
         FROM bw JOIN cv ON bw.outlet = cv.outlet GROUP BY bw.outlet),
-res AS (SELECT outlet, n, l, w2 / (n * n) / s2 AS stat FROM var)
+res AS (SELECT outlet, n, l, w2 / (n * n) / s2 AS stat FROM var)"""
+
+
+@query("kpss_panel", "WITH " + OUTLET_SERIES + f""",
+{KPSS_CTES}
 SELECT outlet, n, CAST(l AS INTEGER) AS kpss_lags, {r('stat')} AS kpss_statistic,
   {r('''CASE WHEN stat <= 0.347 THEN 0.10 WHEN stat <= 0.463 THEN 0.10 - (stat - 0.347) * 0.05 / 0.116
         WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) * 0.025 / 0.111
@@ -356,9 +361,7 @@ packed AS (SELECT {key} AS id, count(*) AS n, {centred} FROM complete GROUP BY {
 
 
 # the steps d, their lags and the level before: orders 0 to most on a common sample, then the chosen one on its own
-ADF_SQL = "WITH RECURSIVE " + i.OUTLETS + f""",
-s AS (SELECT outlet, month, numerator / denominator AS v FROM panel),
-{series_sql({"y": "v"}, "s", "outlet")},
+ADF_CTES = f"""{series_sql({"y": "v"}, "s", "outlet")},
 st AS (SELECT *, least(n // 2 - 2, CAST(ceil(12 * (n / 100) ^ 0.25) AS INTEGER)) AS most,
   list_transform(range(1, n), lambda t: y[t + 1] - y[t]) AS d FROM packed WHERE n >= 24 AND list_max(y) > list_min(y)),
 smp AS (SELECT id, most AS p, list_concat([1.0, y[t]], list_transform(range(1, most + 1), lambda k: d[t - k]), [d[t]]) AS v
@@ -373,12 +376,15 @@ smp2 AS (SELECT id, lag AS p, list_concat([1.0], list_transform(range(1, lag + 1
 {gram_sql("smp2").replace("cells", "cells2").replace("lines", "lines2").replace("gram", "gram2")},
 {eliminated("p + 1", "(p + 3)").replace("el ", "el2 ").replace("gram", "gram2")},
 fin AS (SELECT el2.id, p AS lag, n - 1 - p AS nobs, m[p + 2][p + 2] AS ll, m[p + 2][p + 3] AS ly, m[p + 3][p + 3] AS yy
-  FROM el2 JOIN st ON st.id = el2.id WHERE k = p + 1)
+  FROM el2 JOIN st ON st.id = el2.id WHERE k = p + 1),
+adf AS (SELECT *, (ly / ll) / sqrt((yy - ly * ly / ll) / (nobs - lag - 2) / ll) AS tau FROM fin)"""
+ADF_SQL = "WITH RECURSIVE " + OUTLET_SERIES + f""",
+{ADF_CTES}
 SELECT id AS outlet, CAST(lag AS INTEGER) AS adf_lags, CAST(nobs AS INTEGER) AS adf_nobs,
-  {r("(ly / ll) / sqrt((yy - ly * ly / ll) / (nobs - lag - 2) / ll)")} AS adf_statistic,
+  {r("tau")} AS adf_statistic,
   {r("-3.43035 - 6.5393 / nobs - 16.786 / nobs ** 2 - 79.433 / nobs ** 3")} AS adf_crit_1,
   {r("-2.86154 - 2.8903 / nobs - 4.234 / nobs ** 2 - 40.040 / nobs ** 3")} AS adf_crit_5,
-  {r("-2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2")} AS adf_crit_10 FROM fin"""
+  {r("-2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2")} AS adf_crit_10 FROM adf"""
 
 
 @query("adf_panel", ADF_SQL)
@@ -387,16 +393,66 @@ def _(spark, sf):
     return rounded(st.adf_panel(_outlet_series(spark, sf), ["outlet"]).drop("adf_pvalue"))
 
 
-@query("stationarity_verdict")
+def unit_root_limit(alpha: float = 0.05) -> float:
+    """The statistic whose p-value is alpha; the p-value rises with it."""
+    low, high = inf.TAU_MIN, inf.TAU_MAX
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inf.unit_root_p(middle) < alpha else (low, middle)
+    return high
+
+
+# a level test's p-value is at least 0.05 up to its statistic's critical value
+VERDICT_CTES = f"""verdict AS (SELECT res.outlet, res.n, stat, CAST(l AS INTEGER) AS l, lag, nobs, tau,
+  tau < {unit_root_limit()!r} AS adf_ok, stat <= 0.463 AS kpss_ok
+  FROM res LEFT JOIN adf ON adf.id = res.outlet)"""
+
+
+@query("stationarity_verdict", "WITH RECURSIVE " + OUTLET_SERIES + f""",
+{KPSS_CTES},
+{ADF_CTES},
+{VERDICT_CTES}
+SELECT outlet, n, {r('stat')} AS kpss_statistic, l AS kpss_lags, {r('tau')} AS adf_statistic, CAST(lag AS INTEGER) AS adf_lags,
+  CAST(nobs AS INTEGER) AS adf_nobs, adf_ok AS adf_stationary, kpss_ok AS kpss_stationary,
+  CASE WHEN adf_ok AND kpss_ok THEN 'stationary' WHEN NOT adf_ok AND NOT kpss_ok THEN 'non_stationary'
+       WHEN adf_ok AND NOT kpss_ok THEN 'trend_stationary' WHEN NOT adf_ok AND kpss_ok THEN 'inconclusive' END AS conclusion,
+  NOT kpss_ok AS differencing_needed FROM verdict""")
 def _(spark, sf):
-    return rounded(st.stationarity(_outlet_series(spark, sf), ["outlet"]))
+    found = st.stationarity(_outlet_series(spark, sf), ["outlet"])
+    return rounded(found.drop("adf_pvalue", "kpss_pvalue", "adf_crit_1", "adf_crit_5", "adf_crit_10"))
+
+
+# all orders of all series as series of their own, then the first order that the tests accept, else the last
+LADDER = "WITH RECURSIVE " + OUTLET_SERIES.replace("s AS (", "raw AS (") + f""",
+d1 AS (SELECT outlet, month, v - lag(v) OVER (PARTITION BY outlet ORDER BY month) AS v FROM raw QUALIFY row_number() OVER (PARTITION BY outlet ORDER BY month) > 1),
+d2 AS (SELECT outlet, month, v - lag(v) OVER (PARTITION BY outlet ORDER BY month) AS v FROM d1 QUALIFY row_number() OVER (PARTITION BY outlet ORDER BY month) > 1),
+s AS (SELECT outlet || '/0' AS outlet, month, v FROM raw UNION ALL SELECT outlet || '/1', month, v FROM d1
+      UNION ALL SELECT outlet || '/2', month, v FROM d2),
+{KPSS_CTES},
+{ADF_CTES},
+{VERDICT_CTES},
+sizes AS (SELECT split_part(outlet, '/', 1) AS name, CAST(split_part(outlet, '/', 2) AS INTEGER) AS ord, outlet, count(*) AS length FROM s GROUP BY outlet),
+stops AS (SELECT sizes.*, coalesce(adf_ok IS NOT NULL AND kpss_ok, false) AS ok FROM sizes LEFT JOIN verdict ON verdict.outlet = sizes.outlet
+          WHERE coalesce(adf_ok IS NOT NULL AND kpss_ok, false) OR ord = 2 OR (ord > 0 AND (adf_ok IS NULL OR kpss_ok IS NULL))),
+picked AS (SELECT name, min(ord) AS ord FROM stops GROUP BY name)
+"""
 
 
-@query("make_stationary")
+@query("make_stationary", LADDER + """
+SELECT picked.name AS outlet, o.length AS original_length, stops.length AS final_length, picked.ord AS differences_applied,
+  ok AS is_stationary FROM picked JOIN stops ON stops.name = picked.name AND stops.ord = picked.ord
+  JOIN sizes o ON o.name = picked.name AND o.ord = 0""")
 def _(spark, sf):
     return rounded(st.make_stationary(_outlet_series(spark, sf), ["outlet"]))
 
 
+@query("stationary_series", LADDER + f"""
+SELECT name AS outlet, CAST(month || '-01' AS DATE) AS month, ord AS differences, {r('v')} AS value
+FROM picked JOIN s ON s.outlet = picked.name || '/' || picked.ord""")
+def _(spark, sf):
+    return rounded(st.stationary_series(_outlet_series(spark, sf), ["outlet"]))
+
+
 def _pairs(spark, sf):
     return ll.stack_pairs(i.panel(spark, sf), LEADLAG_PAIRS)
 
@@ -469,9 +525,9 @@ def _(spark, sf):
 
 
 # orders 0 to 4 on the common sample for the choice (negative p), each on its own sample for the fit (p)
-VAR_ROWS = "WITH RECURSIVE " + i.PANEL + f""",
-{PAIRS},
-{series_sql({"a": "s1", "b": "s2"}, "pairs", "pair")},
+def var_sql(source: str, table: str, key: str, one: str, two: str) -> str:
+    return f"""WITH RECURSIVE {source},
+{series_sql({"a": one, "b": two}, table, key)},
 smp AS (SELECT id, p, list_concat([1.0], flatten(list_transform(range(1, o + 1), lambda k: [a[t - k], b[t - k]])), [a[t], b[t]]) AS v
   FROM (SELECT *, CASE WHEN p < 0 THEN -p - 1 ELSE p END AS o, unnest(range(CASE WHEN p < 0 THEN 5 ELSE p + 1 END, n + 1)) AS t
         FROM packed, (SELECT unnest(range(-5, 5)) AS p) WHERE n >= 32)),
@@ -485,6 +541,9 @@ best AS (SELECT id, arg_min(o, (logdet + 2 * free / rows, o)) AS o FROM ic WHERE
 """
 
 
+VAR_ROWS = var_sql(i.PANEL + f",\n{PAIRS}", "pairs", "pair", "s1", "s2")
+
+
 @query("var_panel", VAR_ROWS + f"""
 SELECT ic.id AS pair, n AS n_observations, true AS fitted, CAST(ic.o AS INTEGER) AS optimal_lag,
   {r('logdet + 2 * free / rows')} AS aic, {r('logdet + ln(rows) * free / rows')} AS bic
@@ -493,17 +552,17 @@ def _(spark, sf):
     return rounded(ca.var_panel(_pairs(spark, sf), ["pair"], ["s1", "s2"]).drop("coefficients"))
 
 
-@query("var_coefficients", VAR_ROWS + f"""
-SELECT el.id AS pair, CAST(lag AS INTEGER) AS lag, CAST(eq AS INTEGER) AS equation, CAST(var AS INTEGER) AS variable,
+@query("var_coefficients", var_sql(i.OUTLETS, "panel", "outlet", "numerator", "denominator") + f"""
+SELECT el.id AS outlet, CAST(lag AS INTEGER) AS lag, CAST(eq AS INTEGER) AS equation, CAST(var AS INTEGER) AS variable,
   {r('m[2 * lag + var - 1][len(m) - 2 + eq]')} AS coefficient
 FROM el JOIN best ON best.id = el.id AND best.o = el.p, (SELECT unnest([1, 2]) AS eq), (SELECT unnest([1, 2]) AS var),
   (SELECT unnest(range(1, 5)) AS lag) WHERE lag <= o AND el.k = len(m) - 2""")
 def _(spark, sf):
-    found = ca.var_panel(_pairs(spark, sf), ["pair"], ["s1", "s2"])
-    rows = found.select("pair", F.posexplode(F.from_json("coefficients", "array<array<array<double>>>")).alias("lag", "m"))
-    rows = rows.select("pair", "lag", F.posexplode("m").alias("equation", "line"))
-    rows = rows.select("pair", "lag", "equation", F.posexplode("line").alias("variable", "coefficient"))
-    return rounded(rows.select("pair", *[(F.col(c) + 1).alias(c) for c in ("lag", "equation", "variable")], "coefficient"))
+    found = ca.var_panel(i.outlet_panel(spark, sf), ["outlet"], ["numerator", "denominator"])
+    rows = found.select("outlet", F.posexplode(F.from_json("coefficients", "array<array<array<double>>>")).alias("lag", "m"))
+    rows = rows.select("outlet", "lag", F.posexplode("m").alias("equation", "line"))
+    rows = rows.select("outlet", "lag", "equation", F.posexplode("line").alias("variable", "coefficient"))
+    return rounded(rows.select("outlet", *[(F.col(c) + 1).alias(c) for c in ("lag", "equation", "variable")], "coefficient"))
 
 
 @query("leadlag_report")
