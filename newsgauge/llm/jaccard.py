@@ -42,7 +42,7 @@ from newsgauge.session import cut_lineage
 
 LIST_ROWS = 16
 FREQUENT_HASHES = 1_000_000
-STAR_KEYS = 3
+STAR_KEYS = 6
 # Largest distance of a satellite. Any figure is exact, as pivots are compared with their stars' true radii; a wide
 # one takes in groups whose members lie around the limit from each other.
 RADIUS = 0.4
@@ -188,8 +188,24 @@ def stars(nodes: DataFrame, docs: DataFrame, limit: Limit, text_col: str) -> Dat
                        .where(F.col("far") <= RADIUS))
     # a pivot that is some other pivot's satellite leads no star
     led = near.join(near.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-    chosen = led.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", "b")).alias("s")) \
-        .select("node", F.col("s.b").alias("star"), "s.far")
+    nearest = lambda rows: rows.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", "b")).alias("s")) \
+        .select("node", F.col("s.b").alias("star"), "s.far")
+    chosen = cut_lineage(nearest(led))
+    hashes = nodes.select(F.col("node"), "text_hash")
+    while True:
+        # who found no leading pivot looks at the stars that its pivots follow
+        lost = near.select("a", "b").join(chosen.select(F.col("node").alias("a")), "a", "left_anti")
+        tried = cut_lineage(lost.join(chosen.select(F.col("node").alias("b"), "star"), "b")
+                            .select("a", F.col("star").alias("b")).where("a <> b").distinct())
+        if tried.isEmpty():
+            break
+        ends = sized(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())
+        sets = full_sets(docs, hashes.join(ends, "node", "left_semi"), limit, text_col)
+        more = cut_lineage(nearest(compare(tried, sets).select("a", "b", F.expr(DISTANCE).alias("far"))
+                                   .where(F.col("far") <= RADIUS)))
+        if more.isEmpty():
+            break
+        chosen = chosen.union(more)
     heads = chosen.select(F.col("star").alias("node"), "star", F.lit(0.0).alias("far")).distinct()
     return nodes.join(sized(chosen.union(heads)), "node", "left").select(
         "node", "n", "text_hash", "sketch", F.coalesce("star", "node").alias("star"),
@@ -368,8 +384,8 @@ def member_links(deltas: DataFrame, limit: Limit) -> DataFrame:
 
     Members meet their galaxy's hub first, the one with the least edits for its size. Those not linked with it
     meet one representative of every hash among their leading edits, the member with the least edits beside it. That
-    takes a row per edit at most. Only hashes that still lead to members of different components, as far as
-    linked, are then joined member by member.
+    takes a row per edit at most. Only hashes that still lead to members that none of these links reach are then
+    joined member by member.
     """
     size = F.size("delta")
     tokens = deltas.select("root", "node", "n", size.alias("m"), F.explode("delta").alias("hash"))
@@ -393,7 +409,13 @@ def member_links(deltas: DataFrame, limit: Limit) -> DataFrame:
     first = leading.groupBy("root", "hash").agg(least)
     met = far.join(first, ["root", "hash"]).select("a", "b").where("a <> b").distinct()
     near = cut_lineage(near.union(linked(met, deltas, limit)))
-    labelled = leading.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # whoever is linked with the hub, or with a member that is, needs no further link; all others stand alone so far
+    inner = closed.distinct()
+    outer = near.join(inner.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).union(
+        near.join(inner.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")))
+    settled = cut_lineage(inner.union(outer).distinct()).withColumn("settled", F.lit(True))
+    labelled = leading.join(settled, "node", "left").withColumn(
+        "label", F.when(F.col("settled"), F.lit(0).cast("long")).otherwise(F.col("node")))
     mixed = labelled.groupBy("root", "hash").agg(F.min("label").alias("one"), F.max("label").alias("other")) \
         .where("one <> other").select("root", "hash")
     left = cut_lineage(labelled.join(mixed, ["root", "hash"], "left_semi"))
