@@ -11,7 +11,7 @@ from newsgauge.operators import variants as va
 from suite import inputs as i
 from suite.registry import query, r, rounded
 
-VARIANTS = va.variant_list(i.LEXICON, i.SOURCES[:8])
+VARIANTS = va.variant_list(i.LEXICON, i.SOURCES)
 BASE = ("2021-02", "2022-06")
 
 
