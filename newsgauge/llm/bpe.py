@@ -37,10 +37,10 @@ from newsgauge.session import cut_lineage, scratch_path
 
 LEXICON_WORDS = 20_000
 LEXICON_CHARS = 64
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 2 << 20
 COUNTER_WORDS = 200_000
-REMEMBERED = 250_000
-REMEMBERED_CHARS = 8 << 20
+REMEMBERED = 400_000
+REMEMBERED_CHARS = 16 << 20
 DECODED_ROWS = 1_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MATRIX_WORDS = 8_192
