@@ -682,7 +682,35 @@ def _(spark, sf):
     return dd.fuzzy_dedup(i.articles(spark, sf).drop("snippet"))
 
 
-@query("dedup_fuzzy_lev")
+# The SQL edit distance counts bytes, so letters beyond ASCII become capitals, which lower-cased titles lack.
+LEV = f"""
+, d AS (SELECT id, date, nt FROM (SELECT *, {i.norm('title')} AS nt FROM articles)
+        QUALIFY row_number() OVER (PARTITION BY nt ORDER BY date, id) = 1),
+letters AS (SELECT string_agg(c, '' ORDER BY c) AS cs
+            FROM (SELECT DISTINCT unnest(string_split(nt, '')) AS c FROM d) WHERE strlen(c) > 1),
+u AS (SELECT id, length(nt) AS n, row_number() OVER (ORDER BY date, id) AS k,
+             translate(nt, coalesce(cs, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS x FROM d, letters),
+c AS (SELECT a.k AS ak, b.k AS bk, a.x AS ax, b.x AS bx, a.n AS an, a.n - b.n AS d,
+             CAST(floor(0.15 * a.n + 1e-9) AS BIGINT) AS e
+      FROM u a JOIN u b ON (a.n > b.n OR a.n = b.n AND a.k > b.k) AND a.n - b.n <= floor(0.15 * a.n + 1e-9)),
+-- with e edits one of e + 1 pieces stays whole, and edits before and behind it bound its place
+s AS (SELECT * FROM c WHERE len(list_filter(range(0, e + 1), lambda i: contains(
+        substring(bx, greatest(0, i * an // (e + 1) - i, i * an // (e + 1) - d - e + i) + 1,
+          greatest(0, least(i * an // (e + 1) + i, i * an // (e + 1) - d + e - i)
+            - greatest(0, i * an // (e + 1) - i, i * an // (e + 1) - d - e + i) + an // (e + 1))),
+        substring(ax, i * an // (e + 1) + 1, an // (e + 1))))) > 0),
+p AS (SELECT greatest(ak, bk) AS later, least(ak, bk) AS earlier FROM s WHERE levenshtein(ax, bx) <= e),
+adj AS (SELECT later, list(earlier) AS near, row_number() OVER (ORDER BY later) AS step FROM p GROUP BY later),
+g AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS gone
+      UNION ALL
+      SELECT adj.step, CASE WHEN len(list_filter(near, lambda e: NOT list_contains(gone, e))) > 0
+                       THEN list_append(gone, later) ELSE gone END
+      FROM g JOIN adj ON adj.step = g.step + 1)
+SELECT {ROWS} FROM articles WHERE id IN (
+  SELECT id FROM u WHERE NOT list_contains((SELECT arg_max(gone, step) FROM g), k))"""
+
+
+@query("dedup_fuzzy_lev", W(ART).replace("WITH", "WITH RECURSIVE", 1) + LEV)
 def _(spark, sf):
     return dd.fuzzy_dedup(i.articles(spark, sf).drop("snippet"), measure="levenshtein")
 
