@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.stats import pearson, series_window, stddev_or_zero
+from newsgauge.operators.outlets import outlet_index
 
 # Series name -> index type.
 INDEX_TYPES = {
@@ -19,6 +20,10 @@ INDEX_TYPES = {
 }
 
 
+# Months before and after all data.
+OPEN_BASE = ("1900-01", "2099-12")
+
+
 def counts_to_raw(counts: DataFrame) -> DataFrame:
     """Pre-aggregated monthly counts in the layout of classification counts; no regime counts."""
     return counts.select(
@@ -142,6 +147,29 @@ def fill_ratio(values: DataFrame) -> DataFrame:
     return values.withColumn("raw_ratio", F.coalesce(F.col("raw_ratio"), ratio))
 
 
+def outlet_index_values(
+    counts: DataFrame, base_start: str | None = None, base_end: str | None = None,
+    outlets: Sequence[str] | None = None,
+) -> DataFrame:
+    """Every outlet's own main index as rows of the index table.
+
+    ``counts``: (outlet, month, total_articles, uncertainty_count). A missing end of the base period is open; a list
+    includes only its outlets, spelled as given; an outlet without a name is 'Unknown'.
+    """
+    panel = counts.select(
+        F.coalesce("outlet", F.lit("Unknown")).alias("outlet"), "month",
+        F.col("total_articles").alias("denominator"), F.col("uncertainty_count").alias("numerator"),
+    )
+    if outlets is not None:
+        panel = panel.where(F.col("outlet").isin(list(outlets)))
+    series = outlet_index(panel, base_start or OPEN_BASE[0], base_end or OPEN_BASE[1])
+    return fill_ratio(series.select(
+        "month", F.lit(INDEX_TYPES["cpu"]).alias("index_type"), "outlet", "denominator", "numerator",
+        F.lit(None).cast("double").alias("raw_ratio"), F.col("value").alias("normalized"),
+        F.lit(False).alias("scaled"), F.lit("none").alias("dedup_strategy"),
+    ))
+
+
 def build_index(
     counts: DataFrame, base_start: str | None = None, base_end: str | None = None
 ) -> DataFrame:

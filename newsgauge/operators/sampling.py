@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge import fixed_values as fixed
+from newsgauge.session import cut_lineage
 
-SALTS = 64
+# Leading hexadecimal digits of the order that make the number of a row; they fit a double exactly.
+DIGITS = 13
+# Standard deviations by which a threshold exceeds the expected number of rows.
+MARGIN = 6.0
+# Strata whose thresholds are broadcast; beyond that number they are joined by a shuffle.
+BROADCAST_STRATA = 100_000
 
 
 def hashed_order(seed: int, key: str = "id") -> Column:
@@ -37,31 +43,40 @@ def stratified_ids(
     Each stratum gives floor(n * share) rows but at least 1; rows missing to ``n`` are topped up
     from the remainder in hashed order, and surplus from the minimum of 1 is cut at ``n``.
 
-    One pass over the articles: a stratum is ranked and counted in salted parts, so a large one is
-    spread over many tasks; after that at most ``n`` rows per part are left.
+    The hashed order of a row is also a number from 0 to 1. Strata are counted, and a row passes when its number is below
+    its stratum's quota over size, or below n over all rows, each with a margin; only rows that pass are ranked,
+    about n and a few per stratum. If a stratum or the top-up got fewer than it needs, which the
+    margin makes rare, the pass is repeated with a wider one, so the result is exact.
     """
-    part = Window.partitionBy("_stratum", "_salt")
-    whole = Window.partitionBy("_stratum")
     rows = articles.select(
         "id",
         F.coalesce(F.col(stratum), F.lit("unknown")).alias("_stratum"),
         hashed_order(seed).alias("_order"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"),
-    )
-    trimmed = rows.withColumns({
-        "_place": F.row_number().over(part.orderBy("_order", "id")),
-        "_size": F.count("*").over(part),
-    }).where(F.col("_place") <= n)
-    sized = trimmed.withColumns({
-        "_rank": F.row_number().over(whole.orderBy("_order", "id")),
-        "_size": F.sum(F.when(F.col("_place") == 1, F.col("_size"))).over(whole),
-    }).where(F.col("_rank") <= n)
-    # From here on there are at most n rows per stratum; the result has n rows.
-    total = articles.agg(F.count("*")).scalar()
+    ).withColumn("_number", F.conv(F.substring("_order", 1, DIGITS), 16, 10).cast("double") / 16**DIGITS)
+    sizes = cut_lineage(rows.groupBy("_stratum").agg(F.count("*").alias("_size")))
+    strata, total = sizes.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     quota = F.least(
-        F.col("_size"), F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / total)))
+        F.col("_size"), F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / F.lit(total))))
     )
-    tiers = sized.withColumn("_tier", F.when(F.col("_rank") <= quota, 0).otherwise(1))
+    quotas = sizes.withColumn("_quota", quota)
+    margin = MARGIN
+    while True:
+        anywhere = (n + margin * n**0.5 + margin**2) / max(total, 1)
+        own = (F.col("_quota") + margin * F.sqrt("_quota") + margin**2) / F.col("_size")
+        bounds = quotas.withColumn("_bound", F.greatest(F.lit(anywhere), own))
+        passed = rows.join(F.broadcast(bounds) if strata <= BROADCAST_STRATA else bounds, "_stratum")
+        passed = cut_lineage(passed.where(F.col("_number") < F.col("_bound")))
+        got = passed.groupBy("_stratum").agg(
+            F.count("*").alias("_got"), F.count_if(F.col("_number") < anywhere).alias("_low"))
+        short, low = quotas.join(got, "_stratum", "left").agg(
+            F.count_if(F.coalesce("_got", F.lit(0)) < F.col("_quota")), F.coalesce(F.sum("_low"), F.lit(0))
+        ).first()
+        if not short and low >= min(n, total):
+            break
+        margin = 4 * margin + 4
+    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_order", "id"))
+    tiers = passed.withColumn("_rank", rank).withColumn(
+        "_tier", F.when(F.col("_rank") <= F.col("_quota"), 0).otherwise(1))
     # the top n are taken per task first, however many strata there are
     return tiers.orderBy(
         "_tier", F.when(F.col("_tier") == 0, F.col("_stratum")), "_order", "id"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsgauge.functions.text import (
-    any_term, bind, join_text, matched_terms, present_words,
+    any_term, join_text, matched_terms, present_words,
 )
 from newsgauge.lexicon import DEFAULT_LEXICON, FLAGS, Lexicon
 
@@ -108,27 +108,54 @@ def placebo_flags(
     )
 
 
-def corpus_predicate(lexicon: Lexicon, *categories: str) -> Column:
-    """AND over categories of OR over terms, on title and snippet."""
-    def all_hit(parts: Column) -> Column:
-        hit = F.lit(True)
-        for category in categories:
-            hit = hit & any_term(parts["text"], parts["words"], lexicon.terms(category))
-        return hit
+HITS = "_hits"
 
-    def look_up(text: Column) -> Column:
-        words = present_words(text, lexicon.vocabulary(*categories))
-        return bind(F.struct(text.alias("text"), words.alias("words")), all_hit)
 
-    return bind(join_text(F.col("title"), F.col("snippet")), look_up)
+def with_hits(articles: DataFrame, lexicon: Lexicon, categories: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and a bitmap: bit n is set when the article holds a term of the n-th category."""
+    rows = with_tokens(articles, lexicon, categories)
+    bits = F.lit(0)
+    for n, category in enumerate(categories):
+        bits = bits + F.when(category_hit(lexicon, category), F.lit(1 << n)).otherwise(F.lit(0))
+    return rows.select(*keep, bits.alias(HITS))
+
+
+def bits_match(categories: Sequence[str], wanted: Sequence[str], unwanted: Sequence[str] = ()) -> Column:
+    """Are all wanted bits set and none of the unwanted ones?"""
+    place = {category: 1 << n for n, category in enumerate(categories)}
+    yes, no = sum(place[c] for c in set(wanted)), sum(place[c] for c in set(unwanted))
+    return F.col(HITS).bitwiseAND(F.lit(yes | no)) == yes
 
 
 def corpus_query(
     articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON,
-    categories: Sequence[str] = ("climate", "policy"),
+    categories: Sequence[str] = ("climate", "policy"), without: Sequence[str] = (),
 ) -> DataFrame:
-    """Articles that hold at least one term of every category."""
-    return articles.where(corpus_predicate(lexicon, *categories))
+    """Articles that hold at least one term of every category and none of the categories ``without``.
+
+    The choice is a generator of no or one element, because a filter would be moved below the bitmap and
+    search the text again for each category.
+    """
+    looked_up = list(dict.fromkeys([*categories, *without]))
+    rows = with_hits(articles, lexicon, looked_up, articles.columns)
+    chosen = F.when(bits_match(looked_up, categories, without), F.array(F.lit(1)))
+    return rows.select(*articles.columns, F.explode(chosen).alias("_chosen")).drop("_chosen")
+
+
+def boolean_counts(
+    articles: DataFrame, queries: dict[str, tuple[Sequence[str], Sequence[str]]],
+    lexicon: Lexicon = DEFAULT_LEXICON, keys: Sequence[str] = ("month",),
+) -> DataFrame:
+    """Counts per key of any number of boolean queries, name -> (wanted, unwanted categories).
+
+    The text is searched once; articles are collapsed to bitmaps with counts before they meet the queries.
+    """
+    categories = list(dict.fromkeys(c for pair in queries.values() for side in pair for c in side))
+    bitmaps = with_hits(articles, lexicon, categories, keys).groupBy(*keys, HITS).agg(F.count("*").alias("_n"))
+    return bitmaps.groupBy(*keys).agg(*[
+        F.sum(F.when(bits_match(categories, *pair), F.col("_n")).otherwise(F.lit(0))).alias(name)
+        for name, pair in queries.items()
+    ])
 
 
 def monthly_counts(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from newsgauge.operators.tagging import category_hit, category_matches, with_tok
 
 PHASES = {1: "REQUIRED", 2: "RECOMMENDED", 3: "OPTIONAL"}
 DEFAULT_TYPES = ("CPU", "CPU_impl", "CPU_reversal", "salience_ira", "salience_obbba")
+# Counts from which outlets are left out.
+WHOLE = ""
 # Categories whose matched terms decide a variant.
 TERM_CATEGORIES = (
     "climate", "policy", "uncertainty", "implementation", "reversal", "regime_ira", "regime_obbba",
@@ -130,7 +132,8 @@ def variant_monthly_counts(
 
     Articles are tagged once and collapsed to (keys, terms found, label) combinations with a
     count; only the combinations meet the variants. A variant excludes terms from every category,
-    an outlet, or a whole category; label variants keep an article only if a present label confirms
+    an outlet, or a whole category. Variants that only leave out outlets cost no pass over combinations: they are the
+    baseline's counts per outlet without the outlets' own part. Label variants keep an article only if a present label confirms
     it with enough certainty (certainty / 5). A placebo counts domain, policy and uncertainty.
     """
     categories = [*TERM_CATEGORIES, "trade", "monetary"]
@@ -153,7 +156,10 @@ def variant_monthly_counts(
         rows = rows.withColumn("certainty", F.lit(None).cast("double"))
     tags = [*[f"m_{c}" for c in TERM_CATEGORIES], "trade", "monetary", "certainty"]
     combos = rows.groupBy(*keys, *tags).agg(F.count("*").alias("_n"))
-    crossed = combos.select("*", F.inline(variant_structs(variants)))
+    drops = [v for v in variants if "outlet" in keys and v.exclude_outlets
+             and v == replace(Variant(v.name, v.phase), exclude_outlets=v.exclude_outlets)]
+    counted = [v for v in variants if v not in drops] + ([Variant(WHOLE, 1)] if drops else [])
+    crossed = combos.select("*", F.inline(variant_structs(counted)))
 
     def left(category: str) -> Column:
         kept = F.size(F.array_except(f"m_{category}", "terms_out")) > 0
@@ -180,7 +186,7 @@ def variant_monthly_counts(
         return F.sum(F.when(condition, F.col("_n")).otherwise(F.lit(0)))
 
     own = corpus & ~is_placebo
-    return flags.groupBy("variant", *keys).agg(
+    counts = flags.groupBy("variant", *keys).agg(
         total(corpus).alias("denominator"),
         total(main).alias("numerator_cpu"),
         total(own & gate & F.col("implementation")).alias("numerator_impl"),
@@ -188,6 +194,19 @@ def variant_monthly_counts(
         total(own & F.col("regime_ira")).alias("numerator_ira"),
         total(own & F.col("regime_obbba")).alias("numerator_obbba"),
     )
+    return _leave_out(counts, drops) if drops else counts
+
+
+def _leave_out(counts: DataFrame, drops: Sequence[Variant]) -> DataFrame:
+    """The rows of WHOLE repeated for every variant that keeps their outlet; other rows stay."""
+    names = F.transform(
+        F.filter(variant_structs(drops), lambda v: ~F.coalesce(
+            F.array_contains(v["outlets_out"], F.lower("outlet")), F.lit(False))),
+        lambda v: v["variant"],
+    )
+    repeated = F.when(F.col("variant") == WHOLE, names).otherwise(F.array("variant"))
+    rest = [c for c in counts.columns if c != "variant"]
+    return counts.select(F.explode(repeated).alias("variant"), *rest)
 
 
 def variant_index(

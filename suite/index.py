@@ -235,6 +235,34 @@ def _(spark, sf):
     return ou.keep_outlets(i.outlet_panel(spark, sf), ["Nation_1", "nation_3", "NATION_7"])
 
 
+OUTLET_ROWS = """o AS (SELECT coalesce(source, 'Unknown') AS outlet, month, count(*) AS denominator,
+                 count(*) FILTER (WHERE uncertainty) AS numerator FROM hits GROUP BY 1, 2),
+b AS (SELECT *, numerator / denominator AS raw, avg(numerator / denominator) FILTER (WHERE month >= '2021-06')
+      OVER (PARTITION BY outlet) AS base FROM o WHERE outlet IN ('src1', 'src3', 'src7'))"""
+
+
+@query("outlet_index_rows", W(i.ARTICLES, i.TEXT, i.HITS, OUTLET_ROWS) + f"""
+SELECT month, 'CPU' AS index_type, outlet, denominator, numerator, {r('raw')} AS raw_ratio,
+       {r('CASE WHEN base IS NULL THEN raw WHEN base <> 0 THEN raw / base * 100 ELSE 0 END')} AS normalized,
+       false AS scaled, 'none' AS dedup_strategy FROM b""")
+def _(spark, sf):
+    """Listed outlets with a base open at its end, over stale rows in the index table, read back by outlet."""
+    from newsgauge.schemas import INDEX_KEY
+    from newsgauge.session import scratch_path
+    from newsgauge.sources.tables import read_latest, write_batch
+
+    path = scratch_path(spark, "index-table")
+    rows = i.articles(spark, sf).withColumnRenamed("source", "outlet")
+    counts = tg.class_counts(rows, _classified(spark, sf, ["id"]), ["outlet", "month"], by_outlet=True)
+    listed = ["src1", "src3", "src7"]
+    write_batch(i.index_table(spark, sf).withColumn("normalized", F.lit(0.0)), path, 0)
+    write_batch(ix.outlet_index_values(counts, outlets=listed), path, 1)
+    write_batch(ix.outlet_index_values(counts, "2021-06", None, listed), path, 2)
+    table = read_latest(spark, path, INDEX_KEY)
+    found = [ix.index_scan(table, "CPU", outlet) for outlet in listed]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 @query("outlets_excluded", OUT + "SELECT * FROM panel WHERE lower(outlet) NOT IN ('nation_1', 'nation_3')")
 def _(spark, sf):
     return ou.drop_outlets(i.outlet_panel(spark, sf), ["Nation_1", "nation_3"])

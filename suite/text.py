@@ -199,6 +199,21 @@ def _(spark, sf):
     return tg.corpus_query(i.articles(spark, sf), i.LEXICON, categories).select("id", "month", "source")
 
 
+BOOLEAN = {
+    "covered": (["climate", "policy"], []),
+    "calm": (["climate", "policy"], ["uncertainty"]),
+    "turning": (["reversal", "uncertainty"], ["implementation"]),
+    "one_sided": (["implementation"], ["reversal", "trade", "monetary"]),
+}
+
+
+@query("boolean_counts", W(ART, TXT, HITS) + "SELECT month, " + ", ".join(
+    f"count(*) FILTER (WHERE {' AND '.join([*yes, *[f'NOT {c}' for c in no]])}) AS {name}"
+    for name, (yes, no) in BOOLEAN.items()) + " FROM hits GROUP BY month")
+def _(spark, sf):
+    return tg.boolean_counts(i.articles(spark, sf), BOOLEAN, i.LEXICON)
+
+
 @query("month_bounds", W(ART) + """
 SELECT month, min(date) AS first_seen, CAST(month || '-01' AS DATE) AS first_day,
        last_day(CAST(month || '-01' AS DATE)) AS last_day FROM articles GROUP BY month""")
@@ -771,6 +786,28 @@ def _(spark, sf):
     return counts
 
 
+@query("counts_with_retractions", W(ART, TXT, HITS) + """
+SELECT month, count(*) AS total_articles, count(*) FILTER (WHERE uncertainty) AS cpu_count,
+       count(*) FILTER (WHERE uncertainty AND reversal) AS cpu_reversal_count,
+       count(*) FILTER (WHERE uncertainty AND implementation) AS cpu_impl_count,
+       count(*) FILTER (WHERE uncertainty AND upside) AS cpu_upside_count,
+       count(*) FILTER (WHERE regime_ira) AS regime_ira_count,
+       count(*) FILTER (WHERE regime_obbba) AS regime_obbba_count FROM hits GROUP BY month""")
+def _(spark, sf):
+    """Wrong months and texts come first for one source and are corrected by later files."""
+    from newsgauge.session import scratch_path
+    from newsgauge.streaming import incremental as st
+
+    work = scratch_path(spark, "changes")
+    rows = i.articles(spark, sf).withColumn("fetched_at", F.col("date").cast("timestamp"))
+    source = rows.where("source = 'src3'")
+    wrong = source.withColumns({"snippet": F.col("title"), "month": F.lit("2030-01")})
+    for wave in (wrong, rows.where("source <> 'src3' or source is null"), source):
+        wave.write.mode("append").parquet(f"{work}/in")
+        counts = st.ingest_counted(spark, f"{work}/in", rows.schema, work, i.LEXICON)
+    return counts
+
+
 @query("stream_month_counts", W(ART) + """
 SELECT month, count(*) + count(*) FILTER (WHERE source = 'src3') AS n FROM articles GROUP BY month""")
 def _(spark, sf):

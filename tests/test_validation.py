@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,32 @@ def test_stratified_sample(frame):
     assert {r["id"] for r in got.collect()} != {r["id"] for r in other.collect()}
 
 
+def plain_sample(rows, n, seed):
+    """Quotas, top-up and cut by a sort of everything."""
+    order = {id: hashlib.md5(f"{seed}:{id}".encode()).hexdigest() for id, _ in rows}
+    by = {}
+    for id, stratum in sorted(rows, key=lambda row: order[row[0]]):
+        by.setdefault(stratum, []).append(id)
+    quota = {s: min(len(ids), max(1, int(n * (len(ids) / len(rows))))) for s, ids in by.items()}
+    first = [id for s in sorted(by) for id in by[s][:quota[s]]]
+    rest = sorted((id for s in by for id in by[s][quota[s]:]), key=order.get)
+    return set((first + rest)[:n])
+
+
+@pytest.mark.parametrize("margin", [6.0, -3.0])
+@pytest.mark.parametrize("sizes", [{"hot": 9900, **{f"s{k}": 1 + k % 3 for k in range(50)}}, {f"s{k:05}": 1 for k in range(10000)}])
+def test_stratified_sample_equals_a_sort_of_everything(frame, monkeypatch, sizes, margin):
+    """Also when the margin is too narrow at first."""
+    monkeypatch.setattr(sm, "MARGIN", margin)
+    df = strata(frame, sizes)
+    rows = [(f"{s}{k}", s) for s, n in sizes.items() for k in range(n)]
+    assert {r["id"] for r in sm.stratified_ids(df, "keyword_category", 300, 5).collect()} == plain_sample(rows, 300, 5)
+
+
+def test_stratified_sample_of_nothing(frame):
+    assert sm.stratified_ids(strata(frame, {}), "keyword_category", 5).count() == 0
+
+
 def test_sample_of_everything_and_surplus_strata(frame):
     small = strata(frame, {"a": 5, "b": 3})
     assert sm.sample_stratified(small, "keyword_category", 100).count() == 8
@@ -276,5 +303,71 @@ def test_files_one_by_one_in_any_order(spark, frame, tmp_path):
     assert again == [[(16, 3)]]
 
 
+ARTICLE = "id string, title string, snippet string, source string, date date, month string, fetched_at timestamp"
+
+
+def _counted(spark, frame, tmp_path, rows=None):
+    """Counts kept up by changes, and counts of all rows, after another wave of (id, title, month, fetched)."""
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    if rows is not None:
+        frame(rows, "id string, title string, month string, fetched string").selectExpr(
+            "id", "title", "'' as snippet", "'s' as source", "date'2024-01-01' as date", "month",
+            "timestamp(fetched) as fetched_at").write.mode("append").parquet(source)
+    schema = inc.T.StructType.fromDDL(ARTICLE)
+    kept, whole = (
+        ingest(spark, source, schema, work + name, Lexicon())
+        for name, ingest in (("-kept", inc.ingest_counted), ("-whole", inc.ingest_folder)))
+    assert kept.columns == whole.columns
+    found = [sorted(map(tuple, df.collect()), key=str) for df in (kept, whole)]
+    assert found[0] == found[1]
+    return {r[0]: r[1:3] for r in found[0]}
+
+
+def test_counts_are_kept_up_by_changes(spark, frame, tmp_path):
+    assert _counted(spark, frame, tmp_path, []) == {}
+    wave = [("a", "risk", "2024-01", "2024-01-01"), ("b", "calm", "2024-01", "2024-01-01"), ("c", "risk", None, None)]
+    assert _counted(spark, frame, tmp_path, wave) == {"2024-01": (2, 1), None: (1, 1)}
+    # a changes its month, b its flags although it was fetched earlier; c comes twice, with and without a time
+    wave = [("a", "risk", "2024-02", "2024-02-01"), ("b", "doubt", "2024-01", "2023-01-01"),
+            ("c", "calm", "2024-03", "2024-01-02"), ("c", "risk", "2024-04", None)]
+    want = {"2024-01": (1, 1), "2024-02": (1, 1), "2024-03": (1, 0)}
+    assert _counted(spark, frame, tmp_path, wave) == want
+    assert _counted(spark, frame, tmp_path) == want
+
+
+def test_changes_survive_a_break_before_the_commit(spark, frame, tmp_path):
+    _counted(spark, frame, tmp_path, [("a", "risk", "2024-01", "2024-01-01"), ("b", "calm", "2024-01", "2024-01-01")])
+    want = _counted(spark, frame, tmp_path, [("a", "calm", "2024-02", "2024-02-01")])
+    commits = tmp_path / "work-kept" / "progress-changes" / "commits"
+    last = max((p for p in commits.iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for path in (last, commits / f".{last.name}.crc"):
+        path.unlink(missing_ok=True)
+    assert _counted(spark, frame, tmp_path) == want == {"2024-01": (1, 0), "2024-02": (1, 0)}
+
+
+def test_outlet_rows_of_the_index_table(frame):
+    from newsgauge.operators import index as ix
+
+    rows = [("NYT", "2024-01", 100, 20), ("NYT", "2024-02", 100, 30), (None, "2024-01", 50, 5), ("WSJ", "2024-01", 10, 0)]
+    counts = frame(rows, "outlet string, month string, total_articles bigint, uncertainty_count bigint")
+    found = {(r["outlet"], r["month"]): r["normalized"] for r in ix.outlet_index_values(counts).collect()}
+    assert found == {("NYT", "2024-01"): pytest.approx(80), ("NYT", "2024-02"): pytest.approx(120),
+                     ("Unknown", "2024-01"): pytest.approx(100), ("WSJ", "2024-01"): 0.0}
+    later = ix.index_scan(ix.outlet_index_values(counts, "2024-02", None, ["NYT"]), "CPU", "NYT").collect()
+    assert [(r["month"], r["raw_ratio"], r["numerator"]) for r in later] == [("2024-01", 0.2, 20), ("2024-02", 0.3, 30)]
+    assert later[0]["normalized"] == pytest.approx(100 * 0.2 / 0.3)
+
+
+def test_boolean_queries(frame):
+    from newsgauge.operators import tagging as tg
+
+    rows = [(1, "solar policy risk"), (2, "solar policy"), (3, "risk"), (4, None)]
+    df = frame(rows, "id int, title string").selectExpr("*", "'' as snippet", "'m' as month")
+    lexicon = Lexicon()
+    assert [r["id"] for r in tg.corpus_query(df, lexicon, ["uncertainty"], ["climate"]).collect()] == [3]
+    found = tg.boolean_counts(df, {"one": (["climate", "policy"], []), "two": ([], ["uncertainty"]), "all": ([], [])}, lexicon)
+    assert {k: found.first()[k] for k in ("one", "two", "all")} == {"one": 2, "two": 2, "all": 4}
+
+
 def test_event_lists_are_complete():
     assert len(fixed.CALENDAR_EVENTS) == 4 and len(fixed.REGISTERED_EVENTS) == 8 and len(fixed.REPORT_EVENTS) == 7
