@@ -48,11 +48,10 @@ def stratified_ids(
     about n and a few per stratum. If a stratum or the top-up got fewer than it needs, which the
     margin makes rare, the pass is repeated with a wider one, so the result is exact.
     """
-    rows = articles.select(
-        "id",
-        F.coalesce(F.col(stratum), F.lit("unknown")).alias("_stratum"),
-        hashed_order(seed).alias("_order"),
-    ).withColumn("_number", F.conv(F.substring("_order", 1, DIGITS), 16, 10).cast("double") / 16**DIGITS)
+    # a stratum may be dear to compute, so ids and strata are kept; the articles are not read again
+    thin = cut_lineage(articles.select("id", F.coalesce(F.col(stratum), F.lit("unknown")).alias("_stratum")))
+    number = F.conv(F.substring("_order", 1, DIGITS), 16, 10).cast("double") / 16**DIGITS
+    rows = thin.withColumn("_order", hashed_order(seed)).withColumn("_number", number)
     sizes = cut_lineage(rows.groupBy("_stratum").agg(F.count("*").alias("_size")))
     strata, total = sizes.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     quota = F.least(
