@@ -4,7 +4,7 @@ A text passes through three small transducers, each a rewriting that keeps for e
 the source characters it stands for: look-alike, full-width and foreign digits and letters become ASCII
 and invisible characters vanish; runs of digits and digit words that hold at least one word become digits, and
 the detectors (octets, Luhn, digit counts) decide what they are; "(at)", "[dot]", "name at host dot
-com" become @ and dots. So does "name at host.tld", unless the name is one of the words that stand before "at" in
+com" become @ and dots. Digits, at and dot are read in English, French, German and Spanish. So does "name at host.tld", unless the name is one of the words that stand before "at" in
 prose (AT_PROSE: "meet at example.com") or the last label mixes cases (a sentence or a class, no domain). The patterns for addresses and numbers run on the source text (base spans) and on
 the rewritten text; a finding there that rests on at least one rewritten character, and does not lie in a
 base span of its kind, is mapped back to source characters and added. Base spans stay, also where they are
@@ -51,28 +51,47 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 FOREIGN = re.compile(
     "[" + "".join(map(re.escape, LOOK_ALIKE)) + INVISIBLE + r"\uff01-\uff5e]|(?![0-9])\d"
 )
-DIGIT_WORDS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789"))
-_WORD = "|".join(DIGIT_WORDS)
+# spoken digits and signs of English, French, German and Spanish
+DIGIT_WORDS = {word: str(digit) for digit, words in enumerate((
+    "zero oh zéro null cero", "one un eins uno", "two deux zwei zwo dos", "three trois drei tres",
+    "four quatre vier cuatro", "five cinq fünf cinco", "six sechs seis", "seven sept sieben siete",
+    "eight huit acht ocho", "nine neuf neun nueve",
+)) for word in words.split()}
+ARTICLE = "un"  # also a French and Spanish article: no digit beside figures at the end of a run
+DOT = "dot|point|punkt|punto"
+AT_FAR = "arobase|arrobase|arroba|klammeraffe|ät"
+PLUS = "plus|más"
+# longer words first, as "uno" begins with "un"
+_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(
-    rf"\b(?:plus[\s-]+)?(?:(?:{_WORD})\b|[0-9]+)(?:(?:[\s,-]+|[\s,-]+(?:dot|point)[\s,-]+)(?:(?:{_WORD})\b|[0-9]+))+",
+    rf"\b(?:(?:{PLUS})[\s-]+)?(?:(?:{_WORD})\b|[0-9]+)"
+    rf"(?:(?:[\s,-]+|[\s,-]+(?:{DOT})[\s,-]+)(?:(?:{_WORD})\b|[0-9]+))+",
     re.I,
 )
+# hints are searched in lower-cased text, which needs no case folding at each place
 SPELLED_HINT = re.compile(
-    rf"(?:\b(?:{_WORD})|[0-9])[\s,-]+(?:(?:dot|point)[\s,-]+)?(?:{_WORD})\b"
-    rf"|\b(?:{_WORD})[\s,-]+(?:(?:dot|point)[\s,-]+)?[0-9]", re.I)
-SPELLED_PART = re.compile(rf"plus|dot|point|{_WORD}|[0-9]", re.I)
-BRACKETED = re.compile(r"(?:(?<!\s)\s+)?[(\[{<]\s*(at|@|dot|\.)\s*[)\]}>]\s*", re.I)
-BRACKET_HINT = re.compile(r"[(\[{<]\s*(?:at|@|dot|\.)\s*[)\]}>]", re.I)
+    rf"(?:\b(?:{_WORD})|[0-9])[\s,-]+(?:(?:{DOT})[\s,-]+)?(?:{_WORD})\b"
+    rf"|\b(?:{_WORD})[\s,-]+(?:(?:{DOT})[\s,-]+)?[0-9]")
+SPELLED_PART = re.compile(rf"{PLUS}|{DOT}|{_WORD}|[0-9]", re.I)
+BRACKETED = re.compile(rf"(?:(?<!\s)\s+)?[(\[{{<]\s*(at|@|{AT_FAR}|{DOT}|\.)\s*[)\]}}>]\s*", re.I)
+BRACKET_HINT = re.compile(rf"[(\[{{<]\s*(?:at|@|{AT_FAR}|{DOT}|\.)\s*[)\]}}>]")
+_LOCAL, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+", "[A-Za-z0-9-]+"
 BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(\s+at\s+)|@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+",
-    re.I,
-)
-BARE_PART = re.compile(r"\s+(at|dot)\s+", re.I)
-BARE_HINT = re.compile(r"\sdot\s", re.I)
-NUMBERS = re.compile(r"(?<![0-9])[0-9]+(?:\s+dot\s+[0-9]+){3}", re.I)
+    rf"{_LOCAL}(?:\s+at\s+|@){_LABEL}(?:(?:\s+dot\s+|\.){_LABEL})*\s+dot\s+{_LABEL}", re.I)
+# "point" follows foreign signs only: "look at this point in" is prose; a dotted host after @ is whole already
+BARE_FAR = re.compile(
+    rf"{_LOCAL}(?:\s+(?:{AT_FAR})\s+{_LABEL}(?:(?:\s+(?:{DOT})\s+|\.){_LABEL})*\s+(?:{DOT})\s+{_LABEL}"
+    rf"|\s+at\s+{_LABEL}(?:\s+(?:punkt|punto)\s+{_LABEL})+"
+    rf"|@{_LABEL}(?:\s+(?:point|punkt|punto)\s+[a-z]{{2,24}}\b)+)", re.I)
+BARE_PART = re.compile(rf"\s+(at|{AT_FAR}|{DOT})\s+", re.I)
+BARE_HINT = re.compile(rf"\s(?:{DOT})\s")
+NUMBERS = re.compile(rf"(?<![0-9])[0-9]+(?:\s+(?:{DOT})\s+[0-9]+){{3}}", re.I)
 AT_HOST = re.compile(
-    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(\s+at\s+)(?:[A-Za-z0-9-]+\.)+([A-Za-z]{2,24})(?![A-Za-z0-9])", re.I)
-AT_HINT = re.compile(r"\sat\s+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
+    rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(\s+(?:at|{AT_FAR})\s+)(?:[A-Za-z0-9-]+\.)+([A-Za-z]{{2,24}})(?![A-Za-z0-9])",
+    re.I)
+AT_HINT = re.compile(rf"\s(?:at|{AT_FAR})\s+[a-z0-9-]+\.[a-z]")
+SIGNS = dict.fromkeys(PLUS.split("|"), "+") | dict.fromkeys(DOT.split("|"), ".") \
+    | dict.fromkeys(("at", "@", *AT_FAR.split("|")), "@")
 # words that stand before "at" in prose about a place, a site or a file
 AT_PROSE = frozenset("""
     a about access again all am and any anyone anything are article available back based be been book breaks bug
@@ -176,12 +195,16 @@ def plain_character(match: re.Match):
 
 def spelled_digits(match: re.Match):
     parts = list(SPELLED_PART.finditer(match[0]))
+    while len(parts) > 1 and parts[-1][0].lower() == ARTICLE and parts[-2][0].isdigit():
+        parts.pop()
+    while len(parts) > 1 and parts[0][0].lower() == ARTICLE and parts[1][0].isdigit():
+        parts.pop(0)
     if not any(p[0].lower() in DIGIT_WORDS for p in parts):
         return
-    base, at = match.start(), 0
+    base, at = match.start(), parts[0].start()
     for p in parts:
         word = p[0].lower()
-        sign = {"plus": "+", "dot": ".", "point": "."}.get(word) or DIGIT_WORDS.get(word, word)
+        sign = SIGNS.get(word) or DIGIT_WORDS.get(word, word)
         if p.start() > at:
             yield base + at, base + p.start(), ""
         yield base + p.start(), base + p.end(), sign
@@ -189,12 +212,12 @@ def spelled_digits(match: re.Match):
 
 
 def bracketed(match: re.Match):
-    yield match.start(), match.end(), "@" if match[1].lower() in ("at", "@") else "."
+    yield match.start(), match.end(), SIGNS.get(match[1].lower(), ".")
 
 
 def bare(match: re.Match):
     for p in BARE_PART.finditer(match[0]):
-        yield match.start() + p.start(), match.start() + p.end(), "@" if p[1].lower() == "at" else "."
+        yield match.start() + p.start(), match.start() + p.end(), SIGNS[p[1].lower()]
 
 
 def at_host(match: re.Match):
@@ -207,16 +230,16 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
     if not text:
         return []
     base = detect(text)
-    rules = []
+    rules, lower = [], text.lower()
     if not text.isascii() and FOREIGN.search(text):
         rules.append((FOREIGN, plain_character))
-    if rules or SPELLED_HINT.search(text):
+    if rules or SPELLED_HINT.search(lower):
         rules.append((SPELLED, spelled_digits))
-    if rules or BRACKET_HINT.search(text):
+    if rules or BRACKET_HINT.search(lower):
         rules.append((BRACKETED, bracketed))
-    if rules or BARE_HINT.search(text):
-        rules += [(NUMBERS, bare), (BARE, bare)]
-    if rules or AT_HINT.search(text):
+    if rules or BARE_HINT.search(lower):
+        rules += [(NUMBERS, bare), (BARE, bare), (BARE_FAR, bare)]
+    if rules or AT_HINT.search(lower):
         rules.append((AT_HOST, at_host))
     spans = [(s, k, e, True) for s, k, e in base]
     if rules:

@@ -94,3 +94,49 @@ def test_prose_near_numbers_and_hosts_has_no_spans(text):
 def test_long_mixed_runs_stay_linear():
     for text in ("one 1 " * 30_000, "a at " * 30_000 + "b.c", "1" + " " * 100_000 + "x one 1", "x at " + "a." * 50_000 + "1"):
         assert all(e <= len(text) for _, _, e, _ in pii.find(text))
+
+
+ZERO_TO_NINE = {
+    "fr": ("zéro un deux trois quatre cinq six sept huit neuf", "arobase", "point", "plus"),
+    "de": ("null eins zwei drei vier fünf sechs sieben acht neun", "at", "punkt", "plus"),
+    "es": ("cero uno dos tres cuatro cinco seis siete ocho nueve", "arroba", "punto", "más"),
+    "en": ("zero one two three four five six seven eight nine", "at", "dot", "plus"),
+}
+
+
+@pytest.mark.parametrize("lang", ZERO_TO_NINE)
+def test_disguises_in_four_languages(lang):
+    """Planted disguises of every kind, with random figures, are found whole."""
+    import random
+    rng = random.Random(lang)
+    names, at, dot, plus = ZERO_TO_NINE[lang]
+    digit = names.split()
+    say = lambda number: " ".join(digit[int(c)] for c in str(number))
+    for _ in range(200):
+        number = "".join(rng.choices("0123456789", k=15))
+        check = next(c for c in "0123456789" if pii.luhn(number + c))
+        planted = {
+            "email": rng.choice([
+                f"marie.k {at} exemple {dot} fr", f"hans ({at}) beispiel [{dot}] de", f"ana {at} correo {dot} ejemplo {dot} es",
+                f"lea@exemple {dot} org"]),
+            "phone": f"{plus} {say(''.join(rng.choices('0123456789', k=rng.randint(9, 15))))}",
+            "ip": f" {dot} ".join(say(rng.randint(0, 255)) for _ in range(4)),
+            "card": say(number + check),
+        }
+        for kind, source in planted.items():
+            for text in (f"xx, {source}; yy", f"Xx: {source.upper()}. Zz"):
+                place = text.upper().index(source.upper())
+                assert (place, pii.KINDS.index(kind), place + len(source), False) in pii.find(text), (text, pii.find(text))
+
+
+@pytest.mark.parametrize("text", [
+    "look at this point in time", "un point de vue", "le 14 juillet un 2 trois", "bob at work point out", "Punkt drei acht",
+    "arroba y punto", "dos puntos", "(point) final", "ein Klammeraffe am Ende", "le signe arobase et le point final",
+])
+def test_prose_of_other_languages_has_no_spans(text):
+    assert pii.find(text) == []
+
+
+def test_an_article_is_no_digit_beside_figures():
+    text = "appelez +33 155 550 123 un ami"
+    assert [(s, k, e) for s, k, e, _ in pii.find(text)] == brute.pii_base(text)
