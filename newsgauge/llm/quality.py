@@ -12,8 +12,8 @@ hence all labelled rows serve as holdout. A rule without a proven cutoff rejects
 
 Defined cases: null text counts as empty; rows without words fail the base rule; a null stratum is a
 stratum of its own; rows with null id or label are not evidence, several labels of an id count as their
-minimum; no labels, or too few, leave the base rule alone; repeated rows stay. Other columns are
-ignored.
+minimum; no labels, or too few, leave the base rule alone; repeated rows stay. Other columns
+stay, but those named like a result give way to it; working names avoid the table's.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgauge.llm.words import SPACE, body, words
+from newsgauge.llm.words import SPACE, body, unused, without, words
 
 SYMBOLS = "#*$%&|<>"
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
 RISK = 0.02
 LEVEL = 0.05
@@ -76,20 +77,20 @@ def repeat_words(words: Column) -> Column:
 def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows with n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words."""
     long = lambda c: c.cast("long")
-    text = body(text_col)
-    split = docs.withColumn("_text", text).withColumn("_words", words(F.col("_text"))).withColumn(
-        "_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(f"[^{SPACE[1:]}"))
+    whole, word_list, lines = unused(docs, "_text", "_words", "_lines")
+    split = docs.withColumn(whole, body(text_col)).withColumn(word_list, words(F.col(whole))).withColumn(
+        lines, F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE[1:]}"))
     )
-    return split.select(
-        *docs.columns,
-        long(F.size("_words")).alias("n_words"),
-        long(F.length(F.regexp_replace("_text", SPACE + "+", ""))).alias("word_chars"),
-        long(F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).alias("n_symbols"),
-        long(F.length("_text") - F.length(F.regexp_replace("_text", "[A-Z]+", ""))).alias("n_capitals"),
-        long(F.size("_lines")).alias("n_lines"),
-        long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        long(repeat_words(F.col("_words"))).alias("n_repeat_words"),
+    figures = (
+        F.size(word_list),
+        F.length(F.regexp_replace(whole, SPACE + "+", "")),
+        F.length(whole) - F.length(F.translate(whole, SYMBOLS, "")),
+        F.length(whole) - F.length(F.regexp_replace(whole, "[A-Z]+", "")),
+        F.size(lines),
+        F.size(lines) - F.size(F.array_distinct(lines)),
+        repeat_words(F.col(word_list)),
     )
+    return split.select(*without(docs, *FIGURES), *[long(f).alias(n) for f, n in zip(figures, FIGURES)])
 
 
 def base_failed() -> Column:
@@ -121,13 +122,14 @@ def binomial_tail(k: Column, n: Column, risk: float) -> Column:
 def cutoffs(figures: DataFrame, labels: DataFrame, stratum: str, id_col: str = "doc_id",
             label_col: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """One row per stratum: cut_<rule> for each rule, null where no cutoff is proven."""
-    good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()) \
-        .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good")) \
-        .where(F.col("_good") == 1).select("_id")
-    held = figures.where(~base_failed()).join(good, figures[id_col] == good["_id"], "left_semi")
+    # only these columns are needed, so no other one can share a working name
+    good = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna() \
+        .groupBy("_id").agg(F.min("_label").alias("_good")).where(F.col("_good") == 1).select("_id")
+    held = figures.where(~base_failed()).select(
+        F.col(id_col).alias("_id"), F.col(stratum).alias("_stratum"), *FIGURES).join(good, "_id", "left_semi")
     sums = [F.sum((F.col(top) > F.lit(cut) * F.col(bottom)).cast("long")).alias(f"{rule}_{step}")
             for rule, (top, bottom, cuts) in RULES.items() for step, cut in enumerate(cuts)]
-    counted = held.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("_stratum")) \
+    counted = held.groupBy("_stratum") \
         .agg(F.count("*").alias("_n"), *sums)
     grid = F.explode(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cut"),
@@ -149,10 +151,11 @@ def cutoffs(figures: DataFrame, labels: DataFrame, stratum: str, id_col: str = "
 
 def apply_cutoffs(figures: DataFrame, chosen: DataFrame, stratum: str) -> DataFrame:
     """The figures with base_failed, the stratum's cutoffs and kept."""
+    results = (*[f"cut_{rule}" for rule in RULES], "base_failed", "kept")
+    rows = figures.select(*without(figures, *results))
+    mark, = unused(rows, "_stratum")
+    joined = rows.join(chosen.withColumnRenamed("_stratum", mark), F.col(stratum).eqNullSafe(F.col(mark)), "left").drop(mark)
     fired = F.lit(False)
     for rule, (top, bottom, _) in RULES.items():
         fired = fired | F.coalesce(F.col(top) > F.col(f"cut_{rule}") * F.col(bottom), F.lit(False))
-    return figures.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))) \
-        .join(chosen, "_stratum", "left").drop("_stratum") \
-        .withColumn("base_failed", base_failed()) \
-        .withColumn("kept", ~F.col("base_failed") & ~fired)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~fired)

@@ -1,7 +1,8 @@
 """Secret scan: three exact patterns, and strings that read like random ones.
 
-Strings of at least MIN_CHARS key characters outside the pattern matches are scored by two first-order
-character Markov models, one of random strings and one of ordinary identifiers. Both are trained from
+Strings of at least MIN_CHARS key characters that no pattern match covers and no assignment touches are scored
+whole by two first-order character Markov models, one of random strings and one of ordinary identifiers. So a
+key that holds a run of hex digits is found whole, beside the base span of the run. Both are trained from
 labelled samples: what the patterns find is random, words of MIN_WORD to MIN_CHARS - 1 characters in texts without
 pattern matches are ordinary. The sum over characters of log P(random) - log P(ordinary) decides.
 Transitions are counted by Spark; a rare one backs off to the share of its second character; the ordinary sample comes from the at most
@@ -10,7 +11,7 @@ TRAIN_ROWS texts that are first by their hash. Each model has at most
 
 Spans are code points, end exclusive. Defined cases: null text is empty and has no spans; without any
 pattern match in the table the random model is uniform; without words the ordinary model is uniform;
-repeated rows are scanned each; other columns are ignored.
+repeated rows are scanned each; other columns stay, but those named ``base`` or ``spans`` give way to the results.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.words import body
+from newsgauge.llm.words import body, unused, without
 
 ASSIGN = (
     r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -60,15 +61,16 @@ def spans_of(text: Column, pattern: str, kind: int, found: Column | None = None)
         .otherwise(F.array().cast(SPAN))
 
 
-def pattern_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with _text and _base: the pattern matches by start, then kind."""
-    text = F.col("_text")
+def pattern_spans(docs: DataFrame, text_col: str = "text", text_name: str = "_text",
+                  base_name: str = "_base") -> DataFrame:
+    """All rows and columns, with the whole text and the pattern matches by start, then kind, under the names given."""
+    text = F.col(text_name)
     assign = F.filter(
         spans_of(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6
     )
     access = F.filter(spans_of(text, ACCESS, 1), lambda s: F.length(s["value"]) >= 20)
-    return docs.withColumn("_text", body(text_col)).withColumn(
-        "_base", F.sort_array(F.concat(assign, access, spans_of(text, HEX, 2)))
+    return docs.withColumn(text_name, body(text_col)).withColumn(
+        base_name, F.sort_array(F.concat(assign, access, spans_of(text, HEX, 2)))
     )
 
 
@@ -121,8 +123,9 @@ def train(scanned: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 def scan(docs: DataFrame, text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """All rows and columns, with ``base`` and ``spans``: arrays of (start, kind, end, value)."""
-    scanned = pattern_spans(docs, text_col)
-    ratios = train(scanned.select("_text", "_base")).scalar()
+    text, base, long, table = unused(docs, "_text", "_base", "_long", "_ratios")
+    scanned = pattern_spans(docs, text_col, text, base)
+    ratios = train(scanned.select(F.col(text).alias("_text"), F.col(base).alias("_base"))).scalar()
 
     def likely(value: Column, table: Column) -> Column:
         chars = F.filter(F.split(value, ""), lambda c: c != "")
@@ -134,15 +137,18 @@ def scan(docs: DataFrame, text_col: str = "text", min_ratio: float = MIN_RATIO)
                 + F.coalesce(F.try_element_at(table, F.concat(F.lit("<"), c)), F.lit(0.0)))
         ).alias("sum")), lambda s: s["sum"])
 
+    def explained(c: Column, b: Column) -> Column:
+        meets = (b["start"] < c["end"]) & (c["start"] < b["end"])
+        return meets & ((b["kind"] == 0) | ((b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+
     candidates = scanned.withColumn(
-        "_long", spans_of(F.col("_text"), f"[{KEY_CHARS}]{{{MIN_CHARS},}}+", 3)
-    ).withColumn("_long", F.filter("_long", lambda c: ~F.exists(
-        "_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    judged = candidates.withColumn("_ratios", F.when(F.size("_long") > 0, ratios)).withColumn(
-        "_long", F.filter("_long", lambda c: likely(c["value"], F.col("_ratios")) >= min_ratio))
+        long, spans_of(F.col(text), f"[{KEY_CHARS}]{{{MIN_CHARS},}}+", 3)
+    ).withColumn(long, F.filter(long, lambda c: ~F.exists(base, lambda b: explained(c, b))))
+    judged = candidates.withColumn(table, F.when(F.size(long) > 0, ratios)).withColumn(
+        long, F.filter(long, lambda c: likely(c["value"], F.col(table)) >= min_ratio))
     return judged.select(
-        *docs.columns, F.col("_base").alias("base"),
-        F.sort_array(F.concat("_base", "_long")).alias("spans"),
+        *without(docs, "base", "spans"), F.col(base).alias("base"),
+        F.sort_array(F.concat(base, long)).alias("spans"),
     )
 
 

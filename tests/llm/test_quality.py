@@ -56,3 +56,30 @@ def test_awkward_and_empty_tables(awkward, nothing, labels):
         out = quality.apply_cutoffs(found, quality.cutoffs(found, labels, "source"), "source")
         assert out.count() == docs.count()
         assert out.where("kept IS NULL OR base_failed IS NULL").count() == 0
+
+
+def test_null_and_empty_strata_are_two(spark):
+    """Rows of the null stratum lose nothing to the cutoff that rows of the empty one have proven."""
+    rows = [(i, "", 4) for i in range(3000)] + [(5000 + i, None, 25 if i % 10 == 0 else 0) for i in range(3000)]
+    frame = figures(spark, rows)
+    labels = frame.select("doc_id", F.lit(1).alias("quality"))
+    chosen = quality.cutoffs(frame, labels, "lang")
+    assert {r["_stratum"]: r["cut_symbols"] for r in chosen.collect()} == {"": 0.05, None: 0.3}
+    verdict = quality.apply_cutoffs(figures(spark, [(1, "", 6), (2, None, 6), (3, None, 31)]), chosen, "lang")
+    assert {r["doc_id"]: r["kept"] for r in verdict.collect()} == {1: False, 2: True, 3: False}
+
+
+def test_columns_named_like_results_and_working_columns(awkward, labels):
+    names = (*quality.FIGURES, "_text", "_words", "_lines", "_id", "_good", "_n", "_m", "_stratum", "cut_lines", "kept",
+             "base_failed")
+    docs = awkward.select("doc_id", "text", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    plain = quality.base_figures(awkward.select("doc_id", "text", "source"))
+    found = quality.base_figures(docs)
+    chosen = quality.cutoffs(found, labels, "source")
+    out = quality.apply_cutoffs(found, chosen, "source")
+    results = [*quality.FIGURES, "base_failed", "kept"]
+    want = quality.apply_cutoffs(plain, quality.cutoffs(plain, labels, "source"), "source")
+    assert sorted(map(str, out.select("doc_id", *results).collect())) == sorted(
+        map(str, want.select("doc_id", *results).collect()))
+    assert {r[0] for r in out.select("_text").distinct().collect()} == {"own _text"}
+    assert {r[0] for r in out.select("_stratum").distinct().collect()} == {"own _stratum"}

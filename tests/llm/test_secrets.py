@@ -38,3 +38,26 @@ def test_awkward_and_empty_tables(awkward, nothing):
     out = secrets.scan(awkward)
     assert out.count() == awkward.count()
     assert out.where(F.size("spans") > 0).count() == 0
+
+
+def test_a_key_around_a_hex_run_is_found_whole(spark):
+    rng = random.Random(5)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["compute", "average", "document", "register", "transaction", "customer"]
+    rows = [(k, " ".join(f"{rng.choice(words)}_{rng.choice(words)}" for _ in range(30)) + (
+        f" token = {''.join(rng.choices(chars, k=32))}" if k % 4 == 0 else "")) for k in range(200)]
+    run = "".join(rng.choices("0123456789abcdef", k=24))
+    key = f"sk_live_Zq8RkT2v{run}Wm9XyPq3LtB7"
+    rows += [(900, f"key {key} end"), (901, "my_token=Zq8RkT2vWm9XyPq3LtB7 end"), (902, f"sum {run} end")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"]] for r in secrets.scan(frame).collect()}
+    assert (3, key) in found[900] and any(k == 2 for k, _ in found[900])  # the base span stays
+    # an assignment or a whole hex run is explained by its base span
+    assert [k for k, _ in found[901]] == [0] and found[902] == [(2, run)]
+
+
+def test_columns_named_like_results_and_working_columns(awkward):
+    names = ("_text", "_base", "_long", "_ratios", "base", "spans")
+    out = secrets.scan(awkward.select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names]))
+    assert out.count() == awkward.count() and out.where(F.size("spans") > 0).count() == 0
+    assert {tuple(r) for r in out.select(*names[:4]).distinct().collect()} == {tuple(f"own {n}" for n in names[:4])}
