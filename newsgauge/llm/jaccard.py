@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsgauge.llm.components import components
-from newsgauge.llm.words import ascii_lower, body, words
+from newsgauge.llm.words import ascii_lower, body, unused, words
 from newsgauge.session import cut_lineage
 
 LIST_ROWS = 16
@@ -486,18 +486,19 @@ def keep_one(docs: DataFrame, limit: Limit, id_col: str = "doc_id", text_col: st
     kept = found.groupBy("group").agg(F.min("row").alias("first"))
     dropped = found.join(kept, "group").where("row <> first").select("row").distinct()
     repeated = found.groupBy("row").count().where("count > 1").select("row")
-    marked = docs.withColumn("_row", F.struct(
+    row, = unused(docs, "_row")
+    marked = docs.withColumn(row, F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
         F.xxhash64(body(text_col)).alias("text_hash")))
 
     def same(rows: DataFrame) -> Column:
-        mine, other = F.col("_row"), rows["row"]
+        mine, other = F.col(row), rows["row"]
         return (mine["text_hash"] == other["text_hash"]) & mine["id"].eqNullSafe(other["id"])
 
     dropped = sized(dropped)
     left = marked.join(dropped, same(dropped), "left_anti")
     if not repeated.isEmpty():
         repeated = sized(repeated)
-        once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["_row"])
+        once = left.join(repeated, same(repeated), "left_semi").dropDuplicates([row])
         left = left.join(repeated, same(repeated), "left_anti").unionByName(once)
-    return left.drop("_row")
+    return left.drop(row)

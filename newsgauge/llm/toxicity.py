@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All rows and columns, with the machine's score as column ``out``."""
+    """All rows and columns, with the machine's score as column ``out``, which replaces one of that name."""
     terms = np.array(machine.terms, np.int64)
 
     @F.pandas_udf(T.DoubleType())

@@ -7,6 +7,7 @@ import corpus_pipeline
 import pandas as pd
 import pytest
 from newsgauge.llm.queries import QUERIES, SQL
+from pyspark.sql import functions as F
 from suite.check import compare, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,12 @@ def test_stages_on_awkward_and_empty_documents(spark, awkward, nothing):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert (out.count() > 0) == (docs is awkward)
+
+
+def test_stages_keep_columns_named_like_working_columns(spark, awkward):
+    names = ("_toxic_score", "_row", "_words", "_hit", "_items", "_text", "_k0", "row", "group")
+    docs = awkward.select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(f"own {n}" for n in names)}
