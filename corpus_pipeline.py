@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.llm import bpe, decontam, jaccard, pii, toxicity
 from newsgauge.llm.registry import table
+from newsgauge.llm.words import unused
 from newsgauge.session import scratch_path
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -23,8 +24,9 @@ NEAR = jaccard.Limit(5, 80, 100)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below TOXIC; it learns from all labels."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, machine, out="_toxic_score")
-    return scored.where(F.col("_toxic_score") < TOXIC).drop("_toxic_score")
+    name, = unused(docs, "_toxic_score")
+    scored = toxicity.score(docs, machine, out=name)
+    return scored.where(F.col(name) < TOXIC).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
+    names = unused(docs, "_words", "_hit", "_items")
     found = decontam.decontaminate(
         docs, table(spark, sf_dir, "benchmark"), keep=tuple(c for c in docs.columns if c != "doc_id"),
-        found=("_words", "_hit", "_items"))
-    return found.where(F.col("_hit") == 0).select(*docs.columns)
+        found=tuple(names))
+    return found.where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
