@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,22 +60,24 @@ def counts_of_table(
 
 
 CHANGES = "month string, flags int, n bigint"
-KEPT = "month string, flags int"
 
 
-def _changes(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """What an id's new rows change: its old flags are subtracted, the new ones added.
+STATE = "id string, month string, flags int, old_month string, old_flags int, known boolean"
+
+
+def _state_changes(rows: DataFrame, earlier: DataFrame) -> DataFrame:
+    """One row per id whose month or flags differ from its state after all earlier batches: the new ones and the old ones.
 
-    A later batch replaces an earlier one; inside a batch the newest row counts, ties by month and flags.
+    ``rows``: (id, month, fetched_at, flags); the newest row of an id counts, ties by month and flags.
     """
-    rows = pd.concat(list(parts)).sort_values(["fetched_at", "month", "flags"], na_position="first")
-    month = rows["month"].iloc[-1]
-    now = (None if pd.isna(month) else str(month), int(rows["flags"].iloc[-1]))
-    before = tuple(state.get) if state.exists else None
-    if now != before:
-        state.update(now)
-        changed = ([(*before, -1)] if before else []) + [(*now, 1)]
-        yield pd.DataFrame(changed, columns=["month", "flags", "n"])
+    now = rows.groupBy("id").agg(F.max(F.struct("fetched_at", "month", "flags")).alias("_now")).select(
+        "id", "_now.month", "_now.flags")
+    before = earlier.groupBy(F.col("id").alias("_id")).agg(
+        F.max_by(F.struct(F.col("month").alias("old_month"), F.col("flags").alias("old_flags")), "batch").alias("_old"))
+    both = now.join(before, F.col("id").eqNullSafe(F.col("_id")), "left").select(
+        "id", "month", "flags", "_old.old_month", "_old.old_flags", F.col("_old").isNotNull().alias("known"))
+    same = F.col("month").eqNullSafe(F.col("old_month")) & F.col("flags").eqNullSafe(F.col("old_flags"))
+    return both.where(~(F.col("known") & same))
 
 
 def run_counted_ingest(
@@ -86,21 +85,30 @@ def run_counted_ingest(
 ) -> None:
     """Keep monthly counts up from changes alone.
 
-    The state of an id is its month and flags, so a micro-batch costs its own rows, however many articles came before. Each
-    writes its changes, summed by month and flags, as one replaceable batch: when a run breaks off
-    between that and its commit, the same input meets the same state again and replaces the batch.
+    The state of an id is its month and flags, kept as a table beside ``table``: a micro-batch appends the ids it changed and joins
+    its rows with the narrow rows of earlier batches; no text is read again, and nothing is kept in memory between batches. Each writes
+    its changes, summed by month and flags, as one replaceable batch: when a run breaks off between that and its commit,
+    the same input meets the same state again and replaces both batches.
     """
     names = list(FLAGS.values())
     bits = sum((F.col(f).cast("int") * (1 << n) for n, f in enumerate(names)), F.lit(0))
     rows = tagged(articles, lexicon).select("id", "month", "fetched_at", bits.alias("flags"))
-    changes = rows.groupBy("id").applyInPandasWithState(_changes, CHANGES, KEPT, "update", "NoTimeout")
+    state = f"{table}-state"
+    kept = T.StructType([rows.schema["id"], *T.StructType.fromDDL(STATE).fields[1:]])
 
     def save(batch: DataFrame, number: int) -> None:
-        write_batch(batch.groupBy("month", "flags").agg(F.sum("n").alias("n")), table, number)
+        spark = batch.sparkSession
+        earlier = read_batches(spark, state, kept).where(F.col("batch") < number).select("id", "month", "flags", "batch")
+        write_batch(_state_changes(batch, earlier), state, number)
+        changed = read_batches(spark, state, kept).where(F.col("batch") == number)
+        changes = changed.select(F.inline(F.filter(F.array(
+            F.struct("month", "flags", F.lit(1).alias("n"), F.lit(True).alias("real")),
+            F.struct(F.col("old_month").alias("month"), F.col("old_flags").alias("flags"), F.lit(-1).alias("n"),
+                     F.col("known").alias("real"))), lambda c: c["real"])))
+        write_batch(changes.groupBy("month", "flags").agg(F.sum("n").alias("n")), table, number)
 
     query = (
-        changes.writeStream.outputMode("update")
-        .foreachBatch(save)
+        rows.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

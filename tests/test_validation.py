@@ -335,6 +335,19 @@ def test_counts_are_kept_up_by_changes(spark, frame, tmp_path):
     assert _counted(spark, frame, tmp_path) == want
 
 
+def test_changes_of_many_ids_need_no_call_for_each(spark, frame, tmp_path, monkeypatch):
+    """Batches meet the state in joins: no id goes through Python, and null ids are one id."""
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    wave = [(f"d{k}", "risk" if k % 3 else "calm", f"2024-{1 + k % 4:02d}", "2024-01-01") for k in range(400)]
+    assert _counted(spark, frame, tmp_path, wave + [(None, "risk", "2024-01", "2024-01-01")])["2024-01"][0] == 101
+    moved = [(f"d{k}", "risk", "2024-05", "2024-02-01") for k in range(0, 400, 4)] + [(None, "calm", "2024-05", "2024-03-01")]
+    assert _counted(spark, frame, tmp_path, moved + moved)["2024-05"] == (101, 100)
+    back = _counted(spark, frame, tmp_path, wave[:4])
+    assert back["2024-01"][0] == 1 and back["2024-05"] == (100, 99)
+
+
 def test_changes_survive_a_break_before_the_commit(spark, frame, tmp_path):
     _counted(spark, frame, tmp_path, [("a", "risk", "2024-01", "2024-01-01"), ("b", "calm", "2024-01", "2024-01-01")])
     want = _counted(spark, frame, tmp_path, [("a", "calm", "2024-02", "2024-02-01")])
