@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.session import cut_lineage
+from newsgauge.session import cut_and_count
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows by themselves, without what they were made from."""
+    return cut_and_count(df)[0]
 
 
 def components(links: DataFrame) -> DataFrame:

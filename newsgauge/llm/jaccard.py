@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgauge.llm.components import components
+from newsgauge.llm.components import components, cut_lineage
 from newsgauge.llm.words import ascii_lower, body, unused, words
-from newsgauge.session import cut_lineage
+from newsgauge.session import cut_and_count
 
 LIST_ROWS = 16
 FREQUENT_HASHES = 1_000_000
@@ -109,8 +109,8 @@ def base_rows(docs: DataFrame, limit: Limit, id_col: str, text_col: str) -> Data
 
 def sized(rows: DataFrame) -> DataFrame:
     """Rows written once, to be broadcast only if they are at most BROADCAST_ROWS; else Spark shuffles."""
-    rows = cut_lineage(rows)
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+    rows, number = cut_and_count(rows)
+    return F.broadcast(rows) if number <= BROADCAST_ROWS else rows.hint("merge")
 
 
 def one_row_per_set(base: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -126,6 +127,32 @@ def test_links_grow_with_the_members(spark, copies, edits):
     assert sizes == sorted(Counter(map(top, range(copies))).values())
 
 
+def shuffle_files(spark):
+    folder = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(folder.apply(k).getName().startswith("shuffle_") for k in range(folder.size()))
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Many rounds over few rows: what a step has shuffled goes with it, and few rows are in few partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long").repartition(40)
+        there = shuffle_files(spark)
+        labels = components(links)
+        for _ in range(50):
+            if (left := shuffle_files(spark) - there) <= 400:
+                break
+            time.sleep(0.2)
+        assert left <= 400
+        assert labels.rdd.getNumPartitions() == 1
+        assert {r["label"] for r in labels.collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 100)] + [(500, k) for k in range(501, 560)] + [(7, 7), (900, 800)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
