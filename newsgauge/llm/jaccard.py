@@ -47,6 +47,8 @@ STAR_KEYS = 6
 # one takes in groups whose members lie around the limit from each other.
 RADIUS = 0.4
 BROADCAST_ROWS = 1_000_000
+# Rows whose sketches a Python worker looks at together; the arrays it makes of them are a dozen times as large.
+BATCH_ROWS = 512
 SLACK = 1e-9
 
 
@@ -233,7 +235,7 @@ def prefixes(nodes: DataFrame, late: np.ndarray, limit: Limit) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             lists = batch.column("sketch")
             offsets = lists.offsets.to_numpy()
             flat = lists.values.to_numpy()[offsets[0]:offsets[-1]]
@@ -447,7 +449,8 @@ def jaccard_components(docs: DataFrame, limit: Limit = Limit(), id_col: str = "d
     first_ids = base.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"))
     starred = stars(one_row_per_set(base), docs, limit, text_col)
     late = frequent(starred, limit)
-    found = prefixes(starred, late, limit)
+    # read three times below, and no Python beside the shuffle of the lists
+    found = cut_lineage(prefixes(starred, late, limit))
     short = cut_lineage(found.where("prefix IS NULL").select("node", "star", "text_hash", "large"))
     whole = full_sets(docs, short, limit, text_col).join(short, "node").withColumnRenamed("hashes", "sketch")
     found = found.where("prefix IS NOT NULL").unionByName(prefixes(whole, late, limit))

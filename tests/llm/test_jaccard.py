@@ -153,6 +153,19 @@ def test_steps_leave_no_shuffle_files(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_prefixes_take_batches_apart(spark, monkeypatch):
+    """Short batches give the same prefixes, and no array is made of more rows than a batch has."""
+    limit = jaccard.Limit(3, 80, 100)
+    frame = spark.createDataFrame(near_copies(5), "doc_id long, text string").coalesce(1)
+    nodes = jaccard.one_row_per_set(jaccard.base_rows(frame, limit, "doc_id", "text")).selectExpr(
+        "*", "node AS star", "0.0D AS far", "false AS large")
+    late = jaccard.frequent(nodes, limit)
+    whole = {r["node"]: r["prefix"] for r in jaccard.prefixes(nodes, late, limit).collect()}
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 7)
+    assert {r["node"]: r["prefix"] for r in jaccard.prefixes(nodes, late, limit).collect()} == whole
+    assert len(whole) > 30
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 100)] + [(500, k) for k in range(501, 560)] + [(7, 7), (900, 800)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
