@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -261,21 +262,33 @@ def spans(texts: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, x)) for x in find(t)] for t in texts], dtype=object)
 
 
+def replaced(text: str, marks: Iterable[tuple[int, int, int]]) -> str:
+    """The text with its spans (start, kind, end) as <KIND>; overlapping spans become one, named by the first."""
+    parts, at, last = [], 0, -1
+    for start, kind, end in marks:
+        if start >= last:
+            parts += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        last = at = max(last, end)
+    return "".join([*parts, text[at:]])
+
+
 @F.pandas_udf(T.StringType())
 def redacted(texts: pd.Series, found: pd.Series) -> pd.Series:
-    """Each text with its spans replaced by <KIND>; overlapping spans become one, named by the first."""
-    out = []
-    for text, marks in zip(texts, found):
-        if marks is None or not len(marks):
-            out.append(text)
-            continue
-        parts, at, last = [], 0, -1
-        for m in marks:
-            if m["start"] >= last:
-                parts += [text[at:m["start"]], f"<{KINDS[m['kind']].upper()}>"]
-            last = at = max(last, m["end"])
-        out.append("".join([*parts, text[at:]]))
-    return pd.Series(out, dtype=object)
+    """Each text with the given spans replaced."""
+    names = ("start", "kind", "end")
+    return pd.Series([
+        text if marks is None or not len(marks) else replaced(text, [[m[n] for n in names] for m in marks])
+        for text, marks in zip(texts, found)], dtype=object)
+
+
+@F.udf(returnType=T.StringType(), useArrow=False)
+def redact(text: str | None) -> str | None:
+    """The text with all its spans replaced.
+
+    Spans are found and replaced in one worker, and a plain function takes 100 rows at a time, so that texts do not
+    pile up in thousands, once for the spans and once for the replacement, beside each task.
+    """
+    return replaced(text, [mark[:3] for mark in find(text)]) if text else text
 
 
 def digest(marks: Column) -> Column:

@@ -6,6 +6,7 @@ import brute
 import corpus_pipeline
 import pandas as pd
 import pytest
+from newsgauge.llm import pii
 from newsgauge.llm.queries import QUERIES, SQL
 from pyspark.sql import functions as F
 from suite.check import compare, oracle
@@ -72,6 +73,20 @@ def test_stages_on_awkward_and_empty_documents(spark, awkward, nothing):
             assert (out.count() > 0) == (docs is awkward)
 
 
+def test_redaction_passes_texts_through_python_once_in_small_batches(spark):
+    rows = spark.createDataFrame([
+        (1, "to jane at example dot com, 192 dot 168 dot zero dot one"), (2, "192.168.1.1５ and a@b.org, c@d.org"),
+        (2, "192.168.1.1５ and a@b.org, c@d.org"), (3, ""), (None, None), (4, "nothing here")], "doc_id long, text string")
+    out = corpus_pipeline.redact(spark, rows.withColumn("n_chars", F.length("text")), SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "ArrowEvalPython" not in plan
+    in_two = rows.select("doc_id", pii.redacted("text", pii.spans("text")).alias("text"))
+    found = [tuple(r) for r in out.select("doc_id", "text").collect()]
+    assert sorted(found, key=repr) == sorted(map(tuple, in_two.collect()), key=repr)
+    assert dict(found) == {1: "to <EMAIL>, <IP>", 2: "<IP> and <EMAIL>, <EMAIL>", 3: "", None: None, 4: "nothing here"}
+    assert out.where(~F.col("n_chars").eqNullSafe(F.length("text"))).count() == 0
+
+
 def test_stages_keep_columns_named_like_working_columns(spark, awkward):
     names = ("_toxic_score", "_row", "_words", "_hit", "_items", "_text", "_k0", "row", "group")
     docs = awkward.select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names])
