@@ -19,6 +19,9 @@ from newsgauge.session import scratch_path
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 TOXIC = 0.3
 NEAR = jaccard.Limit(5, 80, 100)
+# the last stage shares an executor with all that the stages before left in its heap
+CHUNK_CHARS = 1 << 18
+REMEMBERED = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     rows = docs.select("doc_id", "text")
     lexicon = bpe.compile_lexicon(rows, path)
-    return bpe.encode(rows, path, lexicon, keep_text=False, decoded="decoded").select(
+    coded = bpe.encode(
+        rows, path, lexicon, keep_text=False, decoded="decoded", chunk=CHUNK_CHARS, remembered=REMEMBERED)
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

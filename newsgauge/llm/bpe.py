@@ -99,7 +99,7 @@ class Vocabulary:
         while len(left):
             slot = self._slot(keys[left], len(self.tables))
             _, chosen = np.unique(slot, return_index=True)
-            table = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+            table = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
             for column, values in zip(table, (keys, np.arange(len(pairs)), merged)):
                 column[slot[chosen]] = values[left[chosen]]
             self.tables.append(table)
@@ -197,13 +197,13 @@ def cut(text: str) -> list[str]:
     return [p for p in BLANKS.split(text) if p] if SEPARATORS.search(text) else text.split()
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(place of the first, texts) in lists of at most about CHUNK_CHARS characters and the last text."""
+def chunks(texts: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) in lists of at most about ``chars`` characters and the last text."""
     first, part, size = 0, [], 0
     for k, text in enumerate(texts):
         part.append(text.as_py() or "")
         size += len(part[-1])
-        if size >= CHUNK_CHARS:
+        if size >= chars:
             yield first, part
             first, part, size = k + 1, [], 0
     if part:
@@ -287,13 +287,13 @@ def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: in
 
 
 class Encoder:
-    """Looks distinct pieces up once; it remembers at most REMEMBERED pieces of REMEMBERED_CHARS, and one chunk's.
+    """Looks distinct pieces up once; it remembers at most ``remembered`` pieces of REMEMBERED_CHARS, and one chunk's.
 
     An encoder lives as long as its task, so that nothing stays behind in a worker that other stages use.
     """
 
-    def __init__(self, words: Vocabulary, lexicon: Lexicon) -> None:
-        self.words, self.lexicon = words, lexicon
+    def __init__(self, words: Vocabulary, lexicon: Lexicon, remembered: int = REMEMBERED) -> None:
+        self.words, self.lexicon, self.remembered = words, lexicon, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -330,7 +330,7 @@ class Encoder:
         for text in texts:
             parts += cut(text)
             ends.append(len(parts))
-        if len(self.index) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.index) > self.remembered or self.chars > REMEMBERED_CHARS:
             self._forget()
         new = [p for p in dict.fromkeys(parts) if p not in self.index]
         if new:
@@ -348,10 +348,12 @@ def text_of(ids: np.ndarray, words: Vocabulary) -> str:
 
 
 def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", out: str = "ids",
-           keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+           keep_text: bool = True, decoded: str | None = None, chunk: int = CHUNK_CHARS,
+           remembered: int = REMEMBERED) -> DataFrame:
     """All rows and columns (without the text if unwanted) with the array of token ids.
 
-    ``decoded`` names a further column for the text of the ids, made in the same pass.
+    ``decoded`` names a further column for the text of the ids, made in the same pass. Fewer characters in a ``chunk``
+    and fewer pieces ``remembered`` take less of a task's memory and more of its time; the ids are the same.
     """
     kept = [c for c in docs.columns if c not in (out, decoded) and (keep_text or c != text_col)]
     rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("_encoded_text"))
@@ -362,9 +364,9 @@ def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(path)
-        encoder = Encoder(words, Lexicon(SparkFiles.get(lexicon)))
+        encoder = Encoder(words, Lexicon(SparkFiles.get(lexicon)), remembered)
         for batch in batches:
-            for first, part in chunks(batch.column(width)):
+            for first, part in chunks(batch.column(width), chunk):
                 ends, ids = encoder.encode(part)
                 bounds = np.concatenate([[0], ends])
                 made = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]

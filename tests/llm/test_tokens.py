@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from newsgauge.llm import bpe, lexicon, token_counts
 from pyspark.sql import functions as F
@@ -101,3 +102,17 @@ def test_awkward_and_empty_tables(awkward, nothing):
         assert out.where("text IS NULL AND (size(ids) > 0 OR decoded <> '')").count() == 0
         lines = token_counts.allot(docs, RANKS)
         assert lines.where("section = 0").count() == docs.count()
+
+
+def test_few_remembered_pieces_and_small_chunks_give_the_same_ids(tmp_path):
+    words, known, path = bpe.Vocabulary(WORDS), ["text", "of"], tmp_path / "few"
+    path.write_bytes(lexicon.build({w.encode(): ids for w, ids in zip(known, words.merge_all(known))}))
+    texts = pa.array([f"text {k} of word{k % 7}, Überfluß x{k * k}" for k in range(500)] + [None, "", "text"])
+    few, many = (bpe.Encoder(words, lexicon.Lexicon(str(path)), n) for n in (40, bpe.REMEMBERED))
+    found = []
+    for _, part in bpe.chunks(texts, 100):
+        assert len(part) <= 7
+        found += few.encode(part)[1].tolist()
+        assert len(few.index) <= 40 + sum(len(t.split()) for t in part)
+    assert found == many.encode([t or "" for t in texts.to_pylist()])[1].tolist()
+    assert len(many.index) > 500
